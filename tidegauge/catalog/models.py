@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.registry import (
-    HOURLY, filled, pool, query, r, sql_filled, sql_series, sql_windows, sql_with,
+    HOURLY, complete, pool, query, r, sql_filled, sql_series, sql_windows, sql_with,
 )
 from tidegauge.functions.accuracy import mae, mse
 from tidegauge.operators.autoregression import ar1_fit, ar1_forecast, with_previous
-from tidegauge.operators.joins import attach
-from tidegauge.operators.position import with_position
-from tidegauge.operators.repair import zero_fill
 from tidegauge.operators.scaling import minmax_fit, minmax_scale
 from tidegauge.operators.scoring import residual_anomalies
 from tidegauge.plans.forecaster import Settings, predict, train
@@ -42,8 +39,7 @@ PAIRS = (
 
 def _pairs(spark, sf_dir):
     """Hourly counts on the full grid with zeros, next to the window before."""
-    rows = with_position(zero_fill(filled(spark, sf_dir).drop("d", "v"), ["n"]))
-    return with_previous(rows, "n")
+    return with_previous(complete(spark, sf_dir, HOURLY), "n")
 
 
 def _train_rows(pairs):

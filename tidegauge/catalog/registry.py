@@ -11,7 +11,7 @@ from tidegauge.functions.times import parse_window_tag
 from tidegauge.operators.position import with_position
 from tidegauge.operators.repair import gap_fill, zero_fill
 from tidegauge.operators.windows import window_features
-from tidegauge.session import path_version, scratch_path
+from tidegauge.session import materialise, path_version, scratch_path
 from tidegauge.sources.datapool import datapool_scan, write_datapool
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,10 +82,16 @@ def filled(spark: SparkSession, sf_dir: str, ws: str = HOURLY) -> DataFrame:
     return gap_fill(rows, parse_window_tag(ws)[1])
 
 
+def complete(spark: SparkSession, sf_dir: str, ws: str) -> DataFrame:
+    """Event counts of all protocols on a complete grid with zeros and positions,
+    stored because the operators on top read it several times."""
+    rows = zero_fill(filled(spark, sf_dir, ws).drop("d", "v"), ["n"])
+    return materialise(with_position(rows), "complete")
+
+
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling event counts on a complete grid with zeros, and positions."""
-    rows = zero_fill(filled(spark, sf_dir, TUMBLING).drop("d", "v"), ["n"])
-    return with_position(rows, total="n_rows")
+    """Counts in tumbling windows: mostly 0 or 1 at small scale."""
+    return complete(spark, sf_dir, TUMBLING)
 
 
 def r(name: str, digits: int = 6):

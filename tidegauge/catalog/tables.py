@@ -17,7 +17,7 @@ from tidegauge.functions.times import partial_date_bounds
 from tidegauge.operators.repair import coerce_numeric, estimate_window_spec, interpolate_linear, repair_numeric, zero_fill
 from tidegauge.operators.position import with_position
 from tidegauge.operators.series import first_difference, sorted_series
-from tidegauge.session import scratch_path
+from tidegauge.session import materialise, scratch_path
 from tidegauge.sources.archive import land_archives
 from tidegauge.sources.datapool import (
     PARTITIONS, WINDOW_KEYS, cached_series, convert_units, datapool_scan, protocol_join, select_series,
@@ -340,7 +340,7 @@ def gaps(spark, sf_dir):
          FROM near""",
 )
 def interpolated(spark, sf_dir):
-    placed = with_position(filled(spark, sf_dir).select("protocol", "window_start", "n", "d"))
+    placed = materialise(with_position(filled(spark, sf_dir).select("protocol", "window_start", "n", "d")), "placed")
     return interpolate_linear(placed, ["n", "d"]).select("protocol", "t", "window_start", r("n"), r("d"))
 
 

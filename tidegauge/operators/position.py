@@ -31,7 +31,8 @@ def with_position(
     rows in earlier buckets. The bucket defaults to the day of ``order``, which
     for one row per window holds at most a day's worth of slides; pass a finer
     column for denser data (it must grow with ``order``). ``total`` names an
-    optional column for the length of the series.
+    optional column for the length of the series. ``df`` is read twice, for the counts and
+    for the rows.
     """
     by = list(by)
     bucketed = df.withColumn("_bucket", F.col(order).cast("date") if bucket is None else bucket)

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.times import epoch_seconds, from_epoch_seconds
-from tidegauge.operators.position import BLOCK_ROWS, with_neighbours
+from tidegauge.operators.position import BLOCK_ROWS, after, before, with_neighbours
 from tidegauge.operators.repair import interpolate_linear, zero_fill
 from tidegauge.operators.scaling import scaled, unscaled
+from tidegauge.operators.series import lag_name
 from tidegauge.session import materialise
 
 REGRESSORS = ("linear", "gbt", "random_forest", "fm")
@@ -82,12 +83,9 @@ def samples(
     """
     length, ahead = settings.sequence_len, settings.steps_ahead
     back = length if settings.delta else length - 1
-    made: dict = {}
-    for c in columns:
-        for i in range(length):
-            made[_input_name(c, i)] = _recent(c, i, settings.delta)
-        made[f"actual_{c}"] = lambda spec, c=c: F.lead(c, ahead).over(spec)
-    made["_target_start"] = lambda spec: F.lead("window_start", ahead).over(spec)
+    made = {lag_name(c, i): before(c, i) for c in columns for i in range(1, back + 1)}
+    made |= {f"actual_{c}": after(c, ahead) for c in columns}
+    made["_target_start"] = after("window_start", ahead)
     made["_end_start"] = lambda spec: F.last("window_start").over(spec.rowsBetween(0, ahead))
     made["_end_position"] = lambda spec: F.last(position).over(spec.rowsBetween(0, ahead))
     kept = series.select(*by, position, "window_start", *columns)
@@ -96,28 +94,27 @@ def samples(
     beyond = from_epoch_seconds(
         epoch_seconds(F.col("_end_start")) + (target - F.col("_end_position")) * slide_seconds
     )
+
+    def at(column: str, steps: int) -> str:
+        return f"`{lag_name(column, steps)}`" if steps else f"`{column}`"
+
+    # As SQL text: there is one expression per column and step.
+    inputs = [
+        f"{at(c, i)} - {at(c, i + 1)} AS `{_input_name(c, i)}`" if settings.delta else f"{at(c, i)} AS `{_input_name(c, i)}`"
+        for c in columns
+        for i in range(length)
+    ]
+    targets = [f"`actual_{c}` - `{c}` AS `_out_{c}`" if settings.delta else f"`actual_{c}` AS `_out_{c}`" for c in columns]
     return seen.where(F.col(position) >= back).select(
         *by,
         target.alias(position),
         F.coalesce("_target_start", beyond).alias("window_start"),
-        *[_input_name(c, i) for c in columns for i in range(length)],
+        *[F.expr(text) for text in inputs + targets],
         *[F.col(c).alias(f"base_{c}") for c in columns],
-        *[
-            (F.col(f"actual_{c}") - F.col(c) if settings.delta else F.col(f"actual_{c}")).alias(f"_out_{c}")
-            for c in columns
-        ],
         *[f"actual_{c}" for c in columns],
     )
 
 
-def _recent(column: str, step: int, delta: bool):
-    def make(spec) -> Column:
-        value = F.lag(column, step).over(spec) if step else F.col(column)
-        return value - F.lag(column, step + 1).over(spec) if delta else value
-
-    return make
-
-
 def _inputs(columns: Sequence[str], settings: Settings) -> list[tuple[str, str]]:
     return [(c, _input_name(c, i)) for c in columns for i in range(settings.sequence_len)]
 
@@ -148,9 +145,12 @@ def _fit_bounds(rows: DataFrame, columns: Sequence[str], settings: Settings) ->
 
 
 def _with_scaled_inputs(rows: DataFrame, columns, settings: Settings, bounds: dict) -> DataFrame:
-    return rows.withColumns(
-        {name: scaled(F.col(name).cast("double"), *map(F.lit, bounds[c])) for c, name in _inputs(columns, settings)}
-    )
+    """:func:`~tidegauge.operators.scaling.scaled` with literal bounds on every input."""
+    made = {}
+    for c, name in _inputs(columns, settings):
+        lo, hi = bounds[c]
+        made[name] = F.expr(f"(CAST(`{name}` AS DOUBLE) - {float(lo)!r}D) / {float(hi - lo) or 1.0!r}D")
+    return rows.withColumns(made)
 
 
 def _regressor(settings: Settings, column: str):

@@ -20,11 +20,10 @@ SERIES_KEY = "series"
 
 
 def _numbered(pool: DataFrame, spec, ws: str, time_range, excluded) -> tuple[DataFrame, list[str]]:
-    """The selected series with positions, stored once, and its feature columns."""
-    chosen = select_series(pool, spec, ws, time_range, excluded)
+    """The selected series, stored once, with positions, and its feature columns."""
+    chosen = materialise(select_series(pool, spec, ws, time_range, excluded), "series")
     columns = [c for c in chosen.columns if c not in WINDOW_KEYS]
-    placed = with_position(chosen.withColumn(SERIES_KEY, F.lit("main")), by=[SERIES_KEY])
-    return materialise(placed, "series"), columns
+    return with_position(chosen.withColumn(SERIES_KEY, F.lit("main")), by=[SERIES_KEY]), columns
 
 
 def score(forecasts: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -23,6 +23,9 @@ def get_spark(app_name: str = "tidegauge", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Recording the Python line of every column expression costs more than
+        # the expression when a plan has hundreds of them.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
@@ -60,6 +63,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark's readers report it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(hadoop_path).toString().rstrip("/")
+
+
 def path_version(spark: SparkSession, path: str) -> str:
     """Size and modification time of a file or folder tree, to key cached results."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.sources.datapool import PARTITIONS, WINDOW_KEYS
+from tidegauge.session import qualified
+from tidegauge.sources.datapool import PARTITIONS, WINDOW_KEYS, store_partitions
 
 # Fixed value: path of a member inside an archive.
 MEMBER = re.compile(r"([^/]+)/(\d{4})/(\d{2})/(\d{2})/(w.+?-s.+?)\.tsv")
@@ -45,9 +46,8 @@ def list_archives(spark: SparkSession, root: str, depth: int | None = 1) -> Data
     )
     if depth is None:
         return listed
-    base = F.lit(re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/")))
-    relative = F.substring_index(F.col("archive"), F.concat(base, F.lit("/")), -1)
-    return listed.where(F.size(F.split(relative, "/")) <= depth + 1)
+    levels = qualified(spark, root).count("/") + depth + 1
+    return listed.where(F.regexp_count("archive", F.lit("/")) <= levels)
 
 
 def list_members(archives: DataFrame) -> DataFrame:
@@ -119,11 +119,4 @@ def land_archives(
         pass
     rows = read_members(members.repartition("archive", "member"), columns)
     typed = rows.withColumns({k: F.col(k).cast("timestamp_ntz") for k in WINDOW_KEYS})
-    (
-        typed.hint("rebalance", *[F.col(c) for c in PARTITIONS])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(pool_path)
-    )
-
+    store_partitions(typed, pool_path)

@@ -22,23 +22,32 @@ PARTITIONS = ["protocol", "ws", "day"]
 WINDOW_KEYS = ["window_start", "window_end"]
 
 
-def write_datapool(features: DataFrame, path: str, ws: str, mode: str = "overwrite") -> None:
-    """Write windowed features of one window tag into the datapool at ``path``.
+def store_partitions(rows: DataFrame, path: str) -> None:
+    """Write rows that carry the partition columns into the datapool at ``path``.
 
-    Only the (protocol, ws, day) partitions present in ``features`` are
-    replaced, so repeating a write gives the same table. The rebalance hint
-    lets AQE split a large partition over several tasks and merge small ones.
+    Only the (protocol, ws, day) partitions present in ``rows`` are replaced, so
+    repeating a write gives the same table. Rows are placed by sampled ranges of
+    partition and time: a partition of any size is split over as many tasks as
+    it needs, small ones share a task, and files come out sorted by time.
     """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        features.withColumns({"ws": F.lit(ws), "day": F.col("window_start").cast("date")})
-        .hint("rebalance", *[F.col(c) for c in PARTITIONS])
-        .write.mode(mode)
+        rows.repartitionByRange(tasks, *PARTITIONS, "window_start")
+        .sortWithinPartitions(*PARTITIONS, "window_start")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
 
 
+def write_datapool(features: DataFrame, path: str, ws: str) -> None:
+    """Write windowed features of one window tag into the datapool at ``path``."""
+    store_partitions(
+        features.withColumns({"ws": F.lit(ws), "day": F.col("window_start").cast("date")}), path
+    )
+
+
 def datapool_scan(
     pool: DataFrame,
     protocols: Sequence[str],
