@@ -24,6 +24,9 @@ ADF_TAU_MAX = 2.74
 ADF_TAU_MIN = -18.83
 ADF_CRITICAL_5 = (-2.86154, -2.8903, -4.234, -40.04)
 
+# Most bin combinations that are still worth counting before pairing columns.
+MI_COMBINATIONS = 1_000_000
+
 
 def nonzero_levels(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Non-zero cells per column, ``(by..., feature, nonzero)``."""
@@ -342,28 +345,35 @@ def _adf_from_sums(gram: np.ndarray, rows: int, early: dict[int, np.ndarray], li
     return (statistic, p_value, best, used, critical, bool(p_value <= 0.05 and statistic <= critical))
 
 
-def frequency_edges(df: DataFrame, columns: Sequence[str], bins: int, grid: int = 65_536) -> dict[str, list[float]]:
+def frequency_edges(
+    cells: DataFrame, columns: Sequence[str], bins: int
+) -> dict[str, list[int]]:
     """Cell numbers at which near-equal-frequency bins begin, per column.
 
-    Values are first counted on a fine grid between minimum and maximum, so
-    the memory needed does not depend on the data. A grid cell belongs to
+    ``cells`` holds the grid cell of every value, so the counts have at most one
+    row per column and cell whatever the size of the data. A cell belongs to
     the bin of the share of rows below it.
     """
-    bounds = bounds_of(minmax_fit(df, columns))
-    cells = _grid_cells(df, columns, bounds, grid)
-    counts = cells.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("cell")) for c in columns])).alias("_c")).select("_c.*")
-    counts = counts.where(F.col("cell").isNotNull()).groupBy("feature", "cell").agg(F.count(F.lit(1)).alias("n"))
+    long = cells.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("cell")) for c in columns])).alias("_c")
+    ).select("_c.*")
+    counts = long.where(F.col("cell").isNotNull()).groupBy("feature", "cell").agg(F.count(F.lit(1)).alias("n"))
     below = Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     share = F.coalesce(F.sum("n").over(below), F.lit(0)) * bins
-    binned = counts.select("feature", "cell", F.floor(share / F.sum("n").over(Window.partitionBy("feature"))).alias("bin"))
+    binned = counts.select(
+        "feature", "cell", F.floor(share / F.sum("n").over(Window.partitionBy("feature"))).alias("bin")
+    )
     edges = binned.groupBy("feature", "bin").agg(F.min("cell").alias("start")).where("bin > 0")
-    found: dict[str, list[float]] = {c: [] for c in columns}
+    found: dict[str, list[int]] = {c: [] for c in columns}
     for row in edges.collect():
         found[row["feature"]].append(row["start"])
     return {c: sorted(starts) for c, starts in found.items()}
 
 
-def _grid_cells(df: DataFrame, columns: Sequence[str], bounds: dict, grid: int) -> DataFrame:
+def grid_cells(df: DataFrame, columns: Sequence[str], grid: int = 65_536) -> DataFrame:
+    """Replace values by their cell on a fine grid between minimum and maximum."""
+    bounds = bounds_of(minmax_fit(df, columns))
+
     def cell(c: str):
         lo, hi = bounds[c]
         if lo is None or lo == hi:
@@ -380,13 +390,13 @@ def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = 10, gr
     ``(feature, other, mi, relative)``, ``relative`` being divided by the largest
     value of the feature. Rows with a missing value in any column are left out.
 
-    Rows are counted once per combination of all bins, combined on the map side;
-    the pairwise tables are sums of those counts.
+    With few columns, rows are first counted per combination of all bins and the
+    pair tables summed from those counts; with many, every row counts towards
+    its pairs directly. Both combine on the map side, so no more than
+    ``pairs * bins**2`` rows per task are shuffled in the end.
     """
-    whole = df.select(*columns).dropna()
-    bounds = bounds_of(minmax_fit(whole, columns))
-    edges = frequency_edges(whole, columns, bins, grid)
-    cells = _grid_cells(whole, columns, bounds, grid)
+    cells = grid_cells(df.select(*columns).dropna(), columns, grid)
+    edges = frequency_edges(cells, columns, bins)
 
     def bin_of(c: str):
         place = F.lit(0)
@@ -394,26 +404,36 @@ def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = 10, gr
             place = place + F.when(F.col(c) >= start, 1).otherwise(0)
         return place.alias(c)
 
-    combined = cells.select(*[bin_of(c) for c in columns]).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    binned = cells.select(*[bin_of(c) for c in columns])
+    if bins ** len(columns) <= MI_COMBINATIONS:
+        counted = binned.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counted = binned.withColumn("_n", F.lit(1))
     pairs = F.array(
         *[
             F.struct(F.lit(a).alias("feature"), F.lit(b).alias("other"), F.col(a).alias("x"), F.col(b).alias("y"))
-            for a in columns
-            for b in columns
+            for k, a in enumerate(columns)
+            for b in columns[k:]
         ]
     )
     joint = (
-        combined.select("_n", F.explode(pairs).alias("_p"))
+        counted.select("_n", F.explode(pairs).alias("_p"))
         .groupBy("_p.feature", "_p.other", "_p.x", "_p.y")
         .agg(F.sum("_n").alias("n"))
     )
-    pair = Window.partitionBy("feature", "other")
-    total = F.sum("n").over(pair)
+    total = F.sum("n").over(Window.partitionBy("feature", "other"))
     in_x = F.sum("n").over(Window.partitionBy("feature", "other", "x"))
     in_y = F.sum("n").over(Window.partitionBy("feature", "other", "y"))
     terms = joint.select(
         "feature", "other", (F.col("n") / total * F.log(F.col("n") * total / (in_x * in_y).cast("double"))).alias("term")
     )
-    mi = terms.groupBy("feature", "other").agg(F.sum("term").alias("mi"))
+    half = terms.groupBy("feature", "other").agg(F.sum("term").alias("mi"))
+    # The measure is symmetric: each pair is computed once and shown both ways.
+    both = F.when(F.col("feature") == F.col("other"), F.array(F.struct("feature", "other"))).otherwise(
+        F.array(
+            F.struct("feature", "other"), F.struct(F.col("other").alias("feature"), F.col("feature").alias("other"))
+        )
+    )
+    mi = half.select("mi", F.explode(both).alias("_p")).select("_p.feature", "_p.other", "mi")
     largest = F.max("mi").over(Window.partitionBy("feature"))
     return mi.select("feature", "other", "mi", F.when(largest > 0, F.col("mi") / largest).alias("relative"))

@@ -63,6 +63,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application has put in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, as Spark's readers report it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -18,12 +18,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.session import qualified
+from tidegauge.session import materialise, qualified
 from tidegauge.sources.datapool import PARTITIONS, WINDOW_KEYS, store_partitions
 
 # Fixed value: path of a member inside an archive.
 MEMBER = re.compile(r"([^/]+)/(\d{4})/(\d{2})/(\d{2})/(w.+?-s.+?)\.tsv")
 CHUNK_ROWS = 50_000
+MAX_TASKS = 20_000
 
 
 def _locate(path: str) -> tuple[pafs.FileSystem, str]:
@@ -105,18 +106,28 @@ def land_archives(
     """Extract the members that are not in the datapool yet and append them.
 
     What has landed is known from the partition folders alone. Each member is
-    one unit of work, however the archives group them.
+    one unit of work, however the archives group them; the task counts are
+    explicit because AQE would merge tasks whose input is only a few paths.
     """
-    members = list_members(list_archives(spark, root, depth).repartition("archive"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = list_members(list_archives(spark, root, depth).repartition(tasks, "archive"))
     # The same member in two archives is landed once.
-    members = members.groupBy(*PARTITIONS).agg(
-        F.min_by(F.struct("archive", "member"), F.struct("archive", "member")).alias("at")
-    ).select("at.archive", "at.member", *PARTITIONS)
+    place = F.struct("archive", "member")
+    members = (
+        members.groupBy(*PARTITIONS)
+        .agg(F.min(place).alias("at"))
+        .select("at.archive", "at.member", *PARTITIONS)
+    )
     try:
         landed = spark.read.parquet(pool_path).select(*PARTITIONS).distinct()
         members = members.join(landed, PARTITIONS, "left_anti")
     except AnalysisException:
         pass
-    rows = read_members(members.repartition("archive", "member"), columns)
+    members = materialise(members, "members")
+    waiting = members.count()
+    if waiting == 0:
+        return
+    spread = members.repartition(min(waiting, MAX_TASKS), "archive", "member")
+    rows = read_members(spread, columns)
     typed = rows.withColumns({k: F.col(k).cast("timestamp_ntz") for k in WINDOW_KEYS})
     store_partitions(typed, pool_path)
