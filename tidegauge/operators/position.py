@@ -67,29 +67,34 @@ def with_neighbours(
 
     ``columns`` maps names to functions of a window specification built with
     :func:`before` and :func:`after`, reaching at most ``back`` rows behind and
-    ``ahead`` rows forward. Each block also receives copies of that many rows
-    from its neighbours, so the result equals a window over the whole series;
-    the copies are dropped afterwards. The overhead is ``(back + ahead)`` rows
-    per block.
+    ``ahead`` rows forward. Thanks to the copies made by :func:`in_blocks` the
+    result equals a window over the whole series; the copies are dropped.
+    """
+    blocked, own = in_blocks(df, back, ahead, position, block_rows)
+    spec = Window.partitionBy(*by, "_block").orderBy(position)
+    return blocked.withColumns({name: make(spec) for name, make in columns.items()}).where(own).drop("_block")
+
+
+def in_blocks(
+    df: DataFrame, back: int, ahead: int = 0, position: str = "t", block_rows: int = BLOCK_ROWS
+) -> tuple[DataFrame, Column]:
+    """Assign rows to blocks of consecutive positions, in column ``_block``.
+
+    Each block also receives copies of the ``back`` rows ahead of it and the
+    ``ahead`` rows behind it, ``(back + ahead)`` extra rows per block. The
+    second result is true for a block's own rows.
     """
-    by = list(by)
     size = max(block_rows, back + ahead, 1)
-    own = F.floor(F.col(position) / size).cast("bigint")
+    home = F.floor(F.col(position) / size).cast("bigint")
     offset = F.pmod(F.col(position), F.lit(size))
     homes = F.array_compact(
         F.array(
-            own,
-            F.when(offset >= size - back, own + 1),
-            F.when((offset < ahead) & (own > 0), own - 1),
+            home,
+            F.when(offset >= size - back, home + 1),
+            F.when((offset < ahead) & (home > 0), home - 1),
         )
     )
-    spec = Window.partitionBy(*by, "_block").orderBy(position)
-    blocked = df.withColumn("_block", F.explode(homes))
-    return (
-        blocked.withColumns({name: make(spec) for name, make in columns.items()})
-        .where(F.floor(F.col(position) / size).cast("bigint") == F.col("_block"))
-        .drop("_block")
-    )
+    return df.withColumn("_block", F.explode(homes)), home == F.col("_block")
 
 
 def before(column: str | Column, steps: int = 1):

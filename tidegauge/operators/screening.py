@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.joins import attach
-from tidegauge.operators.position import BLOCK_ROWS, before, with_neighbours
+from tidegauge.operators.position import BLOCK_ROWS, before, in_blocks, with_neighbours
 from tidegauge.operators.scaling import bounds_of, minmax_fit
 
 # MacKinnon (1994) p-value polynomials and (2010) 5% critical
@@ -220,6 +220,9 @@ def adf_critical_5(rows: int) -> float:
     return sum(c / rows**k for k, c in enumerate(ADF_CRITICAL_5))
 
 
+ADF_COLUMNS = ["statistic", "p_value", "used_lag", "rows", "critical_5", "stationary"]
+
+
 def adf(
     df: DataFrame,
     columns: Sequence[str],
@@ -233,118 +236,154 @@ def adf(
     ``(by..., feature, statistic, p_value, used_lag, rows, critical_5, stationary)``;
     stationary means p <= 0.05 and the statistic at most the 5% critical value.
 
-    The rows of the regression are built by a block window and reduced to sums
-    of products per partition, all lag orders being submatrices of the largest
-    one. What reaches one task is the summed matrix of a series, plus its first
-    ``max_lag`` rows, which only the final regression uses.
+    The normal equations of every lag order follow from the products of changes
+    at each distance, so a block of rows is reduced to a few sums per lag. One
+    task per series then sees those sums and the rows at both ends, never the
+    series.
     """
     by = list(by)
     long = df.select(
-        *by, position, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("y")) for c in columns])).alias("_v")
+        *by, position,
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("y")) for c in columns])
+        ).alias("_v"),
     ).select(*by, position, "_v.*")
     keys = [*by, "feature"]
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-    longest = sizes.agg(F.max("_total")).head()[0] or 0
-    widest = adf_max_lag(longest) if max_lag is None else max_lag
-    # change(j) = y[t-j] - y[t-j-1]; regressors: y[t-1], change(1..p), 1.
-    made = {f"_y{j}": before("y", j) for j in range(1, widest + 2)}
-    seen = with_neighbours(long, made, back=widest + 1, by=keys, position=position, block_rows=block_rows)
-    seen = attach(seen, sizes, by).where(F.col(position) >= 1)
-    levels = [F.col("y"), *[F.col(f"_y{j}") for j in range(1, widest + 2)]]
-    design = seen.select(
-        *keys, position, "_total",
-        F.array(
-            levels[0] - levels[1], levels[1], F.lit(1.0),
-            *[F.coalesce(levels[j] - levels[j + 1], F.lit(0.0)) for j in range(1, widest + 1)],
-        ).alias("z"),
-    )
-    width = widest + 3
+    facts = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), F.avg("y").alias("_mean"))
+    # The test does not change when a constant is taken off; smaller numbers sum better.
+    centred = attach(long, facts, keys).withColumn("y", F.col("y") - F.col("_mean")).drop("_mean")
 
     def lag_limit(total: int) -> int:
-        return adf_max_lag(total) if max_lag is None else max_lag
+        return adf_max_lag(total) if max_lag is None else max(0, min(max_lag, total // 2 - 2))
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(keys, dropna=False, sort=False):
-                limit = lag_limit(int(part["_total"].iloc[0]))
-                z = np.stack(part["z"].to_numpy())
-                late = part[position].to_numpy() > limit
-                made_rows = []
-                if late.any():
-                    made_rows.append((-1, (z[late].T @ z[late]).ravel().tolist()))
-                made_rows += [(int(t), row.tolist()) for t, row in zip(part[position][~late], z[~late])]
-                out = pd.DataFrame(made_rows, columns=["at", "sums"])
-                for name, value in zip(keys, key):
-                    out[name] = value
-                yield out.assign(_total=part["_total"].iloc[0])[[*keys, "_total", "at", "sums"]]
-
-    types = {f.name: f.dataType.simpleString() for f in design.schema.fields}
-    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    partial = design.mapInPandas(products, f"{key_schema}, _total long, at long, sums array<double>")
-    # Partial matrices add up before anything meets in one task; early rows stay as they are.
-    summed = (
-        partial.select(*keys, "_total", "at", F.posexplode("sums").alias("cell", "value"))
-        .groupBy(*keys, "_total", "at", "cell")
+    widest = lag_limit(df.groupBy(*by).count().agg(F.max("count")).head()[0] or 0)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in centred.schema.fields if f.name in keys)
+
+    size = max(block_rows, widest + 1)
+    blocked, _ = in_blocks(centred, back=widest + 1, position=position, block_rows=size)
+
+    def block_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        *names, block = key
+        rows = rows.sort_values(position)
+        sums = _change_products(
+            rows["y"].to_numpy(), int(rows[position].iloc[0]), int(block) * size,
+            lag_limit(int(rows["_total"].iloc[0])), widest,
+        )
+        return pd.DataFrame([(*names, sums.tolist())], columns=[*keys, "sums"])
+
+    per_block = blocked.groupBy(*keys, "_block").applyInPandas(block_sums, f"{key_schema}, sums array<double>")
+    sums = (
+        per_block.select(*keys, F.posexplode("sums").alias("cell", "value"))
+        .groupBy(*keys, "cell")
         .agg(F.sum("value").alias("value"))
+        .select(*keys, F.lit("sum").alias("kind"), F.col("cell").cast("bigint").alias("at"), "value", F.lit(0).cast("bigint").alias("_total"))
     )
+    at_ends = (F.col(position) <= widest + 1) | (F.col(position) >= F.col("_total") - widest - 2)
+    ends = centred.where(at_ends).select(*keys, F.lit("row").alias("kind"), F.col(position).alias("at"), F.col("y").alias("value"), "_total")
 
     def solve(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        limit = lag_limit(int(cells["_total"].iloc[0]))
-        late = cells[cells["at"] == -1].sort_values("cell")
-        gram = late["value"].to_numpy().reshape(width, width) if len(late) else np.zeros((width, width))
-        early = {
-            int(t): part.sort_values("cell")["value"].to_numpy() for t, part in cells[cells["at"] >= 0].groupby("at")
-        }
-        rows = int(cells["_total"].iloc[0]) - 1 - limit
-        found = _adf_from_sums(gram, rows, early, limit)
+        total = int(cells["_total"].max())
+        summed = cells[cells["kind"] == "sum"].sort_values("at")["value"].to_numpy()
+        rows = cells[cells["kind"] == "row"]
+        found = _adf_from_sums(summed, dict(zip(rows["at"], rows["value"])), total, lag_limit(total), widest)
         return pd.DataFrame([(*key, *found)], columns=[*keys, *ADF_COLUMNS])
 
-    return summed.groupBy(*keys).applyInPandas(
+    return sums.unionByName(ends).groupBy(*keys).applyInPandas(
         solve,
         f"{key_schema}, statistic double, p_value double, used_lag int, rows int, critical_5 double, stationary boolean",
     )
 
 
-ADF_COLUMNS = ["statistic", "p_value", "used_lag", "rows", "critical_5", "stationary"]
-
-
-def _least_squares(gram: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients, normal matrix and residual sum for one lag order."""
-    use = list(range(1, lag + 3))
-    normal, moment = gram[np.ix_(use, use)], gram[use, 0]
-    coefficients = np.linalg.lstsq(normal, moment, rcond=None)[0]
-    return coefficients, normal, float(gram[0, 0] - coefficients @ moment)
+def _change_products(y: np.ndarray, first: int, own_from: int, limit: int, widest: int) -> np.ndarray:
+    """Sums over one block's own rows: products of changes at each distance, of
+    the level with changes at each lag, and the level and its square.
 
+    ``y`` holds consecutive positions from ``first``, copies included. Sums with
+    the level skip the first ``limit`` changes, which have no full history.
+    """
+    change, level = np.diff(y), y[:-1]
+    end = len(change)
+    own = max(own_from - first - 1, 0)
+    late = max(own, limit - first)
+    apart, lagged = np.zeros(widest + 1), np.zeros(widest + 1)
+    for k in range(limit + 1):
+        begin = max(own, k)
+        if begin < end:
+            apart[k] = change[begin:] @ change[begin - k : end - k]
+        if late < end:
+            lagged[k] = level[late:] @ change[late - k : end - k]
+    level = level[late:]
+    return np.concatenate([apart, lagged, [level.sum(), level @ level]])
+
+
+def _adf_from_sums(sums: np.ndarray, y: dict[int, float], total: int, limit: int, widest: int) -> tuple:
+    rows = total - 1 - limit
+    if rows < 1 or len(sums) == 0:
+        return (None, None, 0, max(rows, 0), None, None)
+    change = {t: y[t] - y[t - 1] for t in y if t - 1 in y}
+    apart, lagged = sums[: widest + 1], sums[widest + 1 : 2 * widest + 2]
+    # Products of change lag i with change lag j over the rows after the first
+    # ``limit`` changes; going one step down the diagonal takes in one early
+    # pair and gives up one at the end.
+    products = np.zeros((limit + 1, limit + 1))
+    for h in range(limit + 1):
+        value = apart[h] - sum(change[s] * change[s - h] for s in range(h + 1, limit + 1))
+        for i in range(limit + 1 - h):
+            products[i, i + h] = products[i + h, i] = value
+            if i + h < limit:
+                early, late = limit - i, total - 1 - i
+                value += change[early] * change[early - h] - change[late] * change[late - h]
+    change_sums = np.array([y[total - 1 - j] - y[limit - j] for j in range(limit + 1)])
+    # Order of columns: change, level, constant, lagged changes.
+    size = limit + 3
+    gram = np.zeros((size, size))
+    at = [0, *range(3, size)]
+    gram[np.ix_(at, at)] = products
+    gram[1, at] = gram[at, 1] = lagged[: limit + 1]
+    gram[2, at] = gram[at, 2] = change_sums
+    gram[1, 1], gram[1, 2], gram[2, 1], gram[2, 2] = sums[-1], sums[-2], sums[-2], rows
 
-def _adf_from_sums(gram: np.ndarray, rows: int, early: dict[int, np.ndarray], limit: int) -> tuple:
+    residuals = _nested_residuals(gram)
     best, best_score = 0, math.inf
     for lag in range(limit + 1):
-        if rows <= lag + 2:
-            break
-        residual = _least_squares(gram, lag)[2]
-        if residual <= 0:
-            return (None, None, lag, rows, None, None)
-        score = rows * math.log(residual / rows) + 2 * (lag + 2)
-        if score < best_score:
-            best, best_score = lag, score
-    full, used = gram.copy(), rows
-    for t, row in early.items():
-        if t > best:
-            full += np.outer(row, row)
-            used += 1
-    if used <= best + 2:
-        return (None, None, best, used, None, None)
-    coefficients, normal, residual = _least_squares(full, best)
-    if residual <= 0:
-        return (None, None, best, used, None, None)
-    variance = residual / (used - best - 2) * np.linalg.pinv(normal)[0, 0]
-    if variance <= 0:
+        if rows > lag + 2 and residuals[lag] > 0:
+            score = rows * math.log(residuals[lag] / rows) + 2 * (lag + 2)
+            if score < best_score:
+                best, best_score = lag, score
+    # The chosen order is fitted on all rows with enough history.
+    used = rows
+    for t in range(best + 1, limit + 1):
+        early = np.array([change[t], y[t - 1], 1.0, *[change.get(t - j, 0.0) for j in range(1, limit + 1)]])
+        gram += np.outer(early, early)
+        used += 1
+    inner, moment = gram[1 : best + 3, 1 : best + 3], gram[1 : best + 3, 0]
+    scale = np.sqrt(np.where(np.diag(inner) > 0, np.diag(inner), 1.0))
+    inverse = np.linalg.pinv(inner / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)
+    coefficients = inverse @ moment
+    residual = float(gram[0, 0] - coefficients @ moment)
+    if used <= best + 2 or residual <= 1e-12 * gram[0, 0] or inverse[0, 0] <= 0:
         return (None, None, best, used, None, None)
-    statistic = float(coefficients[0] / math.sqrt(variance))
+    statistic = float(coefficients[0] / math.sqrt(residual / (used - best - 2) * inverse[0, 0]))
     p_value, critical = adf_p_value(statistic), adf_critical_5(used)
     return (statistic, p_value, best, used, critical, bool(p_value <= 0.05 and statistic <= critical))
 
 
+def _nested_residuals(gram: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of the regressions with 0, 1, 2... lagged changes.
+
+    The models are nested, so one triangular factor serves them all.
+    """
+    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))[1:]
+    inner, moment = gram[1:, 1:] / np.outer(scale, scale), gram[1:, 0] / scale
+    try:
+        explained = np.cumsum(np.linalg.solve(np.linalg.cholesky(inner), moment) ** 2)
+    except np.linalg.LinAlgError:
+        explained = np.array(
+            [moment[:k] @ np.linalg.pinv(inner[:k, :k], hermitian=True) @ moment[:k] for k in range(1, len(moment) + 1)]
+        )
+    return gram[0, 0] - explained[1:]
+
+
 def frequency_edges(
     cells: DataFrame, columns: Sequence[str], bins: int
 ) -> dict[str, list[int]]:
