@@ -8,7 +8,7 @@ from helpers import plan_of, rows_of
 from tidegauge.functions.times import DayRange, partial_date_bounds
 from tidegauge.sources.archive import land_archives, list_archives
 from tidegauge.sources.datapool import (
-    cached_series, convert_units, datapool_scan, empty_like, parse_spec, select_series, spec_key, store_partitions,
+    cached_series, convert_units, datapool_scan, empty_like, in_ranges, parse_spec, ranges_from_text, select_series, spec_key, store_partitions,
 )
 
 SPEC = (
@@ -163,6 +163,15 @@ def test_partial_dates(spark):
     }
 
 
+def test_ranges_as_a_table(spark):
+    days = spark.createDataFrame([(dt.date(2019, 1, d),) for d in range(1, 32)] + [(dt.date(2020, 5, 5),)], "day date")
+    ranges = ranges_from_text(spark, "2019-01-02--2019-01-04, 2019-01-03, 2020, nonsense")
+    assert [str(r[0]) for r in rows_of(in_ranges(days, ranges))] == ["2019-01-02", "2019-01-03", "2019-01-04", "2020-05-05"]
+    assert in_ranges(days, ranges, keep=False).count() == 28
+    half_open = ranges_from_text(spark, ["2019-01-02--2019-01-04", "2019-01-10--2019-01-10"], inclusive_end=False)
+    assert in_ranges(days, half_open).count() == 2
+
+
 def test_unit_conversion(spark):
     df = spark.createDataFrame([(2047, -1048577, None, 5)], "a_kb long, b_MB long, c_gb long, plain long")
     assert rows_of(convert_units(df)) == [(1, -1, None, 5)]

@@ -8,7 +8,7 @@ from tidegauge.operators.windows import window_features
 from tidegauge.streaming.windows import run_to_table, stream_window_features
 
 SCHEMA = "protocol string, ts timestamp_ntz, user_id long, value double"
-OPTIONS = {"distinct": ("user_id", "d"), "sums": {"v": "value"}}
+OPTIONS = {"distinct": {"d": "user_id"}, "sums": {"v": "value"}}
 
 
 def write(spark, path, rows):

@@ -43,7 +43,7 @@ def streamed(spark, sf_dir):
     folder = sf_dir.rstrip("/")
     stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
     features = stream_window_features(
-        stream.withColumnRenamed("event_type", "protocol"), HOURLY, distinct=("user_id", "d"), sums={"v": "value"}
+        stream.withColumnRenamed("event_type", "protocol"), HOURLY, distinct={"d": "user_id"}, sums={"v": "value"}
     )
     path = scratch_path(spark, "stream")
     return run_to_table(features, f"{path}/table", f"{path}/checkpoint").withColumn("v", F.round("v", 6))

@@ -50,7 +50,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windows(spark: SparkSession, sf_dir: str, ws: str, by=("protocol",)) -> DataFrame:
     """Count, distinct users and sum of values per window."""
     return window_features(
-        events(spark, sf_dir), ws, by=by, distinct=("user_id", "d"), sums={"v": "value"}
+        events(spark, sf_dir), ws, by=by, distinct={"d": "user_id"}, sums={"v": "value"}
     )
 
 

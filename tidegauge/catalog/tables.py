@@ -20,7 +20,8 @@ from tidegauge.operators.series import first_difference, sorted_series
 from tidegauge.session import materialise, scratch_path
 from tidegauge.sources.archive import land_archives
 from tidegauge.sources.datapool import (
-    PARTITIONS, WINDOW_KEYS, cached_series, convert_units, datapool_scan, protocol_join, select_series,
+    PARTITIONS, WINDOW_KEYS, cached_series, convert_units, datapool_scan, in_ranges, protocol_join, ranges_from_text,
+    select_series,
 )
 from tidegauge.sources.delimited import load_numeric_tsv, read_delimited, write_tsv
 
@@ -240,6 +241,26 @@ def partial_dates(spark, sf_dir):
     return texts.select("text", first.alias("first_day"), last.alias("last_day"), open_end.alias("open_end"))
 
 
+PARTIAL_RANGES = "2024-01-03--2024-01-08, 2024-01-15, 2023, 20240120--2024-01"
+
+
+@query(
+    "partial_date_filter",
+    sql_with(
+        WIN,
+        DAYS,
+        """marked AS (SELECT *, day BETWEEN DATE '2024-01-03' AND DATE '2024-01-08' OR day = DATE '2024-01-15'
+              OR day <= DATE '2023-12-31' OR day BETWEEN DATE '2024-01-20' AND DATE '2024-01-31' AS inside FROM days)""",
+    )
+    + "SELECT protocol, day, window_start, n, inside FROM marked",
+)
+def partial_date_filter(spark, sf_dir):
+    rows = datapool_scan(pool(spark, sf_dir), PROTOCOLS, HOURLY, ["n"]).select("protocol", "day", "window_start", "n")
+    ranges = ranges_from_text(spark, PARTIAL_RANGES)
+    inside = in_ranges(rows, ranges).withColumn("inside", F.lit(True))
+    return inside.unionByName(in_ranges(rows, ranges, keep=False).withColumn("inside", F.lit(False)))
+
+
 @query(
     "unit_conversion",
     """SELECT event_id, CAST(trunc(floor(value * 1000000) / 1024) AS BIGINT) AS sent_kB,

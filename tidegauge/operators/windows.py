@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import gcd
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.times import epoch_seconds, from_epoch_seconds, parse_window_tag
@@ -18,54 +18,51 @@ def window_features(
     ts: str = "ts",
     by: Sequence[str] = ("protocol",),
     count: str = "n",
-    distinct: tuple[str, str] | None = None,
+    distinct: dict[str, str] | None = None,
     sums: dict[str, str] | None = None,
 ) -> DataFrame:
     """Aggregate events into the windows named by ``tag`` (``w01h-s10m``).
 
-    ``distinct`` is ``(source column, output column)``; ``sums`` maps output
-    columns to source columns. Windows are aligned to the epoch.
+    ``distinct`` and ``sums`` map output columns to source columns. Windows are
+    aligned to the epoch.
 
     Sliding windows overlap, so expanding every event into all its windows
     would multiply the raw data. Instead events are first combined into panes
     (the common divisor of length and slide), and only pane summaries are
-    spread over windows. For the distinct count each pane records how far back
+    spread over windows. For a distinct count each pane records how far back
     its entity was last seen: the entity is new to exactly those windows that
     start after the previous sighting, so per-window distinct counts become a
-    plain sum and no (window, entity) pairs are ever shuffled.
+    plain sum and no (window, entity) pairs are ever shuffled. With several
+    distinct counts the events are taken once per count.
     """
     length, slide = parse_window_tag(tag)
     pane = gcd(length, slide)
-    by = list(by)
-    sums = sums or {}
-    entity, distinct_name = distinct or (None, None)
+    by, distinct, sums = list(by), distinct or {}, sums or {}
+    totals = [f"_sum_{name}" for name in sums]
 
     seconds = epoch_seconds(F.col(ts))
     rows = events.where(F.col(ts).isNotNull()).select(
         *by,
         (seconds - F.pmod(seconds, F.lit(pane))).alias("_pane"),
-        *([F.col(entity).alias("_entity")] if entity else []),
-        *[F.col(source).alias(f"_sum_{name}") for name, source in sums.items()],
+        *entity_columns(distinct),
+        *[F.col(source).alias(total) for total, source in zip(totals, sums.values())],
     )
-    keys = [*by, "_pane"] + (["_entity"] if entity else [])
-    panes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(f"_sum_{name}").alias(f"_sum_{name}") for name in sums],
+    panes = rows.groupBy(*by, "_pane", "_which", "_entity").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(total).alias(total) for total in totals]
     )
-
-    if entity:
-        seen = Window.partitionBy(*by, "_entity").orderBy("_pane")
+    if distinct:
+        seen = Window.partitionBy(*by, "_which", "_entity").orderBy("_pane")
         gap = F.col("_pane") - F.lag("_pane").over(seen)
         reach = F.when(F.col("_entity").isNull(), 0).otherwise(
             F.least(F.coalesce(gap, F.lit(length)), F.lit(length))
         )
         panes = (
             panes.withColumn("_reach", reach)
-            .groupBy(*by, "_pane", "_reach")
+            .groupBy(*by, "_pane", "_which", "_reach")
             .agg(
                 F.sum("_n").alias("_n"),
                 F.count("_entity").alias("_new"),
-                *[F.sum(f"_sum_{name}").alias(f"_sum_{name}") for name in sums],
+                *[F.sum(total).alias(total) for total in totals],
             )
         )
 
@@ -79,24 +76,29 @@ def window_features(
         .where("_first <= _last")
         .withColumn("_start", F.explode(F.sequence("_first", "_last", F.lit(slide).cast("bigint"))))
     )
+    once = F.col("_which") == 0
+    is_new = F.col("_pane") - F.col("_start") < F.col("_reach") if distinct else None
     result = spread.groupBy(*by, "_start").agg(
-        F.sum("_n").alias(count),
-        *(
-            [
-                F.sum(
-                    F.when(F.col("_pane") - F.col("_start") < F.col("_reach"), F.col("_new")).otherwise(0)
-                ).alias(distinct_name)
-            ]
-            if entity
-            else []
-        ),
-        *[F.sum(f"_sum_{name}").alias(name) for name in sums],
+        F.sum(F.when(once, F.col("_n"))).alias(count),
+        *[
+            F.sum(F.when((F.col("_which") == k) & is_new, F.col("_new")).otherwise(0)).alias(name)
+            for k, name in enumerate(distinct)
+        ],
+        *[F.sum(F.when(once, F.col(total))).alias(name) for name, total in zip(sums, totals)],
     )
     return result.select(
         *by,
         from_epoch_seconds(F.col("_start")).alias("window_start"),
         from_epoch_seconds(F.col("_start") + length).alias("window_end"),
         count,
-        *([distinct_name] if entity else []),
+        *distinct,
         *sums,
     )
+
+
+def entity_columns(distinct: dict[str, str]) -> list[Column]:
+    """``_which`` and ``_entity``: one row per event and distinct count."""
+    if len(distinct) > 1:
+        return [F.posexplode(F.array(*[F.col(c).cast("string") for c in distinct.values()])).alias("_which", "_entity")]
+    entity = F.col(*distinct.values()) if distinct else F.lit(None).cast("string")
+    return [F.lit(0).alias("_which"), entity.alias("_entity")]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.numeric import suffix_divisor, truncated_units
-from tidegauge.functions.times import DayRange, covered_by_any, parse_window_tag
+from tidegauge.functions.times import DayRange, covered_by_any, parse_window_tag, partial_date_bounds
 from tidegauge.operators.repair import gap_fill
 from tidegauge.session import path_version
 
@@ -77,6 +77,26 @@ def time_range_filter(time_range: str | DayRange, day: str = "day"):
     return DayRange.of(time_range).covers(F.col(day))
 
 
+def ranges_from_text(spark: SparkSession, texts: Sequence[str] | str, inclusive_end: bool = True) -> DataFrame:
+    """Partial-date ranges (``2019``, ``2019-01--2019-03-05``, comma lists) as a
+    table ``(begin, end)``; the exclusive form leaves its end day out."""
+    items = texts.split(",") if isinstance(texts, str) else texts
+    begin, end = partial_date_bounds(F.col("text"), inclusive_end)
+    given = spark.createDataFrame([(t,) for t in items], "text string")
+    last = end if inclusive_end else F.date_sub(end, 1)
+    return given.select(begin.alias("begin"), last.alias("end")).dropna()
+
+
+def in_ranges(df: DataFrame, ranges: DataFrame, day: str = "day", keep: bool = True) -> DataFrame:
+    """Rows whose day lies in any of the ranges ``(begin, end)``, or in none.
+
+    The ranges are turned into the days they cover, so this is an equi-join with
+    a table no longer than the calendar they span, however many ranges there are.
+    """
+    days = ranges.where("begin <= end").select(F.explode(F.sequence("begin", "end")).alias(day)).distinct()
+    return df.join(days, day, "left_semi" if keep else "left_anti")
+
+
 def parse_spec(spec: str | Sequence[dict]) -> tuple[list[dict], list[str]]:
     """Split ``p1|c1|c2~new;p2|c3#k1,k2`` into protocol entries and merge keys.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.times import epoch_seconds, from_epoch_seconds, parse_window_tag
+from tidegauge.operators.windows import entity_columns
 
 
 def stream_window_features(
@@ -16,7 +17,7 @@ def stream_window_features(
     ts: str = "ts",
     by: Sequence[str] = ("protocol",),
     count: str = "n",
-    distinct: tuple[str, str] | None = None,
+    distinct: dict[str, str] | None = None,
     sums: dict[str, str] | None = None,
     delay: str = "10 minutes",
 ) -> DataFrame:
@@ -27,28 +28,33 @@ def stream_window_features(
     so the distinct count is exact and a busy series is spread over all tasks.
     """
     length, slide = parse_window_tag(tag)
-    by = list(by)
-    sums = sums or {}
-    entity, distinct_name = distinct or (None, None)
+    by, distinct, sums = list(by), distinct or {}, sums or {}
+    totals = [f"_sum_{name}" for name in sums]
     # Event time has to be an instant; going through seconds keeps the zone out of it.
     timed = events.withColumn(ts, F.timestamp_seconds(epoch_seconds(F.col(ts)))).withWatermark(ts, delay)
+    rows = timed.select(
+        ts, *by, *entity_columns(distinct), *[F.col(source).alias(total) for total, source in zip(totals, sums.values())]
+    )
     window = F.window(ts, f"{length} seconds", f"{slide} seconds")
-    partial = timed.groupBy(window, *by, *([F.col(entity).alias("_entity")] if entity else [])).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(source).alias(f"_sum_{name}") for name, source in sums.items()]
+    entities = rows.groupBy(window, *by, "_which", "_entity").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(total).alias(total) for total in totals]
+    )
+    once = F.col("_which") == 0
+    result = entities.groupBy("window", *by).agg(
+        F.sum(F.when(once, F.col("_n"))).alias(count),
+        *[
+            F.count_if((F.col("_which") == k) & F.col("_entity").isNotNull()).alias(name)
+            for k, name in enumerate(distinct)
+        ],
+        *[F.sum(F.when(once, F.col(total))).alias(name) for name, total in zip(sums, totals)],
     )
-    if entity:
-        partial = partial.groupBy("window", *by).agg(
-            F.sum("_n").alias("_n"),
-            F.count("_entity").alias(distinct_name),
-            *[F.sum(f"_sum_{name}").alias(f"_sum_{name}") for name in sums],
-        )
-    return partial.select(
+    return result.select(
         *by,
         from_epoch_seconds(F.unix_seconds("window.start")).alias("window_start"),
         from_epoch_seconds(F.unix_seconds("window.end")).alias("window_end"),
-        F.col("_n").alias(count),
-        *([distinct_name] if entity else []),
-        *[F.col(f"_sum_{name}").alias(name) for name in sums],
+        count,
+        *distinct,
+        *sums,
     )
 
 
