@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.registry import (
-    HOURLY, MINUTELY, TUMBLING, events, query, sql_windows, sql_with, table, windows,
+    HOURLY, MINUTELY, TUMBLING, query, sql_windows, sql_with, table, windows,
 )
 from tidegauge.session import scratch_path
 from tidegauge.streaming.windows import run_to_table, stream_window_features

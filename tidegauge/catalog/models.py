@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.registry import (
-    HOURLY, complete, pool, query, r, sql_filled, sql_series, sql_windows, sql_with,
+    HOURLY, complete, once, pool, query, r, sql_filled, sql_series, sql_windows, sql_with,
 )
 from tidegauge.functions.accuracy import mae, mse
 from tidegauge.operators.autoregression import ar1_fit, ar1_forecast, with_previous
@@ -123,11 +123,22 @@ def _shown(forecasts, columns):
     return forecasts.select("t", "window_start", *[r(f"{side}_{c}", 4) for c in columns for side in ("actual", "forecast")])
 
 
+def _stored_model(spark, sf_dir) -> str:
+    """Folder with one trained model, for the queries that only apply it."""
+
+    def make():
+        root = scratch_path(spark, "models")
+        _run(spark, sf_dir, root, "run")
+        return root
+
+    return once(spark, sf_dir, "model", make)
+
+
 @query("forecast")
 def forecast(spark, sf_dir):
-    train_rows, columns = _prepared(spark, sf_dir, TRAIN_RANGE)
-    test_rows, _ = _prepared(spark, sf_dir, TEST_RANGE)
-    return _shown(predict(train(train_rows, columns, SETTINGS, [SERIES_KEY], 600), test_rows, 600), columns)
+    model, _ = load_model(spark, _stored_model(spark, sf_dir), "run")
+    test_rows, columns = _prepared(spark, sf_dir, TEST_RANGE)
+    return _shown(predict(model, test_rows, 600), columns)
 
 
 @query("forecast_horizon")
@@ -169,10 +180,8 @@ def training(spark, sf_dir):
 
 @query("predict_run")
 def prediction(spark, sf_dir):
-    root = scratch_path(spark, "models")
-    made, _ = _run(spark, sf_dir, root, "run")
-    forecasts, _ = predict_run(spark, pool(spark, sf_dir), root, "run", TEST_RANGE)
-    return _shown(forecasts, made.columns)
+    forecasts, _ = predict_run(spark, pool(spark, sf_dir), _stored_model(spark, sf_dir), "run", TEST_RANGE)
+    return _shown(forecasts, ["click_n", "click_d", "view_n", "error_n"])
 
 
 @query("list_models")

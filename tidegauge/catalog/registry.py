@@ -23,7 +23,16 @@ TUMBLING = "w10m-s10m"
 FEATURES = ["n", "d", "v"]
 PROTOCOLS = ["click", "error", "purchase", "signup", "view"]
 
-_pools: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+_made: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, what: str, make: Callable):
+    """Result of ``make()``, built once per session and version of the events."""
+    version = path_version(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    key = (spark.sparkContext.applicationId, version, what)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
 
 
 def query(name: str, sql: str | None = None):
@@ -54,20 +63,22 @@ def windows(spark: SparkSession, sf_dir: str, ws: str, by=("protocol",)) -> Data
     )
 
 
-def pool_path(spark: SparkSession, sf_dir: str, ws: str) -> str:
-    """Datapool written once per session, data version and window tag."""
-    source = f"{sf_dir.rstrip('/')}/events.parquet"
-    key = (spark.sparkContext.applicationId, path_version(spark, source), ws)
-    if key not in _pools:
+def _stored_pool(spark: SparkSession, sf_dir: str, ws: str) -> tuple[str, DataFrame]:
+    def make():
         path = scratch_path(spark, "datapool")
         write_datapool(windows(spark, sf_dir, ws), path, ws)
-        _pools[key] = (path, spark.read.parquet(path))
-    return _pools[key][0]
+        return path, spark.read.parquet(path)
+
+    return once(spark, sf_dir, f"pool {ws}", make)
+
+
+def pool_path(spark: SparkSession, sf_dir: str, ws: str) -> str:
+    """Folder of the datapool, which is written once and read by many queries."""
+    return _stored_pool(spark, sf_dir, ws)[0]
 
 
 def pool(spark: SparkSession, sf_dir: str, ws: str = HOURLY) -> DataFrame:
-    path = pool_path(spark, sf_dir, ws)
-    return next(frame for known, frame in _pools.values() if known == path)
+    return _stored_pool(spark, sf_dir, ws)[1]
 
 
 def series(spark: SparkSession, sf_dir: str, ws: str = HOURLY) -> DataFrame:
