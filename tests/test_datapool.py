@@ -185,6 +185,11 @@ def test_cache_is_reused_and_keyed(spark, landed, tmp_path):
     stored = sorted(p.name for p in (tmp_path / "cache").iterdir())
     assert rows_of(cached_series(spark, path, *arguments)) == rows_of(first)
     assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == stored and len(stored) == 1
+    day = dt.datetime(2019, 6, 9)
+    write_zip(tmp_path / "later.zip", {"ssh/2019/06/09/w01h-s10m.tsv": member_text(["in"], day, range(5))})
+    land_archives(spark, str(tmp_path), path, ALL)
+    cached_series(spark, path, *arguments)
+    assert len(list((tmp_path / "cache").iterdir())) == 2
     keys = {
         spec_key("p", SPEC, "w", "<2019-06-01,2019-06-02)", []),
         spec_key("q", SPEC, "w", "<2019-06-01,2019-06-02)", []),

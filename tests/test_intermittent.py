@@ -63,7 +63,7 @@ def test_equals_the_recurrence(frame, series, alpha, beta, block, tsb):
 
 def test_blocks_fit_a_double():
     assert 0.6 ** -decay_block_rows(0.6) < 1e201
-    assert decay_block_rows(0.0) == decay_block_rows(1.0) == 100_000
+    assert decay_block_rows(0.0) == decay_block_rows(1.0) == 20_000
     assert decay_block_rows(1e-9) >= 1
 
 

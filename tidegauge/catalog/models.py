@@ -123,7 +123,7 @@ def _shown(forecasts, columns):
     return forecasts.select("t", "window_start", *[r(f"{side}_{c}", 4) for c in columns for side in ("actual", "forecast")])
 
 
-def _stored_model(spark, sf_dir) -> str:
+def stored_model(spark, sf_dir) -> str:
     """Folder with one trained model, for the queries that only apply it."""
 
     def make():
@@ -136,7 +136,7 @@ def _stored_model(spark, sf_dir) -> str:
 
 @query("forecast")
 def forecast(spark, sf_dir):
-    model, _ = load_model(spark, _stored_model(spark, sf_dir), "run")
+    model, _ = load_model(spark, stored_model(spark, sf_dir), "run")
     test_rows, columns = _prepared(spark, sf_dir, TEST_RANGE)
     return _shown(predict(model, test_rows, 600), columns)
 
@@ -180,7 +180,7 @@ def training(spark, sf_dir):
 
 @query("predict_run")
 def prediction(spark, sf_dir):
-    forecasts, _ = predict_run(spark, pool(spark, sf_dir), _stored_model(spark, sf_dir), "run", TEST_RANGE)
+    forecasts, _ = predict_run(spark, pool(spark, sf_dir), stored_model(spark, sf_dir), "run", TEST_RANGE)
     return _shown(forecasts, ["click_n", "click_d", "view_n", "error_n"])
 
 

@@ -182,9 +182,8 @@ def train(
 ) -> Forecaster:
     """Fit one regressor per column on scaled sequences of all columns.
 
-    The samples are written once and every pass of every regressor reads them.
-    With ``validation_share`` the latest part of the training time span decides
-    when boosting stops.
+    The samples are written once. With ``validation_share`` the latest part of
+    the training time span decides when boosting stops.
     """
     columns, by = list(columns), list(by)
     repaired = repair(series, columns, by, settings, position)
@@ -201,8 +200,13 @@ def train(
         cut = span["hi"] - settings.validation_share * (span["hi"] - span["lo"])
         labelled = labelled.withColumn("_validation", epoch_seconds(F.col("window_start")) > cut)
     assembler = VectorAssembler(inputCols=[n for _, n in _inputs(columns, settings)], outputCol="_features")
-    ready = assembler.transform(labelled)
-    fitted = [_regressor(settings, c).fit(ready) for c in columns]
+    used = ["_features", *[f"_label_{c}" for c in columns], *(["_validation"] if settings.validation_share else [])]
+    # Kept while fitting only: every regressor passes over the same vectors.
+    ready = assembler.transform(labelled).select(*used).persist()
+    try:
+        fitted = [_regressor(settings, c).fit(ready) for c in columns]
+    finally:
+        ready.unpersist()
     return Forecaster(
         settings, columns, by, input_bounds, target_bounds, PipelineModel(stages=[assembler, *fitted])
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app_name: str = "tidegauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -77,9 +78,14 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def path_version(spark: SparkSession, path: str) -> str:
-    """Size and modification time of a file or folder tree, to key cached results."""
+    """Size and modification time of a file or a whole folder, to key cached results.
+
+    A folder is listed by Spark; the content of its files is not read.
+    """
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    status = fs.getFileStatus(hadoop_path)
-    size = fs.getContentSummary(hadoop_path).getLength()
-    return f"{path}|{status.getModificationTime()}|{size}"
+    status = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path)
+    if status.isFile():
+        return f"{path}|{status.getModificationTime()}|{status.getLen()}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = files.agg(F.max("modificationTime"), F.sum("length"), F.count(F.lit(1))).head()
+    return "|".join(map(str, (path, *found)))
