@@ -21,7 +21,6 @@ HOURLY = "w01h-s10m"
 MINUTELY = "w10m-s01m"
 TUMBLING = "w10m-s10m"
 FEATURES = ["n", "d", "v"]
-PROTOCOLS = ["click", "error", "purchase", "signup", "view"]
 
 _made: dict[tuple, object] = {}
 
@@ -83,13 +82,13 @@ def pool(spark: SparkSession, sf_dir: str, ws: str = HOURLY) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str, ws: str = HOURLY) -> DataFrame:
     """All protocols' windows with position ``t`` and length ``n_rows``, gaps left out."""
-    rows = datapool_scan(pool(spark, sf_dir, ws), PROTOCOLS, ws, FEATURES).drop("day")
+    rows = datapool_scan(pool(spark, sf_dir, ws), None, ws, FEATURES).drop("day")
     return with_position(rows, total="n_rows")
 
 
 def filled(spark: SparkSession, sf_dir: str, ws: str = HOURLY) -> DataFrame:
     """All protocols on a complete grid, features of added windows NULL."""
-    rows = datapool_scan(pool(spark, sf_dir, ws), PROTOCOLS, ws, FEATURES).drop("day")
+    rows = datapool_scan(pool(spark, sf_dir, ws), None, ws, FEATURES).drop("day")
     return gap_fill(rows, parse_window_tag(ws)[1])
 
 

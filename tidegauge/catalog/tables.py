@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.registry import (
-    FEATURES, HOURLY, PROTOCOLS, events, filled, pool, pool_path, query, r, series, sql_filled, sql_series,
+    FEATURES, HOURLY, events, filled, pool, pool_path, query, r, series, sql_filled, sql_series,
     sql_windows, sql_with, table, windows,
 )
 from tidegauge.functions.times import partial_date_bounds
@@ -56,7 +56,7 @@ def scan(spark, sf_dir):
     + f"SELECT protocol, day, window_start, n FROM days WHERE {IN_RANGE}",
 )
 def time_range(spark, sf_dir):
-    rows = datapool_scan(pool(spark, sf_dir), PROTOCOLS, HOURLY, ["n"], RANGE)
+    rows = datapool_scan(pool(spark, sf_dir), None, HOURLY, ["n"], RANGE)
     return rows.select("protocol", "day", "window_start", "n")
 
 
@@ -66,7 +66,7 @@ def time_range(spark, sf_dir):
     + f"SELECT protocol, day, window_start, n FROM days WHERE {NOT_EXCLUDED}",
 )
 def time_range_exclude(spark, sf_dir):
-    rows = datapool_scan(pool(spark, sf_dir), PROTOCOLS, HOURLY, ["n"], excluded=EXCLUDED)
+    rows = datapool_scan(pool(spark, sf_dir), None, HOURLY, ["n"], excluded=EXCLUDED)
     return rows.select("protocol", "day", "window_start", "n")
 
 
@@ -106,7 +106,7 @@ def delimited(spark, sf_dir):
 @query("tsv_roundtrip", sql_with(WIN) + "SELECT protocol, window_start, window_end, n, d, round(v, 6) AS v FROM win")
 def tsv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "pool-tsv")
-    rows = datapool_scan(pool(spark, sf_dir), PROTOCOLS, HOURLY, FEATURES).drop("day")
+    rows = datapool_scan(pool(spark, sf_dir), None, HOURLY, FEATURES).drop("day")
     write_tsv(rows, path)
     back = read_delimited(spark, path)
     return back.select(
@@ -255,7 +255,7 @@ PARTIAL_RANGES = "2024-01-03--2024-01-08, 2024-01-15, 2023, 20240120--2024-01"
     + "SELECT protocol, day, window_start, n, inside FROM marked",
 )
 def partial_date_filter(spark, sf_dir):
-    rows = datapool_scan(pool(spark, sf_dir), PROTOCOLS, HOURLY, ["n"]).select("protocol", "day", "window_start", "n")
+    rows = datapool_scan(pool(spark, sf_dir), None, HOURLY, ["n"]).select("protocol", "day", "window_start", "n")
     ranges = ranges_from_text(spark, PARTIAL_RANGES)
     inside = in_ranges(rows, ranges).withColumn("inside", F.lit(True))
     return inside.unionByName(in_ranges(rows, ranges, keep=False).withColumn("inside", F.lit(False)))
@@ -326,7 +326,7 @@ def repaired(spark, sf_dir):
     + "SELECT protocol, day, len AS window_seconds, nullif(slide, 0) AS slide_seconds FROM filled_spec",
 )
 def window_spec(spark, sf_dir):
-    return estimate_window_spec(datapool_scan(pool(spark, sf_dir), PROTOCOLS, HOURLY, []))
+    return estimate_window_spec(datapool_scan(pool(spark, sf_dir), None, HOURLY, []))
 
 
 @query(

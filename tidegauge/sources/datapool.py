@@ -50,18 +50,21 @@ def write_datapool(features: DataFrame, path: str, ws: str) -> None:
 
 def datapool_scan(
     pool: DataFrame,
-    protocols: Sequence[str],
+    protocols: Sequence[str] | None,
     ws: str,
     columns: Sequence[str] | None = None,
     time_range: str | DayRange | None = None,
     excluded: Sequence[str | DayRange] = (),
 ) -> DataFrame:
-    """Rows of the given protocols, window tag and days, with the given features.
+    """Rows of the given protocols (None: all), window tag and days, with the given
+    features.
 
     All filters are on partition columns, so they prune folders, and the column
     list prunes the Parquet read. Missing columns come back as NULL strings.
     """
-    kept = pool.where(F.col("protocol").isin(*protocols) & (F.col("ws") == ws))
+    kept = pool.where(F.col("ws") == ws)
+    if protocols is not None:
+        kept = kept.where(F.col("protocol").isin(*protocols))
     if time_range is not None:
         kept = kept.where(time_range_filter(time_range))
     if excluded:
