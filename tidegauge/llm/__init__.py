@@ -1,4 +1,4 @@
 """Operators for preparing training corpora; nothing else in the library imports them."""
 
 from tidegauge.llm.common import ORACLES, QUERIES  # noqa: F401
-from tidegauge.llm import exact_dedup, packing, rules, simhash  # noqa: F401
+from tidegauge.llm import exact_dedup, packing, rules, simhash, suffixes  # noqa: F401

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidegauge.session import materialise, scratch_path, shared_dir  # noqa: F401
 
@@ -44,15 +46,21 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def _column(values, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
     """Apply ``rows`` to every Arrow batch; it returns the columns of ``schema``."""
-    names = [part.split()[0] for part in schema.split(",")]
+    kinds = StructType.fromDDL(schema)
+    names = kinds.names
+    arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = rows(batch)
             if made is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(made[n]) for n in names], names=names)
+                yield pa.RecordBatch.from_arrays([_column(made[f.name], f.type) for f in arrow], names=names)
 
     return df.mapInArrow(run, schema)
 

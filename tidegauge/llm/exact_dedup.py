@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import query, table, text_of
@@ -190,8 +190,20 @@ def exact_duplicates(incoming: DataFrame, held: DataFrame) -> DataFrame:
 
 def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a table into a snapshot and a batch that comes in after it."""
-    later = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    return docs.where(later), docs.where(~later)
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    return docs.where(~held), docs.where(held)
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns."""
+    kept = exact_duplicates(*halves(docs)).where("kept").select("doc_id", "digest")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))
+    marked = with_digests(rows).select("row", "doc_id", "digest")
+    same = marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked["digest"] == kept["digest"])
+    found = marked.join(kept, same, "left_semi")
+    # Repeated rows are the only ones left to choose from here.
+    first = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.lit(1)))
+    return found.withColumn("copy", first).where("copy = 1").select("row.*")
 
 
 @query(

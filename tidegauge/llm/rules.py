@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,6 +199,27 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are kept, with all their columns.
+
+    Statistics are taken once to fit and calibrate, and again while the rows are
+    filtered where they are; texts are not shuffled.
+    """
+    forest, threshold = fit_rules(materialise(with_statistics(docs), "statistics"), labels)
+    held = docs.sparkSession.sparkContext.broadcast(forest)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([statistics(t or "") for t in batch.column(place).to_pylist()], float).reshape(-1, len(COUNTS) + len(SHARES))
+            good = (found[:, 0] >= MIN_WORDS) & (100 * found[:, 4] <= 50 * found[:, 0])
+            if held.value is not None and good.any():
+                good[good] = held.value.scores(found[good, len(COUNTS):]) < threshold
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op6_quality_rules")
 def op6(spark, sf_dir):
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -195,6 +195,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, se
     return marked.join(by_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, shingle: int, max_distance: int, segments: int) -> DataFrame:
+    """The document with the smallest doc_id of every component, with all its columns."""
+    found = near_duplicates(docs, shingle, max_distance, segments)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["kept_id"]), "left_semi")
+
+
 @query("op1_simhash_near_dedup")
 def op1(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
