@@ -25,6 +25,8 @@ ignored here (the pipeline keeps those of documents).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,7 +44,6 @@ PART = 1 << 18
 GROUP = 50_000
 
 _BASE = 0x9E3779B97F4A7C15
-_POWERS, _INVERSE = (np.cumprod(np.array([1] + [x] * PART, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 RUNS = "head long, whole long, doc long, first long, size int, anchor int"
 
 
@@ -52,15 +53,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, made once per worker."""
+    return tuple(np.cumprod(np.array([1] + [x] * PART, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
 def _sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums that `_hash` makes polynomial hashes of any substring from."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)], out=sums[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers()[0][: len(data)], out=sums[1:])
     return sums
 
 
 def _hash(sums: np.ndarray, start, end) -> np.ndarray:
-    return mixed((sums[end] - sums[start]) * _INVERSE[start])
+    return mixed((sums[end] - sums[start]) * _powers()[1][start])
 
 
 def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
