@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.llm.bpe import text_encoder
 from tidegauge.llm.common import query, table, text_of
-from tidegauge.llm.tokens import library_pieces, public_path
+from tidegauge.llm.tokens import public_path
 from tidegauge.session import materialise
 
 CAPACITY = 2048
@@ -52,7 +53,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int =
     """
 
     def run(batches):
-        encoder = library_pieces(path, True)
+        encoder = text_encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)

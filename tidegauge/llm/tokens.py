@@ -1,8 +1,8 @@
-"""Ids of whole texts, piece by piece.
+"""Ids of whole texts by their words.
 
-Most of a text's pieces between spaces have been seen before, and both
-vocabularies encode a piece alike wherever it stands, so every worker keeps the
-ids of the pieces it has met. New pieces go through an encoder in one batch.
+Most words of a text have been seen before, and a word is encoded alike wherever
+it stands, so every worker keeps the ids of the words it has met. The new words
+of a batch go through an encoder together.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Pieces a worker remembers before it starts afresh; bounds memory, not results.
-MOST_PIECES = 400_000
+#: Words a worker remembers before it starts afresh; bounds memory, not results.
+MOST_WORDS = 600_000
 
 
 @lru_cache(maxsize=4)
@@ -26,23 +26,16 @@ def tokenizer(path: str) -> Tokenizer:
     return made
 
 
-def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
-
-    return encode
-
-
 class _Numbers(dict):
-    """Numbers new pieces in the order they come, and lists them."""
+    """Numbers new words in the order they come, and lists them."""
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        self.new.append(piece)
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
         return number
 
 
@@ -52,16 +45,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-class PieceEncoder:
-    """Encodes texts by remembered pieces.
+class WordMemory:
+    """Encodes texts by remembered words.
 
-    ``split`` cuts a text so that the ids of the pieces, one after the other, are
-    the ids of the text, or returns None where it can't say so; such a text is
-    encoded as a whole.
+    ``split`` cuts a text into words; ``encode`` gives, for a list of words, how
+    many ids each has and all ids one after the other.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], split: Callable[[str], list[str] | None]):
-        self.encode, self.split = encode, split
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.split, self.encode = split, encode
         self._forget()
 
     def _forget(self):
@@ -72,14 +64,12 @@ class PieceEncoder:
         new = self.numbers.new
         if not new:
             return
-        found = self.encode(new)
+        lengths, flat = self.encode(new)
         first = len(self.numbers) - len(new)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
         while len(self.numbers) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         while self.filled + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.lengths[first:len(self.numbers)] = lengths
         self.starts[first:len(self.numbers)] = self.filled + np.cumsum(lengths) - lengths
         self.ids[self.filled:self.filled + len(flat)] = flat
@@ -88,54 +78,12 @@ class PieceEncoder:
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as uint32."""
-        if len(self.numbers) > MOST_PIECES:
+        if len(self.numbers) > MOST_WORDS:
             self._forget()
         number = self.numbers.__getitem__
-        coded: list = []
-        for text in texts:
-            pieces = self.split(text)
-            coded.append(None if pieces is None else np.fromiter(map(number, pieces), np.int64, len(pieces)))
+        coded = [np.array(list(map(number, words)), np.int64) for words in map(self.split, texts)]
         self._learn()
-        whole = [t for t, c in zip(texts, coded) if c is None]
-        rest = iter(self.encode(whole)) if whole else iter(())
-        return [
-            np.array(next(rest), np.uint32) if c is None else self.ids[ranges(self.starts[c], self.lengths[c])]
-            for c in coded
-        ]
-
-
-def word_pieces(text: str) -> list[str]:
-    """Pieces for a vocabulary that drops white space: nothing crosses a space or line end."""
-    return [p for p in text.replace("\n", " ").split(" ") if p]
-
-
-def spaced_pieces(text: str) -> list[str] | None:
-    """Pieces for a byte-level vocabulary whose words take one space before them.
-
-    A space next to other white space belongs to a longer run, whose ids depend on
-    all of it; texts with such runs are not cut. A piece may hold line ends.
-    """
-    first, *rest = text.split(" ")
-    if not rest:
-        return [text] if text else []
-    pieces = [" " + p for p in rest]
-    if first:
-        pieces.insert(0, first)
-        if first[-1].isspace():
-            return None
-    for p in pieces[:-1] if not first else pieces[1:-1]:
-        if len(p) == 1 or p[1].isspace() or p[-1].isspace():
-            return None
-    last = pieces[-1]
-    if len(last) > 1 and last[1].isspace():
-        return None
-    return pieces
-
-
-@lru_cache(maxsize=4)
-def library_pieces(path: str, spaced: bool) -> PieceEncoder:
-    """One encoder per worker, vocabulary and way to cut."""
-    return PieceEncoder(library_encoder(path), spaced_pieces if spaced else word_pieces)
+        return [self.ids[ranges(self.starts[c], self.lengths[c])] for c in coded]
 
 
 def public_path(name: str) -> str:
