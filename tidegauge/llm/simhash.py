@@ -6,8 +6,9 @@ looks up the small Hamming ball around each of its segments in a table of
 segment values, and every match is verified over all 64 bits.
 
 Nulls and empty texts have fingerprint zero and link like any other. Repeated
-rows share one fingerprint, which is looked up once. An empty table gives an
-empty result. Extra columns are ignored.
+rows share one fingerprint, which is looked up once. A component's id is null only
+if none of its rows has a doc_id. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations

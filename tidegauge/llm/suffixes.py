@@ -38,7 +38,7 @@ from tidegauge.session import materialise
 
 LENGTH = 200
 GRAM = 40
-#: Bytes hashed at a time; windows that cross the end are hashed with the next part.
+#: Bytes hashed at a time, a power of two; windows that cross the end are hashed with the next part.
 PART = 1 << 18
 #: Runs of one anchor compared in one task; more are dealt out and compared in two steps.
 GROUP = 50_000
