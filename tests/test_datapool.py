@@ -8,7 +8,7 @@ from helpers import plan_of, rows_of
 from tidegauge.functions.times import DayRange, partial_date_bounds
 from tidegauge.sources.archive import land_archives, list_archives
 from tidegauge.sources.datapool import (
-    cached_series, convert_units, datapool_scan, empty_like, in_ranges, parse_spec, ranges_from_text, select_series, spec_key, store_partitions,
+    cached_series, convert_units, datapool_scan, in_ranges, parse_spec, read_datapool, ranges_from_text, select_series, spec_key, store_partitions,
 )
 
 SPEC = (
@@ -101,7 +101,6 @@ def test_absent_protocol_gives_an_empty_result(spark, landed):
     pool = spark.read.parquet(landed[1])
     got = select_series(pool, "conn|in_count_uid;ftp|x#window_start,window_end", "w01h-s10m", "<2019-06-01,2019-06-03)")
     assert got.columns == ["window_start", "window_end", "in_count_uid", "x"] and got.count() == 0
-    assert empty_like(spark, ["x"]).count() == 0
 
 
 def test_scan_prunes_folders_and_columns(spark, landed):
@@ -214,3 +213,50 @@ def test_writes_replace_only_their_partitions(spark, tmp_path):
     store_partitions(rows(2, 9), path)
     got = spark.read.parquet(path).groupBy("day", "n").count()
     assert rows_of(got) == [(dt.date(2024, 1, 1), 1, 3), (dt.date(2024, 1, 2), 9, 3)]
+
+
+def test_protocols_written_apart_keep_their_own_features(spark, tmp_path):
+    path = str(tmp_path / "pool")
+    day = dt.datetime(2024, 1, 1)
+
+    def written(protocol, feature, value):
+        rows = [(protocol, "w01h-s10m", day.date(), day + dt.timedelta(minutes=10 * k), day + dt.timedelta(minutes=10 * k + 60), value) for k in range(139)]
+        store_partitions(spark.createDataFrame(rows, f"protocol string, ws string, day date, window_start timestamp_ntz, window_end timestamp_ntz, {feature} long"), path)
+
+    written("conn", "a", 1)
+    written("dns", "b", 2)
+    spec = "conn|a;dns|b#window_start,window_end"
+    got = select_series(read_datapool(spark, path), spec, "w01h-s10m")
+    assert rows_of(got.select("a", "b").distinct()) == [(1, 2)] and got.count() == 139
+    with pytest.raises(ValueError, match="no columns"):
+        select_series(read_datapool(spark, path), "conn|misspelt", "w01h-s10m")
+    assert cached_series(spark, path, spec, "w01h-s10m", str(tmp_path / "cache")).where("b = 2").count() == 139
+    written("ssh", "c", 3)
+    assert cached_series(spark, path, "ssh|c", "w01h-s10m", str(tmp_path / "cache")).where("c = 3").count() == 139
+
+
+def test_archives_may_share_a_day_and_bring_columns_later(spark, tmp_path):
+    day, pool = dt.datetime(2019, 6, 1), str(tmp_path / "pool")
+    name = "ssh/2019/06/01/w01h-s10m.tsv"
+    for folder in ("one", "two", "three"):
+        (tmp_path / folder).mkdir()
+    write_zip(tmp_path / "one" / "a.zip", {name: member_text(["in"], day, range(72))})
+    write_zip(tmp_path / "one" / "b.zip", {name: member_text(["in"], day, range(144))})
+    land_archives(spark, str(tmp_path / "one"), pool)
+    assert read_datapool(spark, pool).count() == 144
+    write_zip(tmp_path / "two" / "c.zip", {"dns/2019/06/01/w01h-s10m.tsv": member_text(["in_distinct_query"], day, range(144))})
+    for _ in range(2):
+        land_archives(spark, str(tmp_path / "two"), pool)
+    landed = read_datapool(spark, pool)
+    assert landed.count() == 288 and landed.where("in_distinct_query IS NOT NULL").count() == 144
+
+
+def test_units_of_landed_text(spark):
+    rows = spark.createDataFrame([("1024.0",), ("",), (" 5000 ",), ("None",), (None,)], "x_kb string")
+    assert [r["x_kb"] for r in convert_units(rows).collect()] == [1, None, 4, None, None]
+
+
+def test_list_specs_take_their_own_keys():
+    entries = [{"protocol": "conn", "columns": {"a": "a"}}]
+    assert parse_spec(entries) == (entries, ["window_start", "window_end"])
+    assert parse_spec([*entries, {"keys": ["k"]}]) == (entries, ["k"])

@@ -7,7 +7,7 @@ import pytest
 from helpers import rows_of
 from tidegauge.operators import screening
 from tidegauge.operators.screening import (
-    acf, adf, adf_critical_5, adf_lag0, adf_max_lag, adf_p_value, frequency_edges, gram_matrix, grid_cells,
+    acf, adf, adf_critical_5, adf_lag0, adf_max_lag, adf_p_value, frequency_edges, gram_matrix,
     independent_columns, mutual_information, nonzero_levels, pacf,
 )
 
@@ -134,7 +134,7 @@ def test_dickey_fuller_tables():
 
 def test_bins_have_near_equal_counts(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": RNG.exponential(size=5000), "k": 1.0}))
-    edges = frequency_edges(grid_cells(df, ["x", "k"]), ["x", "k"], 10)
+    edges = frequency_edges(df, ["x", "k"], 10)
     assert len(edges["x"]) == 9 and edges["k"] == []
 
 
@@ -154,3 +154,15 @@ def test_mutual_information(spark, combinations, monkeypatch):
 
 def test_durbin_levinson_of_a_first_order_process():
     assert np.allclose(screening._durbin_levinson([0.5**k for k in range(4)]), [1.0, 0.5, 0.0, 0.0], atol=1e-12)
+
+
+def test_mutual_information_of_skewed_columns(spark):
+    x = np.append(np.exp(RNG.normal(size=2999) * 3), 1e12)
+    got = mutual_information(spark.createDataFrame(pd.DataFrame({"x": x, "y": 2 * x + 1})), ["x", "y"]).collect()
+    assert all(r["mi"] == pytest.approx(math.log(10), abs=1e-9) for r in got)
+
+
+def test_dickey_fuller_of_an_incomplete_column_is_unknown(spark):
+    rows = [("a", t, None if t == 100 else float(RNG.normal())) for t in range(400)]
+    got = adf(spark.createDataFrame(rows, "protocol string, t long, x double"), ["x"], by=["protocol"]).head()
+    assert got["statistic"] is None and got["stationary"] is None

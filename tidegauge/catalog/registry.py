@@ -11,8 +11,8 @@ from tidegauge.functions.times import parse_window_tag
 from tidegauge.operators.position import with_position
 from tidegauge.operators.repair import gap_fill, zero_fill
 from tidegauge.operators.windows import window_features
-from tidegauge.session import materialise, path_version, scratch_path
-from tidegauge.sources.datapool import datapool_scan, write_datapool
+from tidegauge.session import materialise, path_version, scratch_generation, scratch_path
+from tidegauge.sources.datapool import datapool_scan, read_datapool, write_datapool
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ _made: dict[tuple, object] = {}
 def once(spark: SparkSession, sf_dir: str, what: str, make: Callable):
     """Result of ``make()``, built once per session and version of the events."""
     version = path_version(spark, f"{sf_dir.rstrip('/')}/events.parquet")
-    key = (spark.sparkContext.applicationId, version, what)
+    key = (spark.sparkContext.applicationId, scratch_generation(spark), version, what)
     if key not in _made:
         _made[key] = make()
     return _made[key]
@@ -66,7 +66,7 @@ def _stored_pool(spark: SparkSession, sf_dir: str, ws: str) -> tuple[str, DataFr
     def make():
         path = scratch_path(spark, "datapool")
         write_datapool(windows(spark, sf_dir, ws), path, ws)
-        return path, spark.read.parquet(path)
+        return path, read_datapool(spark, path)
 
     return once(spark, sf_dir, f"pool {ws}", make)
 

@@ -21,7 +21,7 @@ from tidegauge.session import materialise, scratch_path
 from tidegauge.sources.archive import land_archives
 from tidegauge.sources.datapool import (
     PARTITIONS, WINDOW_KEYS, cached_series, convert_units, datapool_scan, in_ranges, protocol_join, ranges_from_text,
-    select_series,
+    read_datapool, select_series, write_datapool,
 )
 from tidegauge.sources.delimited import load_numeric_tsv, read_delimited, write_tsv
 
@@ -144,8 +144,8 @@ def archive_landing(spark, sf_dir):
     packed.write.mode("overwrite").parquet(scratch_path(spark, "archive-list"))
     # The second call finds everything landed and adds nothing.
     for _ in range(2):
-        land_archives(spark, root, target, FEATURES)
-    landed = spark.read.parquet(target)
+        land_archives(spark, root, target)
+    landed = read_datapool(spark, target)
     return landed.select(
         *PARTITIONS, *WINDOW_KEYS,
         *[F.col(c).cast("bigint").alias(c) for c in ("n", "d")],
@@ -177,6 +177,16 @@ def spec_select(spark, sf_dir):
     return select_series(pool(spark, sf_dir), SPEC, HOURLY, RANGE, EXCLUDED)
 
 
+@query("datapool_mixed_features", _spec_sql())
+def mixed_features(spark, sf_dir):
+    """The same series from a pool whose protocols were written apart, with their own features."""
+    path = scratch_path(spark, "mixed")
+    rows = pool(spark, sf_dir).where(F.col("ws") == HOURLY)
+    for protocol, features in (("click", ["n", "d"]), ("view", ["n"]), ("error", ["v", "n"])):
+        write_datapool(rows.where(F.col("protocol") == protocol).select("protocol", *WINDOW_KEYS, *features), path, HOURLY)
+    return select_series(read_datapool(spark, path), SPEC, HOURLY, RANGE, EXCLUDED)
+
+
 @query("dataset_cache", _spec_sql())
 def dataset_cache(spark, sf_dir):
     root = scratch_path(spark, "datasets")

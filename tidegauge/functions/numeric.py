@@ -29,8 +29,8 @@ def suffix_divisor(name: str) -> int | None:
 
 
 def truncated_units(value: Column, divisor: int) -> Column:
-    """Divide and drop the fraction; NULL stays NULL."""
-    return (value / F.lit(divisor)).cast("bigint")
+    """Divide and drop the fraction. NULL stays NULL, and text that is no number becomes NULL."""
+    return (to_number(value) / F.lit(divisor)).cast("bigint")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

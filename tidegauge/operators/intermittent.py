@@ -132,7 +132,9 @@ def _smoothed_demand(
     the rate of the demand probability that then stands in ``period``."""
     by = list(by)
     keep = 1.0 - alpha
-    size = block_rows or decay_block_rows(keep, keep if beta is None else 1.0 - beta)
+    # Longer blocks would underflow the decay, so the bound holds for a given size, too.
+    bound = decay_block_rows(keep, keep if beta is None else 1.0 - beta)
+    size = min(block_rows or bound, bound)
     at, d = F.col(position), F.col("demand")
     hit = d > 0
     hit_at = F.when(hit, at)

@@ -25,10 +25,13 @@ def attach(
     The summary is written first, so its size is known before the join is
     planned: up to ``broadcast_rows`` it is broadcast and ``rows`` does not move.
     A larger summary is repeated once per salt and joined on key and salt, so a
-    key holding a large share of the rows is spread over ``salts`` tasks.
+    key holding a large share of the rows is spread over ``salts`` tasks. Without
+    keys the summary is a single row for all.
     """
     by = list(by)
     written = materialise(summary, "summary")
+    if not by:  # one row for all
+        return rows.withColumn("_all", F.lit(1)).join(F.broadcast(written.limit(1).withColumn("_all", F.lit(1))), "_all", "left").drop("_all")
     if written.count() <= broadcast_rows:
         return rows.join(F.broadcast(written), by, "left")
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))

@@ -43,6 +43,8 @@ def unscaled(value: Column, lo: Column, hi: Column) -> Column:
 
 
 def _with_bounds(df: DataFrame, columns: Sequence[str], bounds, by: Sequence[str], formula) -> DataFrame:
+    if not by and not isinstance(bounds, dict):
+        bounds = bounds_of(bounds)
     if isinstance(bounds, dict):
         return df.withColumns(
             {c: formula(F.col(c).cast("double"), F.lit(bounds[c][0]), F.lit(bounds[c][1])) for c in columns}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.joins import attach
 from tidegauge.operators.position import BLOCK_ROWS, before, in_blocks, with_neighbours
-from tidegauge.operators.scaling import bounds_of, minmax_fit
+from tidegauge.session import materialise
 
 # MacKinnon (1994) p-value polynomials and (2010) 5% critical
 # value for the Dickey-Fuller regression with a constant.
@@ -364,6 +364,8 @@ def _adf_from_sums(sums: np.ndarray, y: dict[int, float], total: int, limit: int
     if used <= best + 2 or residual <= 1e-12 * gram[0, 0] or inverse[0, 0] <= 0:
         return (None, None, best, used, None, None)
     statistic = float(coefficients[0] / math.sqrt(residual / (used - best - 2) * inverse[0, 0]))
+    if not math.isfinite(statistic):  # a missing value is in some sum
+        return (None, None, best, used, None, None)
     p_value, critical = adf_p_value(statistic), adf_critical_5(used)
     return (statistic, p_value, best, used, critical, bool(p_value <= 0.05 and statistic <= critical))
 
@@ -384,46 +386,38 @@ def _nested_residuals(gram: np.ndarray) -> np.ndarray:
     return gram[0, 0] - explained[1:]
 
 
-def frequency_edges(
-    cells: DataFrame, columns: Sequence[str], bins: int
-) -> dict[str, list[int]]:
-    """Cell numbers at which near-equal-frequency bins begin, per column.
+def frequency_edges(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Values at which near-equal-frequency bins begin, per column, exactly.
 
-    ``cells`` holds the grid cell of every value, so the counts have at most one
-    row per column and cell whatever the size of the data. A cell belongs to
-    the bin of the share of rows below it.
+    A value belongs to the bin of the share of rows below it. Values are counted,
+    sorted in sampled ranges, and the counts of the ranges before are added, so
+    no task holds a column; only the edges reach the driver.
     """
-    long = cells.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("cell")) for c in columns])).alias("_c")
+    spark = df.sparkSession
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_c")
     ).select("_c.*")
-    counts = long.where(F.col("cell").isNotNull()).groupBy("feature", "cell").agg(F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    share = F.coalesce(F.sum("n").over(below), F.lit(0)) * bins
-    binned = counts.select(
-        "feature", "cell", F.floor(share / F.sum("n").over(Window.partitionBy("feature"))).alias("bin")
+    counts = long.where(F.col("x").isNotNull()).groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialise(counts.repartitionByRange(tasks, "feature", "x").withColumn("part", F.spark_partition_id()), "value_counts")
+    sizes = ranges.groupBy("feature", "part").agg(F.sum("n").alias("size"))
+    so_far = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(
+        "feature", "part", F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("shift"),
+        F.sum("size").over(Window.partitionBy("feature")).alias("total"),
     )
-    edges = binned.groupBy("feature", "bin").agg(F.min("cell").alias("start")).where("bin > 0")
-    found: dict[str, list[int]] = {c: [] for c in columns}
+    within = Window.partitionBy("feature", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per feature and range: small whatever the rows.
+    binned = ranges.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(shifts), ["feature", "part"])
+    bin_of = F.floor((F.col("own") + F.col("shift")) * bins / F.col("total"))
+    edges = binned.groupBy("feature", bin_of.alias("bin")).agg(F.min("x").alias("start")).where("bin > 0")
+    found: dict[str, list[float]] = {c: [] for c in columns}
     for row in edges.collect():
         found[row["feature"]].append(row["start"])
     return {c: sorted(starts) for c, starts in found.items()}
 
 
-def grid_cells(df: DataFrame, columns: Sequence[str], grid: int = 65_536) -> DataFrame:
-    """Replace values by their cell on a fine grid between minimum and maximum."""
-    bounds = bounds_of(minmax_fit(df, columns))
-
-    def cell(c: str):
-        lo, hi = bounds[c]
-        if lo is None or lo == hi:
-            return F.when(F.col(c).isNotNull(), F.lit(0).cast("bigint"))
-        share = (F.col(c).cast("double") - F.lit(lo)) / F.lit(hi - lo)
-        return F.least(F.floor(share * grid).cast("bigint"), F.lit(grid - 1).cast("bigint"))
-
-    return df.select(*[cell(c).alias(c) for c in columns])
-
-
-def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = 10, grid: int = 65_536) -> DataFrame:
+def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """Mutual information of every column pair over equal-frequency bins.
 
     ``(feature, other, mi, relative)``, ``relative`` being divided by the largest
@@ -434,8 +428,8 @@ def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = 10, gr
     its pairs directly. Both combine on the map side, so no more than
     ``pairs * bins**2`` rows per task are shuffled in the end.
     """
-    cells = grid_cells(df.select(*columns).dropna(), columns, grid)
-    edges = frequency_edges(cells, columns, bins)
+    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    edges = frequency_edges(whole, columns, bins)
 
     def bin_of(c: str):
         place = F.lit(0)
@@ -443,7 +437,7 @@ def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = 10, gr
             place = place + F.when(F.col(c) >= start, 1).otherwise(0)
         return place.alias(c)
 
-    binned = cells.select(*[bin_of(c) for c in columns])
+    binned = whole.select(*[bin_of(c) for c in columns])
     if bins ** len(columns) <= MI_COMBINATIONS:
         counted = binned.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     else:

@@ -12,6 +12,7 @@ from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, R
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.numeric import to_number
 from tidegauge.functions.times import epoch_seconds, from_epoch_seconds
 from tidegauge.operators.position import BLOCK_ROWS, after, before, with_neighbours
 from tidegauge.operators.repair import interpolate_linear, zero_fill
@@ -57,8 +58,9 @@ def _input_name(column: str, step: int) -> str:
 
 
 def repair(df: DataFrame, columns: Sequence[str], by: Sequence[str], settings: Settings, position: str = "t") -> DataFrame:
-    """Numeric repair before modelling: interpolate if asked for, then zeros."""
+    """Numeric repair before modelling: numbers, interpolation if asked for, then zeros."""
     if settings.interpolate:
+        df = df.withColumns({c: to_number(F.col(c)) for c in columns})
         df = interpolate_linear(df, columns, by, position)
     return zero_fill(df, columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
 
@@ -39,7 +40,7 @@ def score(forecasts: DataFrame, columns: Sequence[str]) -> DataFrame:
 def train_run(
     spark: SparkSession,
     pool: DataFrame,
-    spec: str,
+    spec: str | Sequence[dict],
     ws: str,
     train_range: str,
     test_range: str,
@@ -69,7 +70,7 @@ def train_run(
     )
     report = spark.createDataFrame(rows, "feature string, metric string, value double").withColumns(
         {
-            "model": F.lit(name), "ws": F.lit(ws), "spec": F.lit(spec),
+            "model": F.lit(name), "ws": F.lit(ws), "spec": F.lit(spec if isinstance(spec, str) else json.dumps(list(spec))),
             "train_range": F.lit(train_range), "test_range": F.lit(test_range),
             "steps_ahead": F.lit(settings.steps_ahead), "training_seconds": F.lit(seconds),
         }

@@ -64,8 +64,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_dropped: dict[str, int] = {}
+
+
+def scratch_generation(spark: SparkSession) -> int:
+    """How often this application's tables were removed; what was made before is gone."""
+    return _dropped.get(spark.sparkContext.applicationId, 0)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the tables this application has put in the shared folder."""
+    _dropped[spark.sparkContext.applicationId] = scratch_generation(spark) + 1
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -77,6 +86,11 @@ def qualified(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(hadoop_path).toString().rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def path_version(spark: SparkSession, path: str) -> str:
     """Size and modification time of a file or a whole folder, to key cached results.
 

@@ -14,12 +14,11 @@ from datetime import date
 
 import pandas as pd
 from pyarrow import fs as pafs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.session import materialise, qualified
-from tidegauge.sources.datapool import PARTITIONS, WINDOW_KEYS, store_partitions
+from tidegauge.session import materialise, path_exists, qualified
+from tidegauge.sources.datapool import PARTITIONS, WINDOW_KEYS, read_datapool, store_partitions
 
 # Fixed value: path of a member inside an archive.
 MEMBER = re.compile(r"([^/]+)/(\d{4})/(\d{2})/(\d{2})/(w.+?-s.+?)\.tsv")
@@ -27,8 +26,15 @@ CHUNK_ROWS = 50_000
 MAX_TASKS = 20_000
 
 
+# Stores that Hadoop and Arrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _locate(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
+    scheme, found, rest = path.partition("://")
+    if found and scheme in SCHEMES:
+        return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{rest}")
+    if found or path.startswith("file:"):
         return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
     return pafs.LocalFileSystem(), path
 
@@ -51,8 +57,14 @@ def list_archives(spark: SparkSession, root: str, depth: int | None = 1) -> Data
     return listed.where(F.regexp_count("archive", F.lit("/")) <= levels)
 
 
+MEMBERS = "archive string, member string, crc long, size long, columns array<string>, protocol string, ws string, day date"
+
+
 def list_members(archives: DataFrame) -> DataFrame:
-    """One row per datapool member of the archives."""
+    """One row per datapool member of the archives, with its checksum and header.
+
+    Only the archive's index and the first line of each member are read.
+    """
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -60,14 +72,16 @@ def list_members(archives: DataFrame) -> DataFrame:
             for path in batch["archive"]:
                 fs, inner = _locate(path)
                 with fs.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
-                    for name in archive.namelist():
-                        found = MEMBER.match(name)
+                    for info in archive.infolist():
+                        found = MEMBER.match(info.filename)
                         if found:
+                            with archive.open(info) as text:
+                                header = text.readline().decode("utf-8").rstrip("\r\n").split("\t")
                             protocol, year, month, day, tag = found.groups()
-                            rows.append((path, name, protocol, tag, date(int(year), int(month), int(day))))
-            yield pd.DataFrame(rows, columns=["archive", "member", *PARTITIONS])
+                            rows.append((path, info.filename, info.CRC, info.file_size, header, protocol, tag, date(int(year), int(month), int(day))))
+            yield pd.DataFrame(rows, columns=["archive", "member", "crc", "size", "columns", *PARTITIONS])
 
-    return archives.mapInPandas(members, "archive string, member string, protocol string, ws string, day date")
+    return archives.mapInPandas(members, MEMBERS)
 
 
 def read_members(members: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -96,38 +110,53 @@ def read_members(members: DataFrame, columns: Sequence[str]) -> DataFrame:
     return members.select("archive", "member", *PARTITIONS).mapInPandas(rows, schema)
 
 
+def _landed_path(pool_path: str) -> str:
+    """Table of landed members; readers of the pool skip names with an underscore."""
+    return f"{pool_path.rstrip('/')}/_landed_members"
+
+
 def land_archives(
     spark: SparkSession,
     root: str,
     pool_path: str,
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     depth: int | None = 1,
 ) -> None:
-    """Extract the members that are not in the datapool yet and append them.
-
-    What has landed is known from the partition folders alone. Each member is
-    one unit of work, however the archives group them; the task counts are
-    explicit because AQE would merge tasks whose input is only a few paths.
+    """Bring the members of all archives that are not in the datapool yet into it.
+
+    Members bring all their columns; ``columns`` only limits them on request.
+    What has landed is a table of members kept with the pool. A partition (protocol,
+    tag, day) with new members is written again from its rows and theirs, equal
+    rows once, so several archives may share a day, and a repeated or interrupted
+    landing gives the same pool. Members with equal checksum, size and partition are one.
+    Task counts are explicit because AQE would merge tasks whose input is only
+    a few paths.
     """
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = list_members(list_archives(spark, root, depth).repartition(tasks, "archive"))
-    # The same member in two archives is landed once.
-    place = F.struct("archive", "member")
-    members = (
-        members.groupBy(*PARTITIONS)
-        .agg(F.min(place).alias("at"))
-        .select("at.archive", "at.member", *PARTITIONS)
-    )
-    try:
-        landed = spark.read.parquet(pool_path).select(*PARTITIONS).distinct()
-        members = members.join(landed, PARTITIONS, "left_anti")
-    except AnalysisException:
-        pass
+    same = [*PARTITIONS, "crc", "size"]
+    place = F.struct("archive", "member", "columns")
+    members = members.groupBy(*same).agg(F.min(place).alias("at")).select(*same, "at.*")
     members = materialise(members, "members")
-    waiting = members.count()
-    if waiting == 0:
+    waiting = members
+    if path_exists(spark, f"{_landed_path(pool_path)}/_SUCCESS"):
+        waiting = members.join(spark.read.parquet(_landed_path(pool_path)), same, "left_anti")
+    todo = materialise(waiting, "members")
+    count = todo.count()
+    if count == 0:
         return
-    spread = members.repartition(min(waiting, MAX_TASKS), "archive", "member")
+    if columns is None:
+        # As many rows as there are features.
+        found = todo.select(F.explode("columns").alias("name")).distinct().orderBy("name").collect()
+        columns = [r["name"] for r in found if r["name"] not in WINDOW_KEYS]
+    spread = todo.repartition(min(count, MAX_TASKS), "archive", "member")
     rows = read_members(spread, columns)
     typed = rows.withColumns({k: F.col(k).cast("timestamp_ntz") for k in WINDOW_KEYS})
-    store_partitions(typed, pool_path)
+    # Stored once: placing rows samples them first, which would read every member twice.
+    new = materialise(typed, "landing")
+    if path_exists(spark, f"{pool_path.rstrip('/')}/_SUCCESS"):
+        touched = F.broadcast(todo.select(*PARTITIONS).distinct())  # a row per protocol, tag and day that comes in
+        held = read_datapool(spark, pool_path).join(touched, PARTITIONS, "left_semi")
+        new = materialise(held.unionByName(new, allowMissingColumns=True), "landing")
+    store_partitions(new.distinct(), pool_path)
+    todo.select(*same).write.mode("append").parquet(_landed_path(pool_path))

@@ -8,15 +8,13 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegauge.functions.numeric import suffix_divisor, truncated_units
 from tidegauge.functions.times import DayRange, covered_by_any, parse_window_tag, partial_date_bounds
 from tidegauge.operators.repair import gap_fill
-from tidegauge.session import path_version
+from tidegauge.session import path_exists, path_version
 
 PARTITIONS = ["protocol", "ws", "day"]
 WINDOW_KEYS = ["window_start", "window_end"]
@@ -48,6 +46,15 @@ def write_datapool(features: DataFrame, path: str, ws: str) -> None:
     )
 
 
+def read_datapool(spark: SparkSession, path: str) -> DataFrame:
+    """The datapool at ``path`` with the features of all its protocols.
+
+    Protocols are written with features of their own, so the schemas of the
+    files are merged; a feature is NULL in the rows of protocols without it.
+    """
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def datapool_scan(
     pool: DataFrame,
     protocols: Sequence[str] | None,
@@ -60,7 +67,8 @@ def datapool_scan(
     features.
 
     All filters are on partition columns, so they prune folders, and the column
-    list prunes the Parquet read. Missing columns come back as NULL strings.
+    list prunes the Parquet read. A column that no file has is an error, unless
+    nothing is selected at all: then the result is empty.
     """
     kept = pool.where(F.col("ws") == ws)
     if protocols is not None:
@@ -72,7 +80,10 @@ def datapool_scan(
     if columns is None:
         return kept
     names = list(dict.fromkeys(["protocol", "day", *WINDOW_KEYS, *columns]))
-    return kept.select(*[c if c in kept.columns else F.lit(None).cast("string").alias(c) for c in names])
+    unknown = [c for c in names if c not in kept.columns]
+    if unknown and kept.select("day").head(1):
+        raise ValueError(f"the datapool has no columns {unknown}; read it with read_datapool to have those of all protocols")
+    return kept.select(*[c if c not in unknown else F.lit(None).cast("double").alias(c) for c in names])
 
 
 def time_range_filter(time_range: str | DayRange, day: str = "day"):
@@ -103,10 +114,14 @@ def in_ranges(df: DataFrame, ranges: DataFrame, day: str = "day", keep: bool = T
 def parse_spec(spec: str | Sequence[dict]) -> tuple[list[dict], list[str]]:
     """Split ``p1|c1|c2~new;p2|c3#k1,k2`` into protocol entries and merge keys.
 
-    Each entry is ``{"protocol": name, "columns": {source: output}}``.
+    Each entry is ``{"protocol": name, "columns": {source: output}}``. A list of
+    such entries is a spec, too; its merge keys are the window's, or those of a
+    last entry ``{"keys": [...]}``.
     """
     if not isinstance(spec, str):
-        return list(spec), list(WINDOW_KEYS)
+        entries = list(spec)
+        keys = entries.pop()["keys"] if entries and "keys" in entries[-1] else WINDOW_KEYS
+        return entries, list(keys)
     *head, last = spec.strip().split(";")
     last, _, keys = last.partition("#")
     entries = []
@@ -191,17 +206,7 @@ def cached_series(
     """
     version = path_version(spark, pool_path)
     target = f"{cache_root.rstrip('/')}/{spec_key(version, spec, ws, time_range, excluded, fill_gaps)}"
-    try:
-        return spark.read.parquet(target)
-    except AnalysisException:
-        pool = spark.read.parquet(pool_path)
+    if not path_exists(spark, f"{target}/_SUCCESS"):
+        pool = read_datapool(spark, pool_path)
         select_series(pool, spec, ws, time_range, excluded, fill_gaps).write.mode("overwrite").parquet(target)
-        return spark.read.parquet(target)
-
-
-def empty_like(spark: SparkSession, features: Sequence[str]) -> DataFrame:
-    """An empty datapool frame with the given feature columns."""
-    fields = [T.StructField("protocol", T.StringType()), T.StructField("ws", T.StringType()), T.StructField("day", T.DateType())]
-    fields += [T.StructField(k, T.TimestampNTZType()) for k in WINDOW_KEYS]
-    fields += [T.StructField(f, T.DoubleType()) for f in features]
-    return spark.createDataFrame([], T.StructType(fields))
+    return spark.read.parquet(target)
