@@ -41,6 +41,18 @@ def tasks_for(spark: SparkSession, rows: int, per_task: int = ROWS_PER_TASK) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+#: Rows of an Arrow batch: whole texts are in them, and tasks share an executor's memory.
+TEXTS_PER_BATCH = "1000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's batches for Python are made small enough for texts."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(TEXTS_PER_BATCH):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+    return df
+
+
 def text_of(column: str = "text"):
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -62,7 +74,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | d
             if made is not None:
                 yield pa.RecordBatch.from_arrays([_column(made[f.name], f.type) for f in arrow], names=names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def whole_partition(batches: Iterator, columns: list[str]) -> dict[str, np.ndarray]:

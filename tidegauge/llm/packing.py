@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import text_encoder
-from tidegauge.llm.common import query, table, text_of
+from tidegauge.llm.common import query, small_batches, table, text_of
 from tidegauge.llm.tokens import public_path
 from tidegauge.session import materialise
 
@@ -71,7 +71,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names[: len(columns)])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids binary" if ids else ""))
+    return small_batches(rows).mapInArrow(run, PIECES + (", ids binary" if ids else ""))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_arrow, query, table, text_of
+from tidegauge.llm.common import map_arrow, query, small_batches, table, text_of
 from tidegauge.session import materialise
 
 MIN_WORDS = 50
@@ -217,7 +217,7 @@ def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 good[good] = held.value.scores(found[good, len(COUNTS):]) < threshold
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 @query("op6_quality_rules")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import ROWS_PER_TASK, map_arrow, query, table, tasks_for, text_of, whole_partition
+from tidegauge.llm.common import ROWS_PER_TASK, map_arrow, query, small_batches, table, tasks_for, text_of, whole_partition
 from tidegauge.session import materialise
 
 LENGTH = 200
@@ -111,7 +111,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     whose scans deal out rows alike; its texts are not copied for this.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("text"))
-    return rows.withColumn("doc", F.monotonically_increasing_id())
+    return small_batches(rows).withColumn("doc", F.monotonically_increasing_id())
 
 
 def all_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:

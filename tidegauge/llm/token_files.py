@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bpe import text_encoder
-from tidegauge.llm.common import query, table, text_of
+from tidegauge.llm.common import query, small_batches, table, text_of
 from tidegauge.llm.files import create, new_name, read
 from tidegauge.llm.tokens import public_path, tokenizer
 from tidegauge.session import materialise, scratch_path
@@ -150,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         if held_docs:
             yield flush()
 
-    files = materialise(dealt.mapInArrow(run, MANIFEST), "token_files")
+    files = materialise(small_batches(dealt).mapInArrow(run, MANIFEST), "token_files")
     # One row a file: the running total over files is a small window.
     before = F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("first_id", F.coalesce(before, F.lit(0)))

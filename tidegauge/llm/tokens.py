@@ -15,7 +15,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Words a worker remembers before it starts afresh; bounds memory, not results.
-MOST_WORDS = 600_000
+MOST_WORDS = 250_000
 
 
 @lru_cache(maxsize=4)
