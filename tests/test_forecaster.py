@@ -1,13 +1,16 @@
 import datetime as dt
 import math
 import random
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows_of
 from tidegauge.operators.autoregression import ar1_fit, ar1_forecast, with_previous
 from tidegauge.plans.forecaster import Settings, predict, samples, train
+from tidegauge.plans.linear import block_moments, sample_moments
 from tidegauge.plans.runs import predict_run, score, train_run
 from tidegauge.plans.store import list_models, load_model, save_model
 from tidegauge.sources.datapool import store_partitions
@@ -64,6 +67,29 @@ def test_one_lag_equals_closed_form(spark, waves):
     assert gap[0] == 399 and gap[1] < 1e-6
 
 
+@pytest.mark.parametrize("delta, steps", [(True, 1), (True, 3), (False, 2)])
+def test_one_pass_solves_what_the_iterative_solver_does(waves, delta, steps):
+    settings = Settings(sequence_len=4, steps_ahead=steps, delta=delta, reg_param=1e-3)
+    direct = train(waves, ["x", "y"], settings, BY, 600)
+    other = train(waves, ["x", "y"], replace(settings, options={"solver": "normal"}), BY, 600)
+    assert direct.input_bounds == pytest.approx(other.input_bounds) and direct.target_bounds == pytest.approx(other.target_bounds)
+    one = predict(direct, waves, 600)
+    two = predict(other, waves, 600).select("t", F.col("forecast_x").alias("x2"), F.col("forecast_y").alias("y2"))
+    gap = one.join(two, "t").agg(F.count("*"), F.max(F.abs(F.expr("forecast_x - x2"))), F.max(F.abs(F.expr("forecast_y - y2")))).head()
+    assert gap[0] == 400 - 4 + (0 if delta else 1) and max(gap[1], gap[2]) < 1e-6
+
+
+@pytest.mark.parametrize("delta", [True, False])
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_moments_do_not_depend_on_blocks(spark, waves, delta, size):
+    rows = np.array([[r["x"], r["y"]] for r in waves.orderBy("t").collect()])
+    whole = block_moments(rows, np.ones(len(rows), bool), 3, 2, delta)
+    found = sample_moments(waves, ["x", "y"], 3, 2, delta, BY, block_rows=size)
+    assert found.count == whole.count == 400 - 2 - (3 if delta else 2)
+    for part in ("mean", "comoment", "low", "high"):
+        assert np.allclose(getattr(found, part), getattr(whole, part), rtol=1e-9, atol=1e-9)
+
+
 def test_linear_trend_is_learned(spark):
     # A constant change: the scaled range is one point, the forecast continues the line.
     line = frame(spark, {"x": [3.0 * t for t in range(60)]})

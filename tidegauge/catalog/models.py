@@ -109,13 +109,9 @@ def _prepared(spark, sf_dir, time_range):
 def trained(spark, sf_dir):
     """Coefficients of the linear forecaster, one row per output and input."""
     rows, columns = _prepared(spark, sf_dir, TRAIN_RANGE)
-    model = train(rows, columns, SETTINGS, [SERIES_KEY], 600).model
-    inputs = model.stages[0].getInputCols()
-    found = [
-        (c, name, float(weight))
-        for c, stage in zip(columns, model.stages[1:])
-        for name, weight in zip([*inputs, "intercept"], [*stage.coefficients, stage.intercept])
-    ]
+    weights = train(rows, columns, SETTINGS, [SERIES_KEY], 600).weights
+    inputs = [f"_in_{c}_{i}" for c in columns for i in range(SETTINGS.sequence_len)]
+    found = [(c, name, weight) for c in columns for name, weight in zip([*inputs, "intercept"], weights[c])]
     return spark.createDataFrame(found, "output string, input string, weight double").select("output", "input", r("weight"))
 
 

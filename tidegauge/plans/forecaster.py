@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +19,24 @@ from tidegauge.operators.position import BLOCK_ROWS, after, before, with_neighbo
 from tidegauge.operators.repair import interpolate_linear, zero_fill
 from tidegauge.operators.scaling import scaled, unscaled
 from tidegauge.operators.series import lag_name
+from tidegauge.plans.linear import ridge, sample_moments
 from tidegauge.session import materialise
 
 REGRESSORS = ("linear", "gbt", "random_forest", "fm")
+#: Widest sequence whose normal equations are summed in one pass; beyond it, or
+#: with options for Spark's own solver, the solution is approached iteratively.
+MOMENT_INPUTS = 256
 
 
 @dataclass
 class Settings:
-    """Hyperparameters of a forecaster."""
+    """Hyperparameters of a forecaster.
+
+    ``passes`` bounds the iterations (or trees). Iterative solvers stop earlier
+    once the loss improves by less than ``tol``; boosting does so once its error
+    on the validation share improves by less than ``patience``. Direct solutions
+    and forests have nothing to stop.
+    """
 
     sequence_len: int = 12
     steps_ahead: int = 1
@@ -34,6 +45,7 @@ class Settings:
     regressor: str = "linear"
     passes: int = 50
     patience: float = 0.01
+    tol: float = 1e-6
     validation_share: float = 0.0
     bounded: bool = True
     reg_param: float = 1e-6
@@ -51,6 +63,8 @@ class Forecaster:
     input_bounds: dict[str, tuple[float, float]]
     target_bounds: dict[str, tuple[float, float]]
     model: PipelineModel
+    #: Of a linear model fitted directly: weights of the scaled inputs, then the intercept.
+    weights: dict[str, list[float]] | None = None
 
 
 def _input_name(column: str, step: int) -> str:
@@ -161,7 +175,7 @@ def _regressor(settings: Settings, column: str):
     } | settings.options
     if settings.regressor == "linear":
         # Overlapping windows make lags nearly dependent, hence the small penalty.
-        return LinearRegression(maxIter=settings.passes, regParam=settings.reg_param, **common)
+        return LinearRegression(maxIter=settings.passes, regParam=settings.reg_param, tol=settings.tol, **common)
     if settings.regressor == "gbt":
         stop = {"validationIndicatorCol": "_validation", "validationTol": settings.patience}
         return GBTRegressor(
@@ -169,9 +183,37 @@ def _regressor(settings: Settings, column: str):
         )
     if settings.regressor == "random_forest":
         return RandomForestRegressor(numTrees=settings.passes, seed=settings.seed, **common)
-    if settings.regressor == "fm":
-        return FMRegressor(maxIter=settings.passes, seed=settings.seed, **common)
-    raise ValueError(f"unknown regressor {settings.regressor!r}, choose from {REGRESSORS}")
+    return FMRegressor(maxIter=settings.passes, tol=settings.tol, seed=settings.seed, **common)
+
+
+def _train_linear(
+    series: DataFrame, columns: list[str], settings: Settings, by: list[str], position: str
+) -> Forecaster:
+    """All outputs from the joint moments of inputs and targets."""
+    inputs = len(columns) * settings.sequence_len
+    found = sample_moments(series, columns, settings.sequence_len, settings.steps_ahead, settings.delta, by, position)
+    if not found.count:
+        raise ValueError("not enough rows for one full input sequence")
+    low, high = (np.split(side[:inputs], len(columns)) for side in (found.low, found.high))
+    input_bounds = {c: (float(lo.min()), float(hi.max())) for c, lo, hi in zip(columns, low, high)}
+    target_bounds = dict(input_bounds)
+    if settings.delta and settings.steps_ahead > 1:
+        target_bounds = {c: (float(found.low[inputs + k]), float(found.high[inputs + k])) for k, c in enumerate(columns)}
+    base, span = (
+        np.array([f(*input_bounds[c]) for c, _ in _inputs(columns, settings)])
+        for f in (lambda lo, hi: lo, lambda lo, hi: hi - lo or 1.0)
+    )
+    target_span = np.array([hi - lo or 1.0 for lo, hi in (target_bounds[c] for c in columns)])
+    weights = ridge(found, inputs, settings.reg_param, span, target_span)
+    middle = (found.mean[:inputs] - base) / span
+    shown, fitted = [], {}
+    for k, c in enumerate(columns):
+        level = (found.mean[inputs + k] - target_bounds[c][0]) / target_span[k]
+        fitted[c] = [*map(float, weights[k]), float(level - weights[k] @ middle)]
+        terms = [f"{w!r}D * `{name}`" for w, (_, name) in zip(fitted[c], _inputs(columns, settings))]
+        shown.append(f"{' + '.join([f'{fitted[c][-1]!r}D', *terms])} AS `_pred_{c}`")
+    formula = SQLTransformer(statement=f"SELECT *, {', '.join(shown)} FROM __THIS__")
+    return Forecaster(settings, columns, by, input_bounds, target_bounds, PipelineModel(stages=[formula]), fitted)
 
 
 def train(
@@ -184,12 +226,19 @@ def train(
 ) -> Forecaster:
     """Fit one regressor per column on scaled sequences of all columns.
 
-    The samples are written once. With ``validation_share`` the latest part of
-    the training time span decides when boosting stops.
+    Linear models read the series once. For others the repaired series is stored
+    and its sequences are made again where they are needed. With
+    ``validation_share`` the latest part of the training time span decides when
+    boosting stops.
     """
     columns, by = list(columns), list(by)
+    if settings.regressor not in REGRESSORS:
+        raise ValueError(f"unknown regressor {settings.regressor!r}, choose from {REGRESSORS}")
     repaired = repair(series, columns, by, settings, position)
-    rows = materialise(samples(repaired, columns, settings, by, slide_seconds, position), "samples")
+    if settings.regressor == "linear" and not settings.options and len(columns) * settings.sequence_len <= MOMENT_INPUTS:
+        return _train_linear(repaired, columns, settings, by, position)
+    repaired = materialise(repaired.select(*by, position, "window_start", *columns), "repaired")
+    rows = samples(repaired, columns, settings, by, slide_seconds, position)
     input_bounds, target_bounds = _fit_bounds(rows, columns, settings)
     known = rows.where(reduce(lambda a, b: a & b, [F.col(f"_out_{c}").isNotNull() for c in columns]))
     labelled = _with_scaled_inputs(known, columns, settings, input_bounds).withColumns(
