@@ -146,7 +146,20 @@ def forecast_horizon(spark, sf_dir):
     return _shown(predict(train(train_rows, columns, settings, [SERIES_KEY], 600), test_rows, 600), columns)
 
 
-@query("model_roundtrip")
+@query(
+    "model_roundtrip",
+    sql_with(
+        sql_windows(HOURLY),
+        *[
+            part
+            for p in ("click", "view", "error")
+            for part in (f"{p}_raw AS (SELECT * FROM win WHERE protocol = '{p}')", sql_filled(f"{p}_raw", f"{p}_all"))
+        ],
+    )
+    + f"""SELECT count(*) - 12 AS forecasts, 0.0::DOUBLE AS click_n, 0.0::DOUBLE AS click_d, 0.0::DOUBLE AS view_n, 0.0::DOUBLE AS error_n
+          FROM click_all c JOIN view_all USING (window_start, window_end) JOIN error_all USING (window_start, window_end)
+          WHERE c.{TEST}""",
+)
 def roundtrip(spark, sf_dir):
     """Largest difference between forecasts before saving and after loading: 0."""
     train_rows, columns = _prepared(spark, sf_dir, TRAIN_RANGE)
@@ -180,7 +193,12 @@ def prediction(spark, sf_dir):
     return _shown(forecasts, ["click_n", "click_d", "view_n", "error_n"])
 
 
-@query("list_models")
+@query(
+    "list_models",
+    f"""SELECT name, '{HOURLY}' AS ws, '{SPEC}' AS spec, '{TRAIN_RANGE}' AS train_range, '{TEST_RANGE}' AS test_range,
+               sequence_len::INT AS sequence_len, 24::INT AS metrics
+        FROM (VALUES ('one', 12), ('two', 3)) AS stored(name, sequence_len)""",
+)
 def models(spark, sf_dir):
     root = scratch_path(spark, "models")
     _run(spark, sf_dir, root, "one")
@@ -191,3 +209,96 @@ def models(spark, sf_dir):
         F.get_json_object("settings", "$.sequence_len").cast("int").alias("sequence_len"),
         F.size("metrics").alias("metrics"),
     )
+
+
+# ---- one column and few lags, where the regression has a closed form ----
+
+PLAIN_SPEC = "click|n~click_n#window_start,window_end"
+
+
+def _few_lags(length: int, delta: bool = False) -> Settings:
+    return Settings(sequence_len=length, delta=delta, bounded=False, reg_param=0.0)
+
+
+def _sql_forecast(length: int, delta: bool = False) -> str:
+    """Forecasts of the test range by least squares on one or two lags."""
+    level = "x - lag(x) OVER w" if delta else "x"
+    fit = "1 AS one, regr_slope(y, a) AS wa, 0 AS wb, regr_intercept(y, a) AS c"
+    if length == 2:
+        det = "(var_pop(a) * var_pop(b) - pow(covar_pop(a, b), 2))"
+        fit = f"""(covar_pop(a, y) * var_pop(b) - covar_pop(b, y) * covar_pop(a, b)) / {det} AS wa,
+                  (covar_pop(b, y) * var_pop(a) - covar_pop(a, y) * covar_pop(a, b)) / {det} AS wb,
+                  avg(y) - wa * avg(a) - wb * avg(b) AS c"""
+    first = length if delta else length - 1
+    return sql_with(
+        sql_windows(HOURLY),
+        sql_filled(),
+        f"""kept AS (SELECT {TRAIN} AS is_train, window_start, coalesce(n, 0)::DOUBLE AS x FROM filled WHERE protocol = 'click')""",
+        f"""levels AS (SELECT *, row_number() OVER w - 1 AS o, lead(x) OVER w AS actual, {level} AS a,
+                              lead(window_start) OVER w AS next_start
+                       FROM kept WINDOW w AS (PARTITION BY is_train ORDER BY window_start))""",
+        f"""origins AS (SELECT * FROM (
+               SELECT *, lag(a) OVER (PARTITION BY is_train ORDER BY o) AS b, actual - {"x" if delta else "0"} AS y FROM levels)
+             WHERE o >= {first})""",
+        f"weights AS (SELECT {fit} FROM origins WHERE is_train AND y IS NOT NULL)",
+        f"""forecasts AS (SELECT o + 1 AS t, coalesce(next_start, window_start + to_minutes(10)) AS window_start, actual,
+                                 c + wa * a + wb * coalesce(b, 0) + {"x" if delta else "0"} AS forecast
+                          FROM origins, weights WHERE NOT is_train)""",
+        # Changes over one step are scaled as inputs are, by the extent of all of them.
+        "bounds AS (SELECT min(a) AS lo, max(a) AS hi FROM levels WHERE is_train)",
+    )
+
+
+_SHOW = "SELECT t, window_start, round(actual, 4) + 0.0 AS actual_click_n, round(forecast, 4) + 0.0 AS forecast_click_n FROM forecasts"
+
+
+def _forecast_few(spark, sf_dir, length, delta=False):
+    train_rows, columns = _numbered(pool(spark, sf_dir), PLAIN_SPEC, HOURLY, TRAIN_RANGE, [])
+    test_rows, _ = _numbered(pool(spark, sf_dir), PLAIN_SPEC, HOURLY, TEST_RANGE, [])
+    return _shown(predict(train(train_rows, columns, _few_lags(length, delta), [SERIES_KEY], 600), test_rows, 600), columns)
+
+
+@query("forecast_one_lag", _sql_forecast(1) + _SHOW)
+def forecast_one_lag(spark, sf_dir):
+    return _forecast_few(spark, sf_dir, 1)
+
+
+@query("forecast_one_change", _sql_forecast(1, delta=True) + _SHOW)
+def forecast_one_change(spark, sf_dir):
+    return _forecast_few(spark, sf_dir, 1, delta=True)
+
+
+@query("forecast_two_lags", _sql_forecast(2) + _SHOW)
+def forecast_two_lags(spark, sf_dir):
+    return _forecast_few(spark, sf_dir, 2)
+
+
+_SQL_METRICS = """SELECT 'click_n' AS feature, metric, round(value, 5) + 0.0 AS value FROM (
+  SELECT unnest(['smape', 'r2', 'rmse', 'cosine', 'scaled_mse', 'scaled_mae']) AS metric, unnest([
+           CASE WHEN count_if(actual = 0 AND forecast = 0) = 0
+                THEN 100 * avg(2 * abs(forecast - actual) / nullif(abs(actual) + abs(forecast), 0)) END,
+           1 - sum(pow(actual - forecast, 2)) / (count(*) * var_pop(actual)),
+           sqrt(avg(pow(actual - forecast, 2))),
+           sum(actual * forecast) / (sqrt(sum(actual * actual)) * sqrt(sum(forecast * forecast))),
+           avg(pow((actual - forecast) / (hi - lo), 2)),
+           avg(abs(actual - forecast) / (hi - lo))]) AS value
+  FROM forecasts, bounds WHERE actual IS NOT NULL GROUP BY lo, hi)"""
+
+
+def _run_few(spark, sf_dir, root):
+    return train_run(spark, pool(spark, sf_dir), PLAIN_SPEC, HOURLY, TRAIN_RANGE, TEST_RANGE, root, "few", _few_lags(1))
+
+
+@query("train_run_one_lag", _sql_forecast(1) + _SQL_METRICS)
+def training_one_lag(spark, sf_dir):
+    _, report = _run_few(spark, sf_dir, scratch_path(spark, "models"))
+    return report.select("feature", "metric", r("value", 5))
+
+
+@query("predict_run_one_lag", _sql_forecast(1) + _SQL_METRICS)
+def prediction_one_lag(spark, sf_dir):
+    """Metrics of a model that was stored and loaded again."""
+    root = scratch_path(spark, "models")
+    _run_few(spark, sf_dir, root)
+    _, metrics = predict_run(spark, pool(spark, sf_dir), root, "few", TEST_RANGE)
+    return metrics.select("feature", "metric", r("value", 5))

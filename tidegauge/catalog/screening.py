@@ -42,7 +42,12 @@ def gram(spark, sf_dir):
     return gram_matrix(rows, NUMERIC).select("i", "j", F.round(F.col("gram") / total, 4).alias("gram"))
 
 
-@query("independent_columns")
+@query(
+    "independent_columns",
+    """SELECT position::INT AS position, feature, feature NOT IN ('gross', 'twice') AS independent
+       FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'gross', 'rebate', 'twice']) AS feature,
+                    unnest(range(7)) AS position)""",
+)
 def independent(spark, sf_dir):
     """``gross`` and ``twice`` depend on earlier columns and must be dropped."""
     rows = table(spark, sf_dir, "lineitem").select(
@@ -74,7 +79,30 @@ def autocorrelation(spark, sf_dir):
     return acf(series(spark, sf_dir), ["n", "d"], _ACF_LAGS).select("protocol", "feature", "lag", r("acf"))
 
 
-@query("pacf")
+@query(
+    "pacf",
+    "WITH RECURSIVE " + sql_with(
+        *SER,
+        """long AS (SELECT protocol, t, unnest(['n', 'd']) AS feature, unnest([n::DOUBLE, d::DOUBLE]) AS x FROM ser)""",
+        """centred AS (SELECT protocol, feature, t, x - avg(x) OVER (PARTITION BY protocol, feature) AS x,
+                              count(*) OVER (PARTITION BY protocol, feature) AS rows FROM long)""",
+        f"""lagged AS (SELECT protocol, feature, rows, k, x * lag(x, k) OVER (PARTITION BY protocol, feature, k ORDER BY t) AS p
+                       FROM centred, range({_ACF_LAGS + 1}) AS r(k))""",
+        """covs AS (SELECT protocol, feature, rows, k, coalesce(sum(p), 0) / (rows - k) AS cov
+                    FROM lagged WHERE k < rows GROUP BY protocol, feature, rows, k)""",
+        """listed AS (SELECT protocol, feature, list(cov ORDER BY k) AS cov FROM covs GROUP BY protocol, feature)""",
+        # Levinson's recursion: the newest coefficient is the partial autocorrelation.
+        """steps AS (
+             SELECT protocol, feature, cov, 0 AS k, []::DOUBLE[] AS phi, 1.0::DOUBLE AS newest, cov[1] AS error FROM listed
+             UNION ALL
+             SELECT protocol, feature, cov, k, list_transform(range(1, k), lambda i: phi[i] - newest * phi[k - i]) || [newest],
+                    newest, error * (1 - newest * newest)
+             FROM (SELECT protocol, feature, cov, k + 1 AS k, phi, error,
+                          (cov[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * cov[k - i + 2])), 0)) / error AS newest
+                   FROM steps WHERE k + 1 < len(cov)))""",
+    ).removeprefix("WITH ")
+    + "SELECT protocol, feature, k::INT AS lag, round(newest, 6) + 0.0 AS pacf FROM steps",
+)
 def partial_autocorrelation(spark, sf_dir):
     return pacf(series(spark, sf_dir), ["n", "d"], _ACF_LAGS).select("protocol", "feature", "lag", r("pacf"))
 
@@ -97,6 +125,33 @@ def unit_root_lag0(spark, sf_dir):
     return adf_lag0(series(spark, sf_dir), ["n", "d"]).select("protocol", "feature", "rows", r("statistic", 5))
 
 
+@query(
+    "adf_up_to_one_lag",
+    sql_with(
+        *SER,
+        "long AS (SELECT protocol, t, unnest(['n', 'd']) AS feature, unnest([n::DOUBLE, d::DOUBLE]) AS x FROM ser)",
+        "levels AS (SELECT *, lag(x) OVER w AS l, x - lag(x) OVER w AS y FROM long WINDOW w AS (PARTITION BY protocol, feature ORDER BY t))",
+        "rows AS (SELECT *, lag(y) OVER (PARTITION BY protocol, feature ORDER BY t) AS d FROM levels)",
+        # Sums about the mean of y on level and lagged change, over rows that have both.
+        """sums AS (SELECT protocol, feature, count(*) AS n, regr_syy(y, l) AS yy, regr_sxx(y, l) AS ll, regr_sxx(y, d) AS dd,
+                           regr_sxy(y, l) AS ly, regr_sxy(y, d) AS dy, regr_sxy(l, d) AS ld
+                    FROM rows WHERE t >= 2 GROUP BY protocol, feature)""",
+        """one AS (SELECT *, ll * dd - ld * ld AS det, (ly * dd - dy * ld) / det AS wl, (dy * ll - ly * ld) / det AS wd,
+                          yy - wl * ly - wd * dy AS rest1, yy - ly * ly / ll AS rest0 FROM sums)""",
+        """none AS (SELECT protocol, feature, count(*) AS n, regr_slope(y, l) AS wl, regr_sxx(y, l) AS ll,
+                           regr_syy(y, l) - regr_slope(y, l) * regr_sxy(y, l) AS rest FROM rows WHERE t >= 1 GROUP BY protocol, feature)""",
+    )
+    + """SELECT protocol, feature, (n1 < n0)::INT AS used_lag, (CASE WHEN n1 < n0 THEN one.n ELSE none.n END)::INT AS rows,
+                round(CASE WHEN n1 < n0 THEN one.wl / sqrt(rest1 / (one.n - 3) * dd / det)
+                           ELSE none.wl / sqrt(none.rest / (none.n - 2) / none.ll) END, 5) AS statistic
+         FROM (SELECT *, n * ln(rest1 / n) + 6 AS n1, n * ln(rest0 / n) + 4 AS n0 FROM one) AS one
+         JOIN none USING (protocol, feature)""",
+)
+def unit_root_one_lag(spark, sf_dir):
+    tested = adf(series(spark, sf_dir), ["n", "d"], max_lag=1)
+    return tested.select("protocol", "feature", "used_lag", "rows", r("statistic", 5))
+
+
 @query("adf")
 def unit_root(spark, sf_dir):
     tested = adf(series(spark, sf_dir), ["n", "d"])
