@@ -40,3 +40,24 @@ def test_round_trip_keeps_awkward_text(spark, tmp_path):
     write_tsv(df, str(tmp_path / "out"))
     back = read_delimited(spark, str(tmp_path / "out"))
     assert rows_of(back) == [("1", 'say "hi"'), ("2", '{"k": 1}'), ("3", "a, b")]
+
+
+@pytest.mark.parametrize("split", [None, "40"])
+def test_lines_around_the_table_are_left_out(spark, tmp_path, split):
+    for k in range(3):
+        rows = [f"{k}\t{i}" for i in range(20)]
+        (tmp_path / f"f{k}.tsv").write_text("\n".join(["# export", "# of a day", "a\tb", *rows, "# 20 rows", "# end"]) + "\n")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        wanted = sorted(((str(k), str(i)) for k in range(3) for i in range(20)), key=repr)
+        for arguments in ({"skip_rows": 2}, {"header": 2}, {"skip_rows": 1, "header": 1}):
+            got = read_delimited(spark, str(tmp_path), skip_footer=2, **arguments)
+            assert got.columns == ["a", "b"] and rows_of(got) == wanted
+        bare = read_delimited(spark, str(tmp_path), header=False, skip_rows=3, skip_footer=21, columns=[1])
+        assert rows_of(bare) == [("0",)] * 3
+        assert rows_of(read_delimited(spark, str(tmp_path), skip_rows=2, skip_footer=30)) == []
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

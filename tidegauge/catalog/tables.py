@@ -21,7 +21,7 @@ from tidegauge.session import materialise, scratch_path
 from tidegauge.sources.archive import land_archives
 from tidegauge.sources.datapool import (
     PARTITIONS, WINDOW_KEYS, cached_series, convert_units, datapool_scan, in_ranges, protocol_join, ranges_from_text,
-    read_datapool, select_series, write_datapool,
+    read_datapool, select_series, store_partitions, write_datapool,
 )
 from tidegauge.sources.delimited import load_numeric_tsv, read_delimited, write_tsv
 
@@ -103,6 +103,31 @@ def delimited(spark, sf_dir):
     return read.withColumn("n", F.col("n").cast("bigint"))
 
 
+@query(
+    "delimited_trimmed",
+    sql_with(WIN)
+    + """SELECT protocol, window_start, n FROM win
+         QUALIFY row_number() OVER (PARTITION BY protocol, CAST(window_start AS DATE) ORDER BY window_start DESC) > 1""",
+)
+def delimited_trimmed(spark, sf_dir):
+    """Files of a day with two lines above the header; the last row and a closing line are left out."""
+    path = scratch_path(spark, "trimmed")
+    rows = datapool_scan(pool(spark, sf_dir), None, HOURLY, ["n"])
+    cells = [F.col("protocol"), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), F.col("n").cast("string")]
+    days = rows.select("protocol", "day").distinct()
+    around = [(0, "# export"), (1, "# of a day"), (2, "protocol\twindow_start\tn"), (4, "# end")]
+    added = days.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.lit(x).alias("line")) for k, x in around])).alias("a"))
+    lines = rows.select("protocol", "day", F.lit(3).alias("part"), F.concat_ws("\t", *cells).alias("line")).unionByName(
+        added.select("protocol", "day", "a.part", "a.line")
+    )
+    ordered = lines.repartition("protocol", "day").sortWithinPartitions("protocol", "day", "part", "line")
+    ordered.select(
+        F.col("protocol").alias("p"), F.col("day").alias("d"), "line"
+    ).write.partitionBy("p", "d").text(path)
+    read = read_delimited(spark, path, skip_rows=2, skip_footer=2)
+    return read.select("protocol", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("n").cast("bigint").alias("n"))
+
+
 @query("tsv_roundtrip", sql_with(WIN) + "SELECT protocol, window_start, window_end, n, d, round(v, 6) AS v FROM win")
 def tsv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "pool-tsv")
@@ -187,6 +212,41 @@ def mixed_features(spark, sf_dir):
     return select_series(read_datapool(spark, path), SPEC, HOURLY, RANGE, EXCLUDED)
 
 
+TEXT_SPEC = "click|n|v~click_kb;view|v~view_mb;error|n~error_n#window_start,window_end"
+
+
+def _text_sql() -> str:
+    """Cells as :func:`spec_select_text` lands them, cleaned by rule."""
+    side = "SELECT * FROM win WHERE protocol = '{p}'"
+    blank = "CASE WHEN hour({t}.window_start) IN (3, 4) THEN NULL ELSE {x} END"
+    return (
+        sql_with(
+            WIN,
+            *[
+                part
+                for p in ("click", "view", "error")
+                for part in (f"{p}_raw AS ({side.format(p=p)})", sql_filled(f"{p}_raw", f"{p}_all"))
+            ],
+        )
+        + f"""SELECT c.window_start, c.window_end, c.n::DOUBLE AS n,
+                     CAST(trunc({blank.format(t="c", x="c.n * 512 + 0.5")} / 1024) AS BIGINT) AS click_kb,
+                     CAST(trunc({blank.format(t="w", x="w.n * 512 + 0.5")} / 1048576) AS BIGINT) AS view_mb, e.n::DOUBLE AS error_n
+              FROM click_all c JOIN view_all w USING (window_start, window_end) JOIN error_all e USING (window_start, window_end)"""
+    )
+
+
+@query("spec_select_text", _text_sql())
+def spec_select_text(spark, sf_dir):
+    """A series from cells of text: fractions, and blanks or ``None`` in two hours of the day."""
+    path = scratch_path(spark, "text-pool")
+    rows = pool(spark, sf_dir).where((F.col("ws") == HOURLY) & F.col("protocol").isin("click", "view", "error"))
+    hour = F.hour("window_start")
+    cell = F.when(hour == 3, "").when(hour == 4, "None").otherwise((F.col("n") * 512 + F.lit(0.5)).cast("string"))
+    store_partitions(rows.select(*PARTITIONS, *WINDOW_KEYS, F.col("n").cast("string").alias("n"), cell.alias("v")), path)
+    chosen = select_series(read_datapool(spark, path), TEXT_SPEC, HOURLY)
+    return coerce_numeric(chosen, ["n", "error_n"])
+
+
 @query("dataset_cache", _spec_sql())
 def dataset_cache(spark, sf_dir):
     root = scratch_path(spark, "datasets")

@@ -24,6 +24,9 @@ def get_spark(app_name: str = "tidegauge", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # State of streams grows with the entities of open windows; keep it off the heap.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # Recording the Python line of every column expression costs more than
         # the expression when a plan has hundreds of them.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
