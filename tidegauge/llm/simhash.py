@@ -1,9 +1,11 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints are cut into segments. If two differ in at most ``r`` bits, some
-segment of theirs differs in at most ``r // segments`` bits, so each fingerprint
-looks up the small Hamming ball around each of its segments in a table of
-segment values, and every match is verified over all 64 bits.
+Fingerprints are cut into segments, each with a radius, so that the radii plus
+one add up to ``r + 1``. Two fingerprints beyond every radius would differ in
+more than ``r`` bits, so each looks up the small Hamming ball around each of its
+segments in a table of segment values, and every match is verified over all 64
+bits. Fewer, wider segments need larger balls but share a value among fewer
+fingerprints; their number follows from that of the fingerprints.
 
 Nulls and empty texts have fingerprint zero and link like any other. Repeated
 rows share one fingerprint, which is looked up once. A component's id is null only
@@ -14,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ BITS = 64
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Table rows of one segment value in a task; a hotter value is cut into blocks.
 BLOCK = 20_000
+#: A look-up in the shuffle costs about as much as so many verified candidates.
+LOOKUP_COST = 60
 #: Candidate pairs verified at a time.
 CHUNK = 2_000_000
 
@@ -70,10 +75,38 @@ def ball(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(width), k)], np.uint64)
 
 
-def _segment_rows(fps: DataFrame, segments: int, radius: int, probes: bool) -> DataFrame:
+def radii(max_distance: int, segments: int) -> list[int]:
+    """Radius per segment; with one added to each they sum up to ``max_distance + 1``."""
+    share, more = divmod(max_distance + 1, segments)
+    return [share - (0 if i < more else 1) for i in range(segments)]
+
+
+def lookups(max_distance: int, segments: int) -> list[int]:
+    """Table values that a fingerprint looks up, per segment."""
+    return [sum(comb(w, k) for k in range(r + 1)) for (_, w), r in zip(segment_bounds(segments), radii(max_distance, segments))]
+
+
+def segments_for(n_fps: int, max_distance: int) -> int:
+    """Number of segments with the least work for so many fingerprints.
+
+    A look-up costs a row in the shuffle and the candidates that share its value,
+    ``n_fps / 2**width`` of them if values are spread evenly.
+    """
+
+    def work(segments: int) -> float:
+        widths = (w for _, w in segment_bounds(segments))
+        return sum(n * (LOOKUP_COST + n_fps / 2**w) for n, w in zip(lookups(max_distance, segments), widths))
+
+    # With more segments most balls would be single values.
+    return min(range(2, max(2, (max_distance + 2) // 2) + 1), key=work)
+
+
+def _segment_rows(fps: DataFrame, segments: int, max_distance: int, probes: bool) -> DataFrame:
     """``key, fp``: a segment value per fingerprint, or the ball around it."""
     bounds = segment_bounds(segments)
-    balls = [ball(w, radius if probes else 0) for _, w in bounds]
+    balls = [ball(w, r if probes else 0) for (_, w), r in zip(bounds, radii(max_distance, segments))]
+
+    widest = max(w for _, w in bounds)
 
     def rows(batches):
         for batch in batches:
@@ -82,7 +115,7 @@ def _segment_rows(fps: DataFrame, segments: int, radius: int, probes: bool) -> D
                 value = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
                 for part in range(0, len(masks), 64):
                     some = masks[part:part + 64]
-                    key = (value[:, None] ^ some[None, :]) | np.uint64(s << 32)
+                    key = (value[:, None] ^ some[None, :]) | np.uint64(s << widest)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(some)).view(np.int64))], names=["key", "fp"]
                     )
@@ -141,10 +174,9 @@ def near_links(fps: DataFrame, max_distance: int, segments: int, n_fps: int) ->
     table rows, and each pair of blocks is a separate cell.
     """
     spark = fps.sparkSession
-    radius = max_distance // segments
-    stored = _segment_rows(fps, segments, radius, False)
+    stored = _segment_rows(fps, segments, max_distance, False)
     hot = stored.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    probed = _segment_rows(fps, segments, radius, True)
+    probed = _segment_rows(fps, segments, max_distance, True)
     both = stored.withColumn("side", F.lit(0).cast("byte")).union(probed.withColumn("side", F.lit(1).cast("byte")))
     split = both.join(materialise(hot, "hot_values"), "key", "left")
     blocks = F.coalesce("blocks", F.lit(1))
@@ -158,8 +190,7 @@ def near_links(fps: DataFrame, max_distance: int, segments: int, n_fps: int) ->
         "fp",
         "side",
     )
-    probes = 1 + sum(len(ball(w, radius)) for _, w in segment_bounds(segments))
-    dealt = cells.repartition(tasks_for(spark, n_fps * probes), "cell")
+    dealt = cells.repartition(tasks_for(spark, n_fps * (segments + sum(lookups(max_distance, segments)))), "cell")
 
     def links(batches):
         rows = whole_partition(batches, ["cell", "fp", "side"])
@@ -176,7 +207,7 @@ def near_links(fps: DataFrame, max_distance: int, segments: int, n_fps: int) ->
     return dealt.mapInArrow(links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, segments: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``.
 
     ``component_id`` is the smallest doc_id reachable over links of fingerprints
@@ -184,7 +215,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, se
     """
     marked = materialise(with_fingerprints(docs, shingle), "fingerprints")
     fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
-    links = near_links(fps, max_distance, segments, fps.count())
+    n_fps = fps.count()
+    links = near_links(fps, max_distance, segments or segments_for(n_fps, max_distance), n_fps)
     roots = components(links)
     # Only linked fingerprints are in `roots`; the others are their own component.
     linked = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "root", "first")
@@ -196,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, se
     return marked.join(by_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int, max_distance: int, segments: int) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, shingle: int, max_distance: int, segments: int | None = None) -> DataFrame:
     """The document with the smallest doc_id of every component, with all its columns."""
     found = near_duplicates(docs, shingle, max_distance, segments)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
