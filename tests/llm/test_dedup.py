@@ -36,13 +36,25 @@ def brute_components(rows, shingle, distance):
     return sorted((d, f"{f:016x}", min(x for x in least[find(i)] if x is not None)) for i, (d, f) in enumerate(prints))
 
 
-@pytest.mark.parametrize("shingle,distance,segments,block", [(4, 4, 3, 20_000), (5, 7, 4, 3), (2, 12, 4, 20_000)])
+@pytest.mark.parametrize(
+    "shingle,distance,segments,block",
+    [(4, 4, 3, 20_000), (4, 4, 2, 5), (5, 7, None, 3), (5, 7, 5, 20_000), (2, 12, 4, 20_000), (4, 0, None, 20_000)]
+)
 def test_near_duplicates_match_brute_force(documents, corpus, monkeypatch, shingle, distance, segments, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
     found = simhash.near_duplicates(documents, shingle, distance, segments)
     assert sorted(map(tuple, found.collect())) == brute_components(corpus, shingle, distance)
 
 
+@pytest.mark.parametrize("distance", [0, 1, 4, 7])
+def test_some_segment_is_within_its_radius(distance):
+    for segments in range(2, 8):
+        assert sum(r + 1 for r in simhash.radii(distance, segments)) == distance + 1
+    # The more fingerprints there are, the wider the segments.
+    chosen = [simhash.segments_for(10**k, distance) for k in range(3, 12)]
+    assert chosen == sorted(chosen, reverse=True) and chosen[-1] == 2
+
+
 def test_local_roots_link_everything_that_hangs_together():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
