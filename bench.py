@@ -3,8 +3,8 @@
 Prints one JSON line. ``datapool_build`` and ``model_build`` are the one-off
 extraction of windows and training that the later queries read, as in production
 use; every other entry is the time to build, plan and fully evaluate one query.
-Left out are queries that repeat the work of one here with other arguments (ranges,
-horizons, model listings); name them as arguments to time them.
+The list is a choice: filters and ranges, single scores, landing, the dataset cache
+and model listings are left out; name them as arguments to time them.
 """
 
 from __future__ import annotations
