@@ -38,18 +38,23 @@ LOOKUP_COST = 60
 CHUNK = 2_000_000
 
 
-def fingerprint(data: bytes, shingle: int) -> int:
-    """Majority of the bits of all shingles' XXH64 (seed 42), as an unsigned int."""
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle; a shorter text is one shingle, without words it has none."""
     words = data.translate(LOWER).split()
-    if not words:
-        return 0
+    digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(joined, 42)  # one shingle: its own majority
+        return np.array([digest(joined, 42)] if words else [], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1:].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1:].tolist())], np.uint64)
+
+
+def fingerprint(data: bytes, shingle: int) -> int:
+    """Majority of the bits of all shingles' hashes, as an unsigned int."""
+    hashes = shingle_hashes(data, shingle)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0  # one shingle: its own majority
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
