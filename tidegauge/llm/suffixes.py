@@ -107,11 +107,18 @@ def runs_of(data: np.ndarray, length: int, gram: int) -> list[tuple[np.ndarray,
 def numbered(docs: DataFrame) -> DataFrame:
     """``row`` (all columns), ``text`` and ``doc``, a number that tells repeated rows apart.
 
-    The number comes from partition and place, so ``docs`` has to be a stored table,
-    whose scans deal out rows alike; its texts are not copied for this.
+    Scans are split by the cores there are when a job is planned, so the number is that
+    of the file and of the row in it, and texts of a stored table are not copied for it.
+    Any other frame is stored first.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("text"))
-    return small_batches(rows).withColumn("doc", F.monotonically_increasing_id())
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = materialise(docs, "documents")
+    file = docs.metadataColumn("_metadata")
+    paths = [r[0] for r in docs.select(file["file_path"].alias("file")).distinct().orderBy("file").collect()]  # one row a file
+    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "file string, number long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_of().alias("text"), file["file_path"].alias("file"), file["row_index"].alias("place"))
+    doc = F.shiftleft("number", 40).bitwiseOR(F.col("place")).alias("doc")  # up to 2**40 rows a file
+    return small_batches(rows).join(F.broadcast(files), "file").select("row", "text", doc)
 
 
 def all_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -335,11 +342,10 @@ def removed_spans(starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndar
 
 def cut_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """One row per document: ``row`` (its columns), ``n_bytes, spans`` (start and end, flat) and ``kept``, the bytes left."""
-    slim = numbered(docs.select("doc_id", "text")).select("text", "doc")
-    found = covers(slim, length, gram, group)
+    texts = numbered(docs)
+    found = covers(texts.select("text", "doc"), length, gram, group)
     # Windows of one document only, at most as many as it has bytes.
     per_doc = found.groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("size").alias("size"))
-    texts = numbered(docs)
     rows = texts.withColumn("row", F.col("row").withField("text", F.lit(None).cast("string")))
     rows = rows.join(per_doc, "doc", "left").select("row", "text", "first", "size")
 
