@@ -8,14 +8,12 @@ from tidegauge.llm.common import table
 from tidegauge.llm.exact_dedup import without_duplicates
 from tidegauge.llm.packing import packed_documents
 from tidegauge.llm.rules import passing
-from tidegauge.llm.similar import without_similar
+from tidegauge.llm.simhash import without_near_duplicates
 from tidegauge.llm.suffixes import without_repeats
 from tidegauge.session import materialise
 
-#: Near copies have sets of five-word shingles with a Jaccard similarity of 0.8 or more.
-SHINGLE, SIMILARITY = 5, (4, 5)
-#: Bits that fingerprints of such texts may differ in. The stage compares the sets themselves; this is for comparisons by fingerprint.
-MAX_DISTANCE = 16
+#: Words of a shingle, and bits that fingerprints of near copies may differ in: those of op1.
+SHINGLE, MAX_DISTANCE = 4, 4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the one with the smallest doc_id stays."""
-    return without_similar(docs, SHINGLE, SIMILARITY)
+    """Of documents whose fingerprints hang together the one with the smallest doc_id stays."""
+    return without_near_duplicates(docs, SHINGLE, MAX_DISTANCE)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +49,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can't express the isolation forest, shingles or packing; tests compare with brute force.
+#: SQL can't express the isolation forest, fingerprints or packing; tests compare with brute force.
 ORACLE_SQL = None
 
 

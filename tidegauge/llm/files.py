@@ -42,8 +42,3 @@ def read(uri: str, start: int = 0, size: int | None = None) -> bytes:
     store, path = locate(uri)
     with store.open_input_file(path) as file:
         return file.read_at(file.size() - start if size is None else size, start)
-
-
-def stream(uri: str, compression: str | None = None):
-    store, path = locate(uri)
-    return store.open_input_stream(path, compression=compression)
