@@ -8,8 +8,10 @@ from helpers import plan_of, rows_of
 from tidegauge.functions.times import DayRange, partial_date_bounds
 from tidegauge.sources.archive import land_archives, list_archives
 from tidegauge.sources.datapool import (
-    cached_series, convert_units, datapool_scan, in_ranges, parse_spec, read_datapool, ranges_from_text, select_series, spec_key, store_partitions,
+    cached_series, convert_units, datapool_scan, in_ranges, parse_spec, read_datapool, read_stored, ranges_from_text, select_series, spec_key,
+    store_partitions,
 )
+from tidegauge.sources.manifest import common_type, read_manifest
 
 SPEC = (
     "conn|in_count_uid~conn_in|out_count_uid~conn_out;dns|in_distinct_query~dns_in_distinct;"
@@ -243,12 +245,103 @@ def test_archives_may_share_a_day_and_bring_columns_later(spark, tmp_path):
     write_zip(tmp_path / "one" / "a.zip", {name: member_text(["in"], day, range(72))})
     write_zip(tmp_path / "one" / "b.zip", {name: member_text(["in"], day, range(144))})
     land_archives(spark, str(tmp_path / "one"), pool)
-    assert read_datapool(spark, pool).count() == 144
+    assert read_datapool(spark, pool).count() == 72 + 144  # every row of both
     write_zip(tmp_path / "two" / "c.zip", {"dns/2019/06/01/w01h-s10m.tsv": member_text(["in_distinct_query"], day, range(144))})
     for _ in range(2):
         land_archives(spark, str(tmp_path / "two"), pool)
     landed = read_datapool(spark, pool)
-    assert landed.count() == 288 and landed.where("in_distinct_query IS NOT NULL").count() == 144
+    assert landed.count() == 72 + 288 and landed.where("in_distinct_query IS NOT NULL").count() == 144
+
+
+def test_landing_keeps_equal_lines_and_replaces_a_changed_member(spark, tmp_path):
+    day, pool, root = dt.datetime(2019, 6, 1), str(tmp_path / "pool"), tmp_path / "in"
+    root.mkdir()
+    name = "ssh/2019/06/01/w01h-s10m.tsv"
+
+    def counts():
+        found = read_datapool(spark, pool).groupBy("window_start").count().collect()
+        return sorted((r["window_start"].hour * 60 + r["window_start"].minute, r["count"]) for r in found)
+
+    write_zip(root / "a.zip", {name: member_text(["in"], day, [0, 0, 0, 1])})
+    for _ in range(2):
+        land_archives(spark, str(root), pool)
+        assert counts() == [(0, 3), (10, 1)]
+    write_zip(root / "b.zip", {name: member_text(["in"], day, [0, 2])})
+    land_archives(spark, str(root), pool)
+    assert counts() == [(0, 4), (10, 1), (20, 1)]
+    write_zip(root / "a.zip", {name: member_text(["in"], day, [3, 3])})
+    land_archives(spark, str(root), pool)
+    assert counts() == [(0, 1), (20, 1), (30, 2)]
+    write_zip(root / "a.zip", {name: member_text(["in"], day, [0, 0, 0, 1])})  # as it was at first
+    for _ in range(2):
+        land_archives(spark, str(root), pool)
+    assert counts() == [(0, 4), (10, 1), (20, 1)]
+    lines = read_stored(spark, pool, read_manifest(spark, pool)).where("_member LIKE 'a.zip!%'")
+    assert sorted(r["_line"] for r in lines.collect()) == [0, 1, 2, 3]
+
+
+def test_an_interrupted_landing_is_made_good(spark, tmp_path, monkeypatch):
+    day, pool, root = dt.datetime(2019, 6, 1), str(tmp_path / "pool"), tmp_path / "in"
+    root.mkdir()
+    write_zip(root / "a.zip", {"ssh/2019/06/01/w01h-s10m.tsv": member_text(["in"], day, [0, 0, 5])})
+    write_zip(root / "b.zip", {"ssh/2019/06/01/w01h-s10m.tsv": member_text(["in"], day, [5])})
+    land_archives(spark, str(root), pool)
+    before = rows_of(read_datapool(spark, pool))
+    __import__("shutil").rmtree(f"{pool}/_landed_members")  # as if it had ended before the last step
+    land_archives(spark, str(root), pool)
+    assert rows_of(read_datapool(spark, pool)) == before and len(before) == 4
+
+
+def test_text_lands_beside_numbers(spark, tmp_path):
+    day, pool, root = dt.datetime(2019, 6, 1), str(tmp_path / "pool"), tmp_path / "in"
+    root.mkdir()
+    numbers = [("conn", "w01h-s10m", day.date(), day, day + dt.timedelta(hours=1), 7)]
+    schema = "protocol string, ws string, day date, window_start timestamp_ntz, window_end timestamp_ntz, `in` {}"
+    store_partitions(spark.createDataFrame(numbers, schema.format("long")), pool)
+    assert dict(read_datapool(spark, pool).dtypes)["in"] == "bigint"
+    text = member_text(["in"], day, range(3)).replace("\t1\t", "\tNone\t")
+    write_zip(root / "a.zip", {"ssh/2019/06/01/w01h-s10m.tsv": text, "conn/2019/06/01/w01h-s10m.tsv": member_text(["in"], day, [6])})
+    for _ in range(2):
+        land_archives(spark, str(root), pool)
+    found = read_datapool(spark, pool)
+    assert dict(found.dtypes)["in"] == "double"
+    assert rows_of(found, "protocol", "in") == [("conn", 6.0), ("conn", 7.0), ("ssh", 0.0), ("ssh", 2.0), ("ssh", None)]
+    # What was written is still there as it came.
+    stored = read_stored(spark, pool, read_manifest(spark, pool))
+    assert {r["in__string"] for r in stored.where("protocol = 'ssh'").collect()} == {"0", "None", "2"}
+    store_partitions(spark.createDataFrame([("dns", "w01h-s10m", day.date(), day, day, 0.5)], schema.format("double")), pool)
+    assert rows_of(read_datapool(spark, pool).where("protocol = 'dns'"), "in") == [(0.5,)]
+
+
+def test_a_column_that_only_another_protocol_has_is_an_error(spark, landed):
+    pool = read_datapool(spark, landed[1])
+    with pytest.raises(ValueError, match="dns .w01h-s10m. has no columns .*in_count_uid"):
+        datapool_scan(pool, ["dns", "conn"], "w01h-s10m", ["in_count_uid"])
+    with pytest.raises(ValueError, match="no columns"):
+        datapool_scan(pool, None, "w01h-s10m", ["in", "unheard"])
+    assert datapool_scan(pool, ["ftp"], "w01h-s10m", ["in", "unheard"]).count() == 0
+    assert datapool_scan(pool, None, "w01h-s10m", ["in"]).where("`in` IS NOT NULL").count() == pool.where("protocol = 'ssh'").count()
+
+
+def test_reading_opens_no_file_and_old_pools_are_adopted(spark, tmp_path):
+    pool = str(tmp_path / "pool")
+    day = dt.datetime(2024, 1, 1)
+    fields = "protocol string, ws string, day date, window_start timestamp_ntz, n {}"
+    rows = spark.createDataFrame([("p", "w", day.date(), day, 1)], fields.format("int"))
+    rows.write.partitionBy("protocol", "ws", "day").parquet(pool)  # no manifest
+    assert rows_of(read_datapool(spark, pool), "n") == [(1,)]
+    store_partitions(spark.createDataFrame([("q", "w", day.date(), day, 2**40)], fields.format("long")), pool)
+    found = read_datapool(spark, pool)
+    assert dict(found.dtypes)["n"] == "bigint" and rows_of(found, "protocol", "n") == [("p", 1), ("q", 2**40)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("read", "reading a pool")
+    read_datapool(spark, pool)
+    jobs = tracker.getJobIdsForGroup("read")
+    tasks = sum(tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks <= 8  # those that read the manifest; none for the pool's files
+    assert common_type({"int", "bigint"}) == "bigint" and common_type({"bigint", "string"}) == "double"
+    assert common_type({"date", "timestamp_ntz"}) == "timestamp_ntz" and common_type({"boolean", "bigint"}) == "string"
 
 
 def test_units_of_landed_text(spark):

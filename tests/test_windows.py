@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import rows_of
+from helpers import plan_of, rows_of
 from tidegauge.functions.times import epoch_seconds, from_epoch_seconds, parse_window_tag
 from tidegauge.operators.windows import window_features
 
@@ -55,6 +55,35 @@ def test_several_distinct_counts(raw):
     assert rows_of(got) == rows_of(naive)
 
 
+@pytest.mark.parametrize("tag", ["w02h-s10m", "w12h-s01m", "w03d-s01h"])
+def test_long_windows_reach_over_several_chunks(raw, tag):
+    """Windows of more panes than a chunk has, and of chunks with a single sighting."""
+    length, slide = parse_window_tag(tag)
+    some = raw.where(F.pmod(F.hash("ts", "user_id"), F.lit(6)) == 0)
+    got = window_features(some, tag, distinct={"d": "user_id"}, sums={"v": "value"})
+    naive = some.groupBy("protocol", F.window("ts", f"{length} seconds", f"{slide} seconds")).agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("d"), F.sum("value").alias("v")
+    ).select("protocol", "window.start", "window.end", "n", "d", "v")
+    assert rows_of(got) == rows_of(naive)
+
+
+def test_times_before_1970(spark):
+    base = dt.datetime(1969, 12, 31, 20)
+    rows = spark.createDataFrame([("p", base + dt.timedelta(minutes=7 * k), k % 3) for k in range(70)], "protocol string, ts timestamp_ntz, user_id long")
+    got = window_features(rows, "w01h-s10m", distinct={"d": "user_id"})
+    naive = rows.groupBy("protocol", F.window("ts", "1 hour", "10 minutes")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("d"))
+    assert rows_of(got) == rows_of(naive.select("protocol", "window.start", "window.end", "n", "d"))
+
+
+def test_one_shuffle_by_entity(raw):
+    """Entities are shuffled once per distinct count, by chunk and after combining, and events are never exploded by count."""
+    got = window_features(raw, "w01h-s10m", distinct={"users": "user_id", "amounts": "value"}, sums={"v": "value"})
+    lines = plan_of(got).split("== Initial Plan ==")[-1].splitlines()
+    exchanges = [line for line in lines if "Exchange hashpartitioning" in line]
+    assert sum("_entity" in line for line in exchanges) == 2 and all("_chunk" in line for line in exchanges if "_entity" in line)
+    assert not any("posexplode" in line for line in lines)
+
+
 def test_counts_only(raw):
     got = window_features(raw, "w01h-s10m")
     assert got.columns == ["protocol", "window_start", "window_end", "n"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import zipfile
 
 import pandas as pd
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +16,13 @@ from tidegauge.functions.times import partial_date_bounds
 from tidegauge.operators.repair import coerce_numeric, estimate_window_spec, interpolate_linear, repair_numeric, zero_fill
 from tidegauge.operators.position import with_position
 from tidegauge.operators.series import first_difference, sorted_series
-from tidegauge.session import materialise, scratch_path
+from tidegauge.session import materialise, qualified, scratch_path
 from tidegauge.sources.archive import land_archives
 from tidegauge.sources.datapool import (
     PARTITIONS, WINDOW_KEYS, cached_series, convert_units, datapool_scan, in_ranges, protocol_join, ranges_from_text,
     read_datapool, select_series, store_partitions, write_datapool,
 )
+from tidegauge.sources.stores import locate
 from tidegauge.sources.delimited import load_numeric_tsv, read_delimited, write_tsv
 
 SPEC = (
@@ -143,11 +143,10 @@ def tsv_roundtrip(spark, sf_dir):
 
 
 def _pack_day(key: tuple, rows: pd.DataFrame, root: str) -> pd.DataFrame:
-    """Zip one protocol's day of windows, the input of the landing query."""
+    """Zip one protocol's day of windows, the input of the landing queries."""
     protocol, day = key
     target = f"{root}/{protocol}-{day:%Y-%m-%d}.zip"
-    local = pafs.LocalFileSystem() if "://" not in target else None
-    fs, inner = (local, target) if local else pafs.FileSystem.from_uri(target)
+    fs, inner = locate(target)
     fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(inner) as handle, zipfile.ZipFile(handle, "w", zipfile.ZIP_DEFLATED) as archive:
         for ws, part in rows.groupby("ws"):
@@ -156,17 +155,23 @@ def _pack_day(key: tuple, rows: pd.DataFrame, root: str) -> pd.DataFrame:
     return pd.DataFrame({"archive": [target]})
 
 
+def _packed(rows: DataFrame) -> str:
+    """Folder of archives, one per protocol and day of ``rows``."""
+    spark = rows.sparkSession
+    root = qualified(spark, scratch_path(spark, "archives"))
+    packed = rows.groupBy("protocol", "day").applyInPandas(lambda key, days: _pack_day(key, days, root), "archive string")
+    packed.write.parquet(scratch_path(spark, "archive-list"))
+    return root
+
+
 @query(
     "archive_landing",
     sql_with(WIN, DAYS)
     + "SELECT protocol, 'w01h-s10m' AS ws, day, window_start, window_end, n, d, round(v, 6) AS v FROM days",
 )
 def archive_landing(spark, sf_dir):
-    root, target = scratch_path(spark, "archives"), scratch_path(spark, "landed")
-    packed = pool(spark, sf_dir).groupBy("protocol", "day").applyInPandas(
-        lambda key, rows: _pack_day(key, rows, root), "archive string"
-    )
-    packed.write.mode("overwrite").parquet(scratch_path(spark, "archive-list"))
+    target = scratch_path(spark, "landed")
+    root = _packed(pool(spark, sf_dir))
     # The second call finds everything landed and adds nothing.
     for _ in range(2):
         land_archives(spark, root, target)
@@ -178,6 +183,25 @@ def archive_landing(spark, sf_dir):
     )
 
 
+@query(
+    "archive_landing_beside_numbers",
+    sql_with(WIN, DAYS)
+    + """SELECT protocol, 'w01h-s10m' AS ws, day, window_start, window_end, n::DOUBLE AS n, d::DOUBLE AS d, round(v, 6) AS v
+         FROM days, range(CASE WHEN protocol = 'click' THEN 1 ELSE 1 + n % 3 END)""",
+)
+def landing_beside_numbers(spark, sf_dir):
+    """Members with repeated lines land, twice, in a pool that holds another protocol's numbers."""
+    target = scratch_path(spark, "landed")
+    rows = datapool_scan(pool(spark, sf_dir), None, HOURLY, FEATURES)
+    write_datapool(rows.where("protocol = 'click'").drop("day"), target, HOURLY)
+    lines = rows.where("protocol <> 'click'").withColumn("ws", F.lit(HOURLY))
+    repeated = lines.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") % 3))).drop("copy")
+    root = _packed(repeated)
+    for _ in range(2):
+        land_archives(spark, root, target)
+    return read_datapool(spark, target).select(*PARTITIONS, *WINDOW_KEYS, "n", "d", F.round("v", 6).alias("v"))
+
+
 def _spec_sql() -> str:
     side = "SELECT * FROM win WHERE protocol = '{p}' AND CAST(window_start AS DATE) IN (SELECT day FROM kept)"
     return (

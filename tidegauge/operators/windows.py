@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.times import epoch_seconds, from_epoch_seconds, parse_window_tag
@@ -29,11 +29,11 @@ def window_features(
     Sliding windows overlap, so expanding every event into all its windows
     would multiply the raw data. Instead events are first combined into panes
     (the common divisor of length and slide), and only pane summaries are
-    spread over windows. For a distinct count each pane records how far back
-    its entity was last seen: the entity is new to exactly those windows that
-    start after the previous sighting, so per-window distinct counts become a
-    plain sum and no (window, entity) pairs are ever shuffled. With several
-    distinct counts the events are taken once per count.
+    spread over windows. Counts and sums need no entity and are combined by pane.
+    For a distinct count each pane of an entity knows how far back the entity was
+    last seen: it is new to exactly those windows that start after the previous
+    sighting, so per-window distinct counts become a plain sum and no (window,
+    entity) pairs are ever shuffled. Every distinct count reads its own column.
     """
     length, slide = parse_window_tag(tag)
     pane = gcd(length, slide)
@@ -41,30 +41,15 @@ def window_features(
     totals = [f"_sum_{name}" for name in sums]
 
     seconds = epoch_seconds(F.col(ts))
-    rows = events.where(F.col(ts).isNotNull()).select(
-        *by,
-        (seconds - F.pmod(seconds, F.lit(pane))).alias("_pane"),
-        *entity_columns(distinct),
-        *[F.col(source).alias(total) for total, source in zip(totals, sums.values())],
-    )
-    panes = rows.groupBy(*by, "_pane", "_which", "_entity").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(total).alias(total) for total in totals]
+    timed = events.where(F.col(ts).isNotNull()).withColumn("_at", (seconds - F.pmod(seconds, F.lit(pane))) / F.lit(pane))
+    timed = timed.withColumn("_at", F.col("_at").cast("bigint"))
+    panes = timed.groupBy(*by, "_at").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(source).alias(total) for total, source in zip(totals, sums.values())]
     )
-    if distinct:
-        seen = Window.partitionBy(*by, "_which", "_entity").orderBy("_pane")
-        gap = F.col("_pane") - F.lag("_pane").over(seen)
-        reach = F.when(F.col("_entity").isNull(), 0).otherwise(
-            F.least(F.coalesce(gap, F.lit(length)), F.lit(length))
-        )
-        panes = (
-            panes.withColumn("_reach", reach)
-            .groupBy(*by, "_pane", "_which", "_reach")
-            .agg(
-                F.sum("_n").alias("_n"),
-                F.count("_entity").alias("_new"),
-                *[F.sum(total).alias(total) for total in totals],
-            )
-        )
+    for which, source in enumerate(distinct.values()):
+        seen = new_sightings(timed.select(*by, "_at", F.col(source).alias("_entity")), by, length // pane)
+        panes = panes.unionByName(seen.withColumn("_which", F.lit(which)), allowMissingColumns=True)
+    panes = panes.withColumn("_pane", F.col("_at") * pane)
 
     # Window starts are the multiples of the slide in (pane - length, pane].
     before = F.col("_pane") - length
@@ -76,15 +61,14 @@ def window_features(
         .where("_first <= _last")
         .withColumn("_start", F.explode(F.sequence("_first", "_last", F.lit(slide).cast("bigint"))))
     )
-    once = F.col("_which") == 0
-    is_new = F.col("_pane") - F.col("_start") < F.col("_reach") if distinct else None
+    is_new = F.col("_pane") - F.col("_start") < F.col("_reach") * pane if distinct else None
     result = spread.groupBy(*by, "_start").agg(
-        F.sum(F.when(once, F.col("_n"))).alias(count),
+        F.sum("_n").alias(count),
         *[
             F.sum(F.when((F.col("_which") == k) & is_new, F.col("_new")).otherwise(0)).alias(name)
             for k, name in enumerate(distinct)
         ],
-        *[F.sum(F.when(once, F.col(total))).alias(name) for name, total in zip(sums, totals)],
+        *[F.sum(total).alias(name) for name, total in zip(sums, totals)],
     )
     return result.select(
         *by,
@@ -96,6 +80,45 @@ def window_features(
     )
 
 
+#: Panes of one chunk: a bit each in a long.
+CHUNK = 64
+
+
+def new_sightings(rows: DataFrame, by: Sequence[str], length: int) -> DataFrame:
+    """How many entities a pane has that were last seen ``_reach`` panes before, or not
+    within ``length`` panes: ``_at, _reach, _new`` per series.
+
+    ``rows`` have the series, the number of the pane and the entity. The panes in which
+    an entity is seen become bits of a chunk of time, combined on the map side, so one
+    shuffle moves a row per entity and chunk, however often it is seen, and no group
+    grows with an entity. Sightings near the end of a chunk also go to those after it
+    that they reach, where only the last one before the chunk is kept.
+    """
+    by = list(by)
+    at, chunk = F.col("_at"), F.col("_chunk")
+    own = ((at - F.pmod(at, F.lit(CHUNK))) / CHUNK).cast("bigint")
+    upto = at + (length - 1)
+    last = ((upto - F.pmod(upto, F.lit(CHUNK))) / CHUNK).cast("bigint")
+    reached = F.when(last == F.col("_own"), F.array("_own")).otherwise(F.sequence("_own", last))
+    reached = rows.where(F.col("_entity").isNotNull()).withColumn("_own", own).withColumn("_chunk", F.explode(reached))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(_at, {CHUNK}) AS INT))")
+    inside = chunk == F.col("_own")
+    chunks = reached.groupBy(*by, "_entity", "_chunk").agg(
+        F.bit_or(F.when(inside, bit)).alias("_bits"), F.max(F.when(~inside, at)).alias("_before")
+    )
+    first = chunk * CHUNK
+    bits = F.col("_bits")
+    each = F.filter(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.call_function("bit_get", bits, i) == 1)
+    # Most entities are seen in one pane of a chunk: its number is that of the highest bit.
+    seen = F.when(F.bit_count(bits) == 1, F.array(F.length(F.bin(bits)) - 1)).otherwise(each)
+    placed = chunks.where(bits.isNotNull()).withColumn("_seen", seen)
+    before = F.coalesce(F.col("_before") - first, F.lit(-length).cast("bigint"))
+    found = placed.select(*by, first.alias("_first"), before.alias("_last_before"), "_seen", F.posexplode("_seen").alias("_k", "_i"))
+    gap = F.col("_i") - F.when(F.col("_k") == 0, F.col("_last_before")).otherwise(F.get("_seen", F.col("_k") - 1))
+    sightings = found.select(*by, (F.col("_first") + F.col("_i")).alias("_at"), F.least(gap, F.lit(length)).alias("_reach"))
+    return sightings.groupBy(*by, "_at", "_reach").agg(F.count(F.lit(1)).alias("_new"))
+
+
 def entity_columns(distinct: dict[str, str]) -> list[Column]:
     """``_which`` and ``_entity``: one row per event and distinct count."""
     if len(distinct) > 1:

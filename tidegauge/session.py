@@ -94,6 +94,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def any_path(spark: SparkSession, pattern: str) -> bool:
+    """Whether a file or folder matches the pattern."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(len(hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path) or []))
+
+
 def path_version(spark: SparkSession, path: str) -> str:
     """Size and modification time of a file or a whole folder, to key cached results.
 

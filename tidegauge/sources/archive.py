@@ -13,30 +13,20 @@ from collections.abc import Iterator, Sequence
 from datetime import date
 
 import pandas as pd
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.session import materialise, path_exists, qualified
-from tidegauge.sources.datapool import PARTITIONS, WINDOW_KEYS, read_datapool, store_partitions
+from tidegauge.sources.datapool import WINDOW_KEYS, place_partitions, read_stored
+from tidegauge.sources.manifest import PARTITION_FIELDS, PARTITIONS, PROVENANCE, add_entries, read_manifest, stored_names
+from tidegauge.sources.stores import locate
 
 # Fixed value: path of a member inside an archive.
 MEMBER = re.compile(r"([^/]+)/(\d{4})/(\d{2})/(\d{2})/(w.+?-s.+?)\.tsv")
 CHUNK_ROWS = 50_000
 MAX_TASKS = 20_000
-
-
-# Stores that Hadoop and Arrow name differently.
-SCHEMES = {"s3a": "s3", "s3n": "s3"}
-
-
-def _locate(path: str) -> tuple[pafs.FileSystem, str]:
-    scheme, found, rest = path.partition("://")
-    if found and scheme in SCHEMES:
-        return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{rest}")
-    if found or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return pafs.LocalFileSystem(), path
+#: Up to so many members, what is known of each of them is broadcast.
+BROADCAST_MEMBERS = 100_000
 
 
 def list_archives(spark: SparkSession, root: str, depth: int | None = 1) -> DataFrame:
@@ -57,7 +47,9 @@ def list_archives(spark: SparkSession, root: str, depth: int | None = 1) -> Data
     return listed.where(F.regexp_count("archive", F.lit("/")) <= levels)
 
 
-MEMBERS = "archive string, member string, crc long, size long, columns array<string>, protocol string, ws string, day date"
+MEMBERS = "archive string, member string, crc long, size long, columns array<string>, " + PARTITION_FIELDS
+#: What has landed: the member, what it held and in which landing it came.
+LANDED = "key string, crc long, size long, landing long"
 
 
 def list_members(archives: DataFrame) -> DataFrame:
@@ -70,7 +62,7 @@ def list_members(archives: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path in batch["archive"]:
-                fs, inner = _locate(path)
+                fs, inner = locate(path)
                 with fs.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
                     for info in archive.infolist():
                         found = MEMBER.match(info.filename)
@@ -88,14 +80,16 @@ def read_members(members: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of the listed members as strings, one task per member at a time.
 
     ``columns`` is the union of features over all protocols; those a member
-    lacks are NULL. Members are read in chunks, never whole.
+    lacks are NULL. Every row carries its member's key and its line. Members are
+    read in chunks, never whole.
     """
     wanted = [*WINDOW_KEYS, *columns]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for entry in batch.itertuples(index=False):
-                fs, inner = _locate(entry.archive)
+                fs, inner = locate(entry.archive)
+                line = 0
                 with fs.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
                     with archive.open(entry.member) as text:
                         for chunk in pd.read_csv(
@@ -104,10 +98,12 @@ def read_members(members: DataFrame, columns: Sequence[str]) -> DataFrame:
                         ):
                             chunk = chunk.reindex(columns=wanted).astype(object)
                             chunk = chunk.where(chunk.notna(), None)
-                            yield chunk.assign(protocol=entry.protocol, ws=entry.ws, day=entry.day)
+                            lines = range(line, line + len(chunk))
+                            line += len(chunk)
+                            yield chunk.assign(_member=entry.key, _line=lines, protocol=entry.protocol, ws=entry.ws, day=entry.day)
 
-    schema = ", ".join([f"`{c}` string" for c in wanted] + ["protocol string, ws string, day date"])
-    return members.select("archive", "member", *PARTITIONS).mapInPandas(rows, schema)
+    schema = ", ".join([f"`{c}` string" for c in wanted] + [PROVENANCE, PARTITION_FIELDS])
+    return members.select("archive", "member", "key", *PARTITIONS).mapInPandas(rows, schema)
 
 
 def _landed_path(pool_path: str) -> str:
@@ -122,41 +118,51 @@ def land_archives(
     columns: Sequence[str] | None = None,
     depth: int | None = 1,
 ) -> None:
-    """Bring the members of all archives that are not in the datapool yet into it.
-
-    Members bring all their columns; ``columns`` only limits them on request.
-    What has landed is a table of members kept with the pool. A partition (protocol,
-    tag, day) with new members is written again from its rows and theirs, equal
-    rows once, so several archives may share a day, and a repeated or interrupted
-    landing gives the same pool. Members with equal checksum, size and partition are one.
-    Task counts are explicit because AQE would merge tasks whose input is only
-    a few paths.
+    """Bring the members of all archives that the datapool does not have as they are into it.
+
+    Members bring all their rows, equal ones as often as they come, and all their
+    columns; ``columns`` only limits these on request. A member is known by its archive's
+    place under ``root`` and its own name, and every row by its member and line: a
+    partition (protocol, tag, day) with members to land is written again from theirs and
+    from what it holds of other members. So several archives may share a day, a member
+    whose content has changed is replaced as a whole, and a repeated or interrupted
+    landing gives the same pool. Cells stay text, beside numbers that others have
+    written: the manifest keeps both. Task counts are explicit because AQE would merge
+    tasks whose input is only a few paths.
     """
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = list_members(list_archives(spark, root, depth).repartition(tasks, "archive"))
-    same = [*PARTITIONS, "crc", "size"]
-    place = F.struct("archive", "member", "columns")
-    members = members.groupBy(*same).agg(F.min(place).alias("at")).select(*same, "at.*")
-    members = materialise(members, "members")
-    waiting = members
+    below = len(qualified(spark, root)) + 2
+    key = F.concat(F.expr(f"substring(archive, {below})"), F.lit("!"), F.col("member"))
+    members = materialise(list_members(list_archives(spark, root, depth).repartition(tasks, "archive")).withColumn("key", key), "members")
+    waiting, landing = members, 0
     if path_exists(spark, f"{_landed_path(pool_path)}/_SUCCESS"):
-        waiting = members.join(spark.read.parquet(_landed_path(pool_path)), same, "left_anti")
+        landed = spark.read.schema(LANDED).parquet(_landed_path(pool_path))
+        landing = landed.agg(F.max("landing")).head()[0] + 1
+        now = landed.groupBy("key").agg(F.max_by(F.struct("crc", "size"), "landing").alias("held"))
+        as_they_are = now.select("key", "held.crc", "held.size")
+        waiting = members.join(as_they_are, ["key", "crc", "size"], "left_anti")
     todo = materialise(waiting, "members")
     count = todo.count()
     if count == 0:
         return
+    headers = todo.select("protocol", "ws", F.explode("columns").alias("name")).distinct().collect()  # a row per column of a protocol and tag
     if columns is None:
-        # As many rows as there are features.
-        found = todo.select(F.explode("columns").alias("name")).distinct().orderBy("name").collect()
-        columns = [r["name"] for r in found if r["name"] not in WINDOW_KEYS]
+        columns = sorted({r["name"] for r in headers} - set(WINDOW_KEYS))
     spread = todo.repartition(min(count, MAX_TASKS), "archive", "member")
-    rows = read_members(spread, columns)
-    typed = rows.withColumns({k: F.col(k).cast("timestamp_ntz") for k in WINDOW_KEYS})
+    rows = read_members(spread, columns).withColumns({k: F.col(k).cast("timestamp_ntz") for k in WINDOW_KEYS})
+    entries = read_manifest(spark, pool_path)
+    types = {f.name: f.dataType for f in rows.schema if f.name in (*WINDOW_KEYS, *columns)}
+    names = stored_names(entries, types)
     # Stored once: placing rows samples them first, which would read every member twice.
-    new = materialise(typed, "landing")
-    if path_exists(spark, f"{pool_path.rstrip('/')}/_SUCCESS"):
-        touched = F.broadcast(todo.select(*PARTITIONS).distinct())  # a row per protocol, tag and day that comes in
-        held = read_datapool(spark, pool_path).join(touched, PARTITIONS, "left_semi")
+    new = materialise(rows.withColumnsRenamed(names), "landing")
+    if entries:
+        small = F.broadcast if count <= BROADCAST_MEMBERS else (lambda df: df)
+        touched = small(todo.select(*PARTITIONS).distinct())
+        replaced = small(todo.select(F.col("key").alias("_member")))
+        held = read_stored(spark, pool_path, entries).join(touched, PARTITIONS, "left_semi").join(replaced, "_member", "left_anti")
         new = materialise(held.unionByName(new, allowMissingColumns=True), "landing")
-    store_partitions(new.distinct(), pool_path)
-    todo.select(*same).write.mode("append").parquet(_landed_path(pool_path))
+    owned = {(r["protocol"], r["ws"], r["name"]) for r in headers if r["name"] in types}
+    owned |= {(r["protocol"], r["ws"], k) for r in headers for k in WINDOW_KEYS}
+    add_entries(spark, pool_path, entries, [(p, ws, c, types[c].simpleString(), names[c]) for p, ws, c in owned])
+    place_partitions(new, pool_path)
+    todo.select("key", "crc", "size", F.lit(landing).cast("long").alias("landing")).write.mode("append").parquet(_landed_path(pool_path))

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from tidegauge.functions.numeric import suffix_divisor, truncated_units
 from tidegauge.functions.times import DayRange, covered_by_any, parse_window_tag, partial_date_bounds
 from tidegauge.operators.repair import gap_fill
-from tidegauge.session import path_exists, path_version
+from tidegauge.session import materialise, path_exists, path_version
+from tidegauge.sources.manifest import (
+    PARTITIONS, add_entries, lacking, logical, read_manifest, stored_names, stored_schema,
+)
 
-PARTITIONS = ["protocol", "ws", "day"]
 WINDOW_KEYS = ["window_start", "window_end"]
 
 
@@ -24,9 +26,25 @@ def store_partitions(rows: DataFrame, path: str) -> None:
     """Write rows that carry the partition columns into the datapool at ``path``.
 
     Only the (protocol, ws, day) partitions present in ``rows`` are replaced, so
-    repeating a write gives the same table. Rows are placed by sampled ranges of
-    partition and time: a partition of any size is split over as many tasks as
-    it needs, small ones share a task, and files come out sorted by time.
+    repeating a write gives the same table. The manifest learns the columns first;
+    rows are stored once, as it needs their groups and placing them samples them.
+    """
+    spark = rows.sparkSession
+    rows = materialise(rows, "pool_rows")
+    entries = read_manifest(spark, path)
+    columns = {f.name: f.dataType for f in rows.schema if f.name not in PARTITIONS}
+    names = stored_names(entries, columns)
+    groups = rows.select("protocol", "ws").distinct().collect()  # a row per protocol and tag
+    add_entries(spark, path, entries, [(p, ws, c, t.simpleString(), names[c]) for p, ws in groups for c, t in columns.items()])
+    place_partitions(rows.withColumnsRenamed(names), path)
+
+
+def place_partitions(rows: DataFrame, path: str) -> None:
+    """Write rows under their names in the files.
+
+    Rows are placed by sampled ranges of partition and time: a partition of any
+    size is split over as many tasks as it needs, small ones share a task, and
+    files come out sorted by time.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
@@ -46,13 +64,22 @@ def write_datapool(features: DataFrame, path: str, ws: str) -> None:
     )
 
 
+def read_stored(spark: SparkSession, path: str, entries) -> DataFrame:
+    """The pool's rows as its files keep them, with where landed ones come from."""
+    return spark.read.schema(stored_schema(entries)).parquet(path)
+
+
 def read_datapool(spark: SparkSession, path: str) -> DataFrame:
     """The datapool at ``path`` with the features of all its protocols.
 
-    Protocols are written with features of their own, so the schemas of the
-    files are merged; a feature is NULL in the rows of protocols without it.
+    The schema is that of the manifest, so no file is opened to find it. A feature is
+    NULL in the rows of protocols without it; one that was written in several types is
+    read in a type for all of them.
     """
-    return spark.read.option("mergeSchema", True).parquet(path)
+    entries = read_manifest(spark, path)
+    if not entries:
+        return spark.read.parquet(path)
+    return logical(read_stored(spark, path, entries), entries)
 
 
 def datapool_scan(
@@ -67,8 +94,10 @@ def datapool_scan(
     features.
 
     All filters are on partition columns, so they prune folders, and the column
-    list prunes the Parquet read. A column that no file has is an error, unless
-    nothing is selected at all: then the result is empty.
+    list prunes the Parquet read. A column that one of the protocols does not have under
+    this tag is an error, even if others have it; a protocol the pool does not have gives
+    no rows. A frame that was not read by `read_datapool` does not know its protocols:
+    there a column that no file has is an error unless nothing is selected at all.
     """
     kept = pool.where(F.col("ws") == ws)
     if protocols is not None:
@@ -81,7 +110,10 @@ def datapool_scan(
         return kept
     names = list(dict.fromkeys(["protocol", "day", *WINDOW_KEYS, *columns]))
     unknown = [c for c in names if c not in kept.columns]
-    if unknown and kept.select("day").head(1):
+    missing = lacking(pool, protocols, ws, columns)
+    if missing:
+        raise ValueError("; ".join(f"{protocol} ({ws}) has no columns {names}" for protocol, names in missing.items()))
+    if missing is None and unknown and kept.select("day").head(1):
         raise ValueError(f"the datapool has no columns {unknown}; read it with read_datapool to have those of all protocols")
     return kept.select(*[c if c not in unknown else F.lit(None).cast("double").alias(c) for c in names])
 
