@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from helpers import rows_of
+from helpers import plan_of, rows_of
 from tidegauge.operators import screening
 from tidegauge.operators.screening import (
     acf, adf, adf_critical_5, adf_lag0, adf_max_lag, adf_p_value, frequency_edges, gram_matrix,
@@ -45,6 +45,31 @@ def test_gram_and_independence(spark):
     assert kept == ["a", "b", "const", "d"]
 
 
+@pytest.mark.parametrize("chunk", [100, 2_000_000])
+def test_products_of_many_columns_are_matrices(spark, monkeypatch, chunk):
+    monkeypatch.setattr(screening, "CHUNK_CELLS", chunk)
+    x = RNG.normal(size=(300, 40)) * 10.0 ** RNG.integers(-3, 4, 40)
+    x[:, 7], x[:, 20], x[:, 39] = 0.0, x[:, 3] - 2 * x[:, 5], x[:, 38] + x[:, 1]
+    pdf = pd.DataFrame(x, columns=[f"c{k}" for k in range(40)])
+    df = spark.createDataFrame(pdf.astype(object).where(RNG.random(x.shape) > 0.02, None), ", ".join(f"c{k} double" for k in range(40)))
+    cells = df.toPandas().fillna(0.0).to_numpy()
+    found = {(r["i"], r["j"]): r["gram"] for r in gram_matrix(df.repartition(7), list(pdf)).collect()}
+    want = cells.T @ cells
+    assert len(found) == 820 and all(found[f"c{i}", f"c{j}"] == pytest.approx(want[i, j], rel=1e-9, abs=1e-12) for i in range(40) for j in range(i, 40))
+    whole = spark.createDataFrame(pdf)
+    kept = [r["feature"] for r in independent_columns(whole, list(pdf)).where("independent").orderBy("position").collect()]
+    assert kept == [f"c{k}" for k in range(40) if k not in (7, 20, 39)]
+    assert independent_columns(whole.limit(0), list(pdf)).where("independent").count() == 0
+
+
+def test_five_hundred_columns_are_screened_in_one_aggregate(spark):
+    x = RNG.normal(size=(700, 500))
+    x[:, 250:260] = x[:, :10] + x[:, 10:20]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{k}" for k in range(500)]))
+    dropped = [r["position"] for r in independent_columns(df, df.columns).where("NOT independent").collect()]
+    assert sorted(dropped) == list(range(250, 260))
+
+
 def naive_acf(x, lags):
     x = x - x.mean()
     return [float(x[: len(x) - k] @ x[k:] / (x @ x)) for k in range(lags + 1)]
@@ -138,9 +163,7 @@ def test_bins_have_near_equal_counts(spark):
     assert len(edges["x"]) == 9 and edges["k"] == []
 
 
-@pytest.mark.parametrize("combinations", [0, 1_000_000])
-def test_mutual_information(spark, combinations, monkeypatch):
-    monkeypatch.setattr(screening, "MI_COMBINATIONS", combinations)
+def test_mutual_information(spark):
     n = 4000
     x = RNG.normal(size=n)
     pdf = pd.DataFrame({"x": x, "same": 3 * x - 1, "other": RNG.normal(size=n), "noisy": x + 0.3 * RNG.normal(size=n), "k": 1.0})
@@ -152,6 +175,26 @@ def test_mutual_information(spark, combinations, monkeypatch):
     assert got[("k", "x")]["mi"] == pytest.approx(0.0, abs=1e-12) and got[("k", "k")]["relative"] is None
 
 
+def test_pair_counts_are_those_of_the_bins(spark):
+    """Twenty columns, some with few values, against counting every pair by itself."""
+    x = RNG.normal(size=(1500, 20))
+    x[:, 3], x[:, 4], x[:, 5] = 1.0, RNG.integers(0, 2, 1500), np.round(x[:, 5])
+    pdf = pd.DataFrame(x, columns=[f"c{k}" for k in range(20)])
+    df = spark.createDataFrame(pdf).repartition(6)
+    edges = [np.array(v) for v in frequency_edges(df, list(pdf), 10).values()]
+    found = screening.pair_counts(df, list(pdf), edges)
+    assert plan_of(found).count("MapInArrow") == 1 and "Generate" not in plan_of(found)
+    got = {(r["feature"], r["other"], r["x"], r["y"]): r["n"] for r in found.collect()}
+    want = {}
+    for a in range(20):
+        for b in range(a, 20):
+            codes = zip(np.searchsorted(edges[a], x[:, a], "right"), np.searchsorted(edges[b], x[:, b], "right"))
+            for i, j in codes:
+                want[f"c{a}", f"c{b}", i, j] = want.get((f"c{a}", f"c{b}", i, j), 0) + 1
+    assert got == want
+    assert mutual_information(df.limit(0), ["c0", "c1"]).count() == 0
+
+
 def test_durbin_levinson_of_a_first_order_process():
     assert np.allclose(screening._durbin_levinson([0.5**k for k in range(4)]), [1.0, 0.5, 0.0, 0.0], atol=1e-12)
 

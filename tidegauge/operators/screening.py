@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +27,10 @@ ADF_TAU_MAX = 2.74
 ADF_TAU_MIN = -18.83
 ADF_CRITICAL_5 = (-2.86154, -2.8903, -4.234, -40.04)
 
-# Most bin combinations that are still worth counting before pairing columns.
-MI_COMBINATIONS = 1_000_000
+# Columns whose products are as many expressions in one aggregate; the products of more are matrices.
+GRAM_EXPRESSIONS = 16
+# Cells of a batch that are multiplied at a time.
+CHUNK_CELLS = 2_000_000
 
 
 def nonzero_levels(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -34,8 +39,52 @@ def nonzero_levels(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     return wide.unpivot(list(by), list(columns), "feature", "nonzero")
 
 
+def _as_matrix(batch: pa.RecordBatch, missing: float) -> np.ndarray:
+    """The batch's columns of doubles as those of a matrix."""
+    filled = [pc.fill_null(c, missing).to_numpy(zero_copy_only=False) for c in batch.columns]
+    return np.column_stack(filled) if filled else np.empty((0, 0))
+
+
+def _added(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``i, row`` of one ``i`` added up, over all batches of a task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+            total[i] = total.get(i, 0.0) + np.asarray(row.values)
+    if total:
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(list(total.values()))), width).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), rows], names=["i", "row"])
+
+
+def block_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``i, row``: the rows of the matrix of sums of products of all columns.
+
+    Every task multiplies its batches as matrices and hands on one matrix, the rows
+    of which are added up by tasks for a share of them each.
+    """
+    width = len(columns)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((width, width))
+        for batch in batches:
+            step = max(1, CHUNK_CELLS // width)
+            for at in range(0, batch.num_rows, step):
+                cells = _as_matrix(batch.slice(at, step), 0.0)
+                gram += cells.T @ cells
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(list(gram), pa.list_(pa.float64()))], names=["i", "row"])
+
+    tasks = min(width, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = "i int, row array<double>"
+    values = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    return values.mapInArrow(products, schema).repartition(tasks, "i").mapInArrow(lambda batches: _added(batches, width), schema)
+
+
 def gram_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sums of products of every column pair, ``(i, j, gram)`` with ``i <= j``."""
+    """Sums of products of every column pair, ``(i, j, gram)`` with ``i <= j``; missing cells count as 0."""
+    if len(columns) > GRAM_EXPRESSIONS:
+        names = F.array(*[F.lit(c) for c in columns])
+        rows = block_products(df, columns).select("i", F.posexplode("row").alias("j", "gram")).where("i <= j")
+        return rows.select(F.get(names, F.col("i")).alias("i"), F.get(names, F.col("j")).alias("j"), "gram")
     pairs = [(a, b) for x, a in enumerate(columns) for b in columns[x:]]
     values = {c: F.col(c).cast("double") for c in columns}
     wide = df.agg(
@@ -54,20 +103,22 @@ def independent_columns(df: DataFrame, columns: Sequence[str], tolerance: float
     as the data, so reducing that small matrix gives the pivots of the data.
     """
     size = len(columns)
-    index = {c: k for k, c in enumerate(columns)}
     gram = np.zeros((size, size))
-    for row in gram_matrix(df, columns).collect():
-        gram[index[row["i"]], index[row["j"]]] = gram[index[row["j"]], index[row["i"]]] = row["gram"] or 0.0
+    if size > GRAM_EXPRESSIONS:
+        for i, row in block_products(df, columns).collect():  # a row per column
+            gram[i] = row
+    else:
+        index = {c: k for k, c in enumerate(columns)}
+        for row in gram_matrix(df, columns).collect():
+            gram[index[row["i"]], index[row["j"]]] = gram[index[row["j"]], index[row["i"]]] = row["gram"] or 0.0
     norms = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
-    gram = gram / np.outer(norms, norms)
+    left = gram / np.outer(norms, norms)
     kept: list[int] = []
     for k in range(size):
-        left = gram[k, k]
-        if kept:
-            inner = gram[np.ix_(kept, kept)]
-            left -= gram[k, kept] @ np.linalg.lstsq(inner, gram[kept, k], rcond=None)[0]
-        if left > tolerance:
+        # What is left of a column's length after taking out the kept ones before it.
+        if left[k, k] > tolerance:
             kept.append(k)
+            left[k + 1:, k + 1:] -= np.outer(left[k + 1:, k], left[k, k + 1:]) / left[k, k]
     rows = [(k, c, k in kept) for k, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "position int, feature string, independent boolean")
 
@@ -417,43 +468,47 @@ def frequency_edges(df: DataFrame, columns: Sequence[str], bins: int) -> dict[st
     return {c: sorted(starts) for c, starts in found.items()}
 
 
+def pair_counts(df: DataFrame, columns: list[str], edges: list[np.ndarray]) -> DataFrame:
+    """``feature, other, x, y, n``: rows per pair of bins of every column pair, a column's own included.
+
+    ``edges`` are the values at which each column's bins after the first one begin.
+    """
+    bins = max(len(e) for e in edges) + 1
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((len(pairs), bins * bins), np.int64)
+        for batch in batches:
+            codes = [np.searchsorted(e, c.to_numpy(), "right") for e, c in zip(edges, batch.columns)]
+            scaled = [c * bins for c in codes]
+            for table, (a, b) in zip(tables, pairs):
+                table += np.bincount(scaled[a] + codes[b], minlength=bins * bins)
+        pair, cell = np.nonzero(tables)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (pair.astype(np.int32), cell.astype(np.int32), tables[pair, cell])], names=["pair", "cell", "n"]
+        )
+
+    found = df.select(*columns).mapInArrow(count, "pair int, cell int, n long").groupBy("pair", "cell").agg(F.sum("n").alias("n"))
+    first, second = (F.array(*[F.lit(columns[p[side]]) for p in pairs]) for side in (0, 1))
+    return found.select(
+        F.get(first, F.col("pair")).alias("feature"), F.get(second, F.col("pair")).alias("other"),
+        (F.col("cell") / bins).cast("int").alias("x"), (F.col("cell") % bins).alias("y"), "n",
+    )
+
+
 def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """Mutual information of every column pair over equal-frequency bins.
 
     ``(feature, other, mi, relative)``, ``relative`` being divided by the largest
     value of the feature. Rows with a missing value in any column are left out.
 
-    With few columns, rows are first counted per combination of all bins and the
-    pair tables summed from those counts; with many, every row counts towards
-    its pairs directly. Both combine on the map side, so no more than
-    ``pairs * bins**2`` rows per task are shuffled in the end.
+    The tables of all pairs are counted in one pass: a task keeps the bins of its
+    rows as small numbers and adds each pair of columns to a table of its own, so
+    it hands on no more than ``pairs * bins**2`` counts, whatever its rows.
     """
     whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     edges = frequency_edges(whole, columns, bins)
-
-    def bin_of(c: str):
-        place = F.lit(0)
-        for start in edges[c]:
-            place = place + F.when(F.col(c) >= start, 1).otherwise(0)
-        return place.alias(c)
-
-    binned = whole.select(*[bin_of(c) for c in columns])
-    if bins ** len(columns) <= MI_COMBINATIONS:
-        counted = binned.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        counted = binned.withColumn("_n", F.lit(1))
-    pairs = F.array(
-        *[
-            F.struct(F.lit(a).alias("feature"), F.lit(b).alias("other"), F.col(a).alias("x"), F.col(b).alias("y"))
-            for k, a in enumerate(columns)
-            for b in columns[k:]
-        ]
-    )
-    joint = (
-        counted.select("_n", F.explode(pairs).alias("_p"))
-        .groupBy("_p.feature", "_p.other", "_p.x", "_p.y")
-        .agg(F.sum("_n").alias("n"))
-    )
+    joint = pair_counts(whole, list(columns), [np.array(edges[c]) for c in columns])
     total = F.sum("n").over(Window.partitionBy("feature", "other"))
     in_x = F.sum("n").over(Window.partitionBy("feature", "other", "x"))
     in_y = F.sum("n").over(Window.partitionBy("feature", "other", "y"))
