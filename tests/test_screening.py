@@ -163,6 +163,23 @@ def test_bins_have_near_equal_counts(spark):
     assert len(edges["x"]) == 9 and edges["k"] == []
 
 
+def test_order_statistics_and_edges_of_odd_columns(spark):
+    n = 3000
+    x = np.concatenate([RNG.normal(size=n - 8) * 10.0 ** RNG.integers(-300, 300, n - 8), [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 1e308, 0.0]])
+    columns = {"x": x, "ties": np.round(RNG.normal(size=n)), "near": 1 + RNG.integers(0, 5, n) * 2.0**-52, "k": np.full(n, -7.5), "none": np.full(n, None), "few": [3.0, 1.0] + [None] * (n - 2)}
+    df = spark.createDataFrame([tuple(None if v is None else float(v) for v in row) for row in zip(*columns.values())], ", ".join(f"{c} double" for c in columns)).repartition(5)
+    ranks = [[0, 17, 1500, 2998, 2999], [0, 1, 1499, 2999], [5, 2000], [0, 2999], [], [0, 1]]
+    for (name, v), r, found in zip(columns.items(), ranks, screening.order_statistics(df, list(columns), ranks)):
+        assert found.tolist() == [np.sort(np.array([y for y in v if y is not None], float))[i] for i in r], name
+    edges = frequency_edges(df, list(columns), 10)
+    for name, v in columns.items():
+        v = np.sort(np.array([y for y in v if y is not None], float))
+        bins = {}
+        for y in v:
+            bins.setdefault(int(np.searchsorted(v, y)) * 10 // len(v), y)
+        assert edges[name] == sorted(y for b, y in bins.items() if b), name
+
+
 def test_mutual_information(spark):
     n = 4000
     x = RNG.normal(size=n)

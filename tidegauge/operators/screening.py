@@ -437,35 +437,117 @@ def _nested_residuals(gram: np.ndarray) -> np.ndarray:
     return gram[0, 0] - explained[1:]
 
 
+def _sortable(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order, both zeros as one."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _present(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The cells of each column that are there."""
+    return [pc.drop_null(c).to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def _per_column(df: DataFrame, columns: Sequence[str], reduce) -> list[pd.DataFrame]:
+    """Cells of each column with the number of rows in them, their least and largest value, over all tasks.
+
+    ``reduce`` takes the batches of a task and yields ``column, cells, n, low, high``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for column, cell, *found in reduce(batches):
+            own = [pa.array(np.full(len(cell), column, np.int32)), pa.array(cell.astype(np.int64)), *map(pa.array, found)]
+            yield pa.RecordBatch.from_arrays(own, names=["c", "cell", "n", "low", "high"])
+
+    made = df.select(*columns).mapInArrow(run, "c int, cell long, n long, low double, high double")
+    found = made.groupBy("c", "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = found.toPandas().sort_values(["c", "cell"])
+    return [found[found["c"] == k] for k in range(len(columns))]
+
+
+def order_statistics(df: DataFrame, columns: Sequence[str], ranks: Sequence[Sequence[int]]) -> list[np.ndarray]:
+    """The values at some places, from 0, of each column in its order; nulls have no place.
+
+    The values are found digit by digit: a pass over the rows counts, per task, the
+    next bits of the cells that begin as a wanted value does, until those that begin
+    alike are equal. No row is sorted or shuffled, and a task's counts don't grow
+    with its rows.
+    """
+    widths = [16, 12, 12, 12, 12] if len(columns) <= 32 else [8] * 8
+    known = [np.zeros(len(r), np.uint64) for r in ranks]
+    left = [np.array(r, np.int64) for r in ranks]  # place among the cells that begin alike
+    values = [np.full(len(r), np.nan) for r in ranks]
+    for done, width in zip(np.cumsum([0, *widths]).tolist(), widths):
+        begins = [np.unique(k[np.isnan(v)]) for k, v in zip(known, values)]
+        if not any(map(len, begins)):
+            break
+
+        def digits(batches, begins=begins, done=done, width=width):
+            tables = [(np.zeros(len(b) << width, np.int64), np.full(len(b) << width, np.inf), np.full(len(b) << width, -np.inf)) for b in begins]
+            for batch in batches:
+                for (count, low, high), begin, x in zip(tables, begins, _present(batch)):
+                    if not len(begin):
+                        continue
+                    key = _sortable(x) >> np.uint64(64 - done - width)
+                    above = key >> np.uint64(width)
+                    place = np.minimum(np.searchsorted(begin, above), len(begin) - 1)
+                    alike = begin[place] == above
+                    cell = (place[alike] << width) + (key[alike] & np.uint64((1 << width) - 1)).astype(np.int64)
+                    count += np.bincount(cell, minlength=len(count))
+                    np.minimum.at(low, cell, x[alike])
+                    np.maximum.at(high, cell, x[alike])
+            for column, (count, low, high) in enumerate(tables):
+                cell = np.flatnonzero(count)
+                yield column, cell, count[cell], low[cell], high[cell]
+
+        for c, found in enumerate(_per_column(df, columns, digits)):
+            cell = found["cell"].to_numpy()
+            for e in np.flatnonzero(np.isnan(values[c])):
+                own = int(np.searchsorted(begins[c], known[c][e])) << width
+                inside = found.iloc[slice(*np.searchsorted(cell, [own, own + (1 << width)]))]
+                upto = inside["n"].cumsum().to_numpy()
+                at = int(np.searchsorted(upto, left[c][e], "right"))
+                left[c][e] -= upto[at - 1] if at else 0
+                known[c][e] = (known[c][e] << np.uint64(width)) | np.uint64(inside["cell"].iloc[at] - own)
+                if inside["low"].iloc[at] == inside["high"].iloc[at]:
+                    values[c][e] = inside["low"].iloc[at]
+    return values
+
+
+def next_values(df: DataFrame, columns: Sequence[str], values: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """The smallest value of each column above each of the given ones, which are sorted; NaN if there is none."""
+
+    def least(batches):
+        lowest = [np.full(len(v) + 1, np.inf) for v in values]
+        count = [np.zeros(len(v) + 1, np.int64) for v in values]
+        for batch in batches:
+            for low, n, v, x in zip(lowest, count, values, _present(batch)):
+                place = np.searchsorted(v, x, "left")
+                np.minimum.at(low, place, x)
+                n += np.bincount(place, minlength=len(n))
+        for column, (low, n) in enumerate(zip(lowest, count)):
+            cell = np.flatnonzero(n)
+            yield column, cell, n[cell], low[cell], low[cell]
+
+    out = []
+    for v, found in zip(values, _per_column(df, columns, least)):
+        place = np.searchsorted(found["cell"].to_numpy(), np.arange(1, len(v) + 1))
+        out.append(np.append(found["low"].to_numpy(), np.nan)[place])
+    return out
+
+
 def frequency_edges(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
     """Values at which near-equal-frequency bins begin, per column, exactly.
 
-    A value belongs to the bin of the share of rows below it. Values are counted,
-    sorted in sampled ranges, and the counts of the ranges before are added, so
-    no task holds a column; only the edges reach the driver.
+    A value belongs to the bin of the share of rows below it, so a bin begins at the
+    smallest value above that of the last row before the bin's share.
     """
-    spark = df.sparkSession
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_c")
-    ).select("_c.*")
-    counts = long.where(F.col("x").isNotNull()).groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = materialise(counts.repartitionByRange(tasks, "feature", "x").withColumn("part", F.spark_partition_id()), "value_counts")
-    sizes = ranges.groupBy("feature", "part").agg(F.sum("n").alias("size"))
-    so_far = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        "feature", "part", F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("shift"),
-        F.sum("size").over(Window.partitionBy("feature")).alias("total"),
-    )
-    within = Window.partitionBy("feature", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per feature and range: small whatever the rows.
-    binned = ranges.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(shifts), ["feature", "part"])
-    bin_of = F.floor((F.col("own") + F.col("shift")) * bins / F.col("total"))
-    edges = binned.groupBy("feature", bin_of.alias("bin")).agg(F.min("x").alias("start")).where("bin > 0")
-    found: dict[str, list[float]] = {c: [] for c in columns}
-    for row in edges.collect():
-        found[row["feature"]].append(row["start"])
-    return {c: sorted(starts) for c, starts in found.items()}
+    doubles = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    counts = doubles.agg(*[F.count(c) for c in columns]).head()
+    ranks = [sorted({-(-b * n // bins) - 1 for b in range(1, bins)}) if n else [] for n in counts]
+    last = [np.unique(v) for v in order_statistics(doubles, columns, ranks)]
+    starts = next_values(doubles, columns, last)
+    return {c: np.unique(s[~np.isnan(s)]).tolist() for c, s in zip(columns, starts)}
 
 
 def pair_counts(df: DataFrame, columns: list[str], edges: list[np.ndarray]) -> DataFrame:
@@ -506,7 +588,8 @@ def mutual_information(df: DataFrame, columns: Sequence[str], bins: int = 10) ->
     rows as small numbers and adds each pair of columns to a table of its own, so
     it hands on no more than ``pairs * bins**2`` counts, whatever its rows.
     """
-    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    # Stored once, as every pass reads these columns only.
+    whole = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna(), "screened")
     edges = frequency_edges(whole, columns, bins)
     joint = pair_counts(whole, list(columns), [np.array(edges[c]) for c in columns])
     total = F.sum("n").over(Window.partitionBy("feature", "other"))
