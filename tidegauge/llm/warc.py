@@ -6,9 +6,13 @@ response's record in ``WARC-Concurrent-To``, and may lie in other archives than
 it. Reading takes records from all archives, joins them by these identifiers and
 gives one nested row per capture.
 
+Responses are written first; the table of what was written gives each later equal
+payload the full identifier of a response record that exists.
+
 A null payload is empty. Missing page ids, urls and repeated rows are captures of
-their own; equal ids refer to the smallest. An empty table gives no archives and
-an empty result. Extra columns are ignored.
+their own; of equal payloads every row with the smallest id is a response, and others
+refer to one of these. A very long payload is one record like others. An empty table
+gives no archives and an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +63,7 @@ def _one_line(text: str | None) -> str | None:
     return None if text is None else text.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def transaction(key: str, page_id, url, payload: bytes, digest: str, first_key: str | None) -> list[bytes]:
+def transaction(key: str, page_id, url, payload: bytes | None, size: int, digest: str, first_key: str | None) -> list[bytes]:
     """Request, response or revisit, and metadata of one page."""
     target = _one_line(url)
     own, to = f"urn:capture:{key}", f"<urn:capture:{key}>"
@@ -72,7 +76,7 @@ def transaction(key: str, page_id, url, payload: bytes, digest: str, first_key:
     else:
         held |= {"WARC-Refers-To": f"<urn:capture:{first_key}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
         main = _block("revisit", own, held, "application/http; msgtype=response", status)
-    fields = f"page-id: {'' if page_id is None else page_id}\r\npayload-bytes: {len(payload)}\r\n".encode()
+    fields = f"page-id: {'' if page_id is None else page_id}\r\npayload-bytes: {size}\r\n".encode()
     return [
         _block("request", f"urn:request:{key}", {"WARC-Target-URI": target, "WARC-Concurrent-To": to}, "application/http; msgtype=request", request),
         main,
@@ -80,40 +84,55 @@ def transaction(key: str, page_id, url, payload: bytes, digest: str, first_key:
     ]
 
 
-def write_archives(pages: DataFrame) -> DataFrame:
-    """Write every page's records to gzipped archives and return ``path`` of each.
+def _written(rows: DataFrame, folder: str, kind: str) -> DataFrame:
+    """Write ``page_id, url, payload, size, digest, refers_to, shared`` and return a row per archive, and per record others may refer to.
 
-    A record is a gzip member of its own, as archives have it.
+    A record is a gzip member of its own, as archives have it. Rows are numbered as they
+    are written, so identifiers are those of the archives that count.
     """
-    spark = pages.sparkSession
-    folder = scratch_path(spark, "warc")
-    rows = with_roles(pages).withColumn("number", F.monotonically_increasing_id())
-    # The smallest id of a payload is its response; of repeated ids, any one of them.
-    responds = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = rows.select("page_id", "url", "payload", "digest", F.when(~responds, F.col("first_id")).alias("refers_to"), "number")
 
     def run(batches):
         out, size, name = None, 0, None
         for batch in batches:
-            for page_id, url, payload, digest, refers_to, number in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            known = []
+            for page_id, url, payload, length, digest, refers_to, shared, number in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    name = new_name(folder, "pages") + ".warc.gz"
+                    name = new_name(folder, kind) + ".warc.gz"
                     out, size = create(name), 0
-                # Responses others refer to are named by page id; a repeated id adds its place.
-                key = f"{'none' if page_id is None else page_id}.{number}"
-                for record in transaction(key, page_id, url, payload, digest, None if refers_to is None else str(refers_to)):
+                # Unique among all captures, and begins with the page.
+                key = f"{'none' if page_id is None else page_id}.{kind}.{number}"
+                for record in transaction(key, page_id, url, payload, length, digest, refers_to):
                     packed = zlib.compressobj(3, wbits=31)
                     out.write(packed.compress(record) + packed.flush())
-                size += len(payload)
+                if shared:
+                    known.append((None, digest, key))
+                size += len(payload or b"")
                 if size >= ARCHIVE_BYTES:
                     out.close()
                     out = None
-                    yield pa.RecordBatch.from_arrays([pa.array([name])], names=["path"])
+                    known.append((name, None, None))
+            if known:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*known)], names=["path", "digest", "key"])
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["path"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (name, None, None)], names=["path", "digest", "key"])
 
-    return materialise(rows.mapInArrow(run, "path string"), "archives")
+    numbered = rows.select("page_id", "url", "payload", "size", "digest", "refers_to", "shared", F.monotonically_increasing_id().alias("number"))
+    return materialise(numbered.mapInArrow(run, "path string, digest string, key string"), "archives")
+
+
+def write_archives(pages: DataFrame) -> DataFrame:
+    """Write every page's records to gzipped archives and return ``path`` of each."""
+    folder = scratch_path(pages.sparkSession, "warc")
+    rows = with_roles(pages).withColumn("size", F.octet_length("payload").cast("long"))
+    # The smallest id of a payload is its response; of repeated ids, each of them.
+    responds = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
+    shared = F.col("first_id").isNotNull()
+    first = _written(rows.where(responds).withColumns({"refers_to": F.lit(None).cast("string"), "shared": shared}), folder, "response")
+    keys = first.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("refers_to"))
+    again = rows.where(~responds).withColumns({"payload": F.lit(None).cast("binary"), "shared": F.lit(False)}).join(keys, "digest")
+    revisits = _written(again, folder, "revisit")
+    return first.union(revisits).where("path IS NOT NULL").select("path")
 
 
 def records(path: str):
@@ -179,13 +198,23 @@ def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def captures(found: DataFrame) -> DataFrame:
-    """One nested row per capture: its response or revisit with the request and metadata concurrent to it."""
-    main = found.where("type IN ('response', 'revisit')")
+    """One nested row per capture: its response or revisit with the request and metadata concurrent to it.
+
+    Records meet by the identifier of the response, their own or the one they are
+    concurrent to, so the archives are read and shuffled once.
+    """
     kept = ["record_id", "target", "headers"]
-    request = found.where("type = 'request'").select(F.col("concurrent_to").alias("capture"), F.struct(*kept).alias("request"))
-    metadata = found.where("type = 'metadata'").select(F.col("concurrent_to").alias("capture"), F.struct(*kept, "page_id", "payload_bytes", "fields").alias("metadata"))
-    rows = main.select(F.col("record_id").alias("capture"), F.struct(*[c for c in main.columns if c not in ("concurrent_to", "page_id", "payload_bytes", "fields")]).alias("response"))
-    return rows.join(request, "capture", "left").join(metadata, "capture", "left")
+    main = [c for c in found.columns if c not in ("concurrent_to", "page_id", "payload_bytes", "fields")]
+
+    def of(kinds: list[str], columns: list[str], name: str):
+        return F.first(F.when(F.col("type").isin(kinds), F.struct(*columns)), ignorenulls=True).alias(name)
+
+    capture = F.when(F.col("type").isin("request", "metadata"), F.col("concurrent_to")).otherwise(F.col("record_id"))
+    rows = found.withColumn("capture", capture).groupBy("capture").agg(
+        of(["response", "revisit"], main, "response"), of(["request"], kept, "request"),
+        of(["metadata"], [*kept, "page_id", "payload_bytes", "fields"], "metadata"),
+    )
+    return rows.where("response IS NOT NULL")
 
 
 @query(
