@@ -41,13 +41,13 @@ RECORD = (
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
-    """``page_id, url, payload, digest`` and ``first_id``: the smallest page id of an equal payload of some size."""
+    """``page_id, url, payload, digest, size`` and ``first_id``: the smallest page id of an equal payload of some size."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumn("digest", F.sha2("payload", 256))
+    ).withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     # Digests alone are grouped and joined; payloads follow in one shuffle, a frequent digest split by the join.
-    repeated = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    repeated = rows.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     return rows.join(repeated.where("n > 1").drop("n"), "digest", "left")
 
 
@@ -124,7 +124,7 @@ def _written(rows: DataFrame, folder: str, kind: str) -> DataFrame:
 def write_archives(pages: DataFrame) -> DataFrame:
     """Write every page's records to gzipped archives and return ``path`` of each."""
     folder = scratch_path(pages.sparkSession, "warc")
-    rows = with_roles(pages).withColumn("size", F.octet_length("payload").cast("long"))
+    rows = with_roles(pages)
     # The smallest id of a payload is its response; of repeated ids, each of them.
     responds = F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
     shared = F.col("first_id").isNotNull()
