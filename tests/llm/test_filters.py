@@ -141,15 +141,32 @@ def test_rules_and_language_models(stored, spark):
     for i, url in enumerate(URLS + made + made[:5]):
         assert (found[i].host, found[i].path, found[i].rule) == brute_rule(url), url
         assert found[i].verdict == (urls.RULES.get(found[i].rule) or found[i].verdict)
-    parsed = spark.createDataFrame([(r.host, r.path, urls.RULES.get(r.rule)) for r in found.values()], "host string, path string, ruled string")
-    learnt = parsed.where("ruled IS NOT NULL").limit(40)
-    held = {r.host + r.path: r.score for r in urls.with_scores(parsed, urls.window_scores(learnt, parsed)).collect()}
-    want = brute_scores([(r.host + r.path, r.ruled) for r in learnt.collect()], [t for t in held if t])
+    parsed = urls.with_rule(urls.parsed(pages), urls.RULES).orderBy("page_id")
+    for r in parsed.collect():
+        url = dict(enumerate(URLS + made + made[:5]))[r.page_id]
+        before, sign, after = (url or "").partition("://")
+        assert r.address == (r.host + after[len(r.host):] if sign else url or ""), url
+    learnt = spark.createDataFrame(parsed.where("ruled IS NOT NULL").limit(40).collect(), parsed.schema)
+    held = {r.address: r.score for r in urls.with_scores(parsed, urls.window_scores(learnt, parsed)).collect()}
+    want = brute_scores([(r.address, r.ruled) for r in learnt.collect()], [t for t in held if t])
     assert held[""] == 0.0 and all(abs(held[t] - want[t]) < 1e-9 for t in want)
     assert {r.verdict for r in urls.judge(pages, {}).collect()} == {"allow"}
     assert urls.judge(pages.limit(0), urls.RULES).count() == 0
 
 
+def test_queries_and_fragments_count_and_long_urls_are_read_whole(stored):
+    rng = random.Random(3)
+    ask = lambda word: f"{word}{rng.randint(0, 99)}"
+    rows = [(i, f"http://a.org/?{ask('good')}") for i in range(60)] + [(100 + i, f"http://a.com/de/?{ask('spam')}") for i in range(60)]
+    rows += [(300, "http://a.net/?good7"), (301, "http://a.net/?spam7"), (302, "http://a.net/#good7"), (303, "http://a.net/#spam7")]
+    rows += [(304, "http://b.net/?" + "spam1" * 20_000), (305, "http://b.net/?" + "good1" * 20_000), (305, "http://b.net/?" + "good1" * 20_000)]
+    extra = [(i, u, "h", "p", "r", 0.5, "w") for i, u in rows]
+    pages = stored(extra, "page_id long, url string, host string, path string, rule string, score double, address string")
+    scores = {r.page_id: r.score for r in urls.judge(pages, urls.RULES).collect()}
+    assert scores[300] > scores[301] and scores[302] > scores[303] and scores[305] > 0 > scores[304]
+    assert urls.judge(pages, urls.RULES).count() == len(rows)
+
+
 def test_archives_hold_transactions(stored):
     big, other = "<p>x</p>" * 30, "y" * 100
     rows = [(3, "http://a/1", big, 1), (1, None, big, 2), (2, "http://b\r\nX: y", "small", 3), (4, "u", "small", 4), (5, "u", None, 5), (6, "u", other, 6), (7, "u", other, 7), (None, "u", "z" * 200, 8)]

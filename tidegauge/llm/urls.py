@@ -6,8 +6,9 @@ characters; shorter contexts stand in as far as longer ones are unknown
 (Witten-Bell). A URL's score is the difference of the log-likelihoods per
 character. The threshold is calibrated on labelled URLs that neither model has seen.
 
-A URL that is null or has no ``://`` has an empty host and path, fits no rule and
-scores 0. If the rules accept or reject none, every score is 0 and the verdict
+The models read the whole URL after ``://``, query and fragment included, with its host
+in lower case; one without ``://`` is read as it is. It has an empty host and path and fits
+no rule; a null or empty one scores 0. A very long URL is read whole. If the rules accept or reject none, every score is 0 and the verdict
 ``allow``. Rows are judged one by one, so ties and repeated rows get equal verdicts;
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -28,6 +29,8 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 ORDER = 5
 #: Stands for the characters before a URL's first one.
 START = "\x02"
+#: Characters of an address that are cut into windows at a time.
+PIECE = 256
 #: One in so many labelled URLs is kept for calibration.
 FOLDS = 5
 #: Cells of a unit of score in calibration.
@@ -35,11 +38,14 @@ CELLS = 200
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``page_id, host, path``."""
+    """``page_id, host, path, address``; the address is the whole URL after its scheme, the host in lower case."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     part = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     host = F.translate(F.regexp_extract(url, part, 1), string.ascii_uppercase, string.ascii_lowercase)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.regexp_extract(url, part, 2).alias("path"))
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    address = F.when(F.contains(url, F.lit("://")), F.concat(host, rest)).otherwise(url)
+    shown = {"host": host, "path": F.regexp_extract(url, part, 2), "address": address}
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), *(c.alias(name) for name, c in shown.items()))
 
 
 def with_rule(urls: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -52,15 +58,16 @@ def with_rule(urls: DataFrame, rules: dict[str, str]) -> DataFrame:
     return urls.withColumns({"rule": fits, "ruled": verdict})
 
 
-def windows(text, order: int):
-    """All strings of ``order`` characters and the one after them, the start padded."""
-    padded = F.concat(F.lit(START * order), text)
-    return F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substring(padded, i, order + 1))
-
-
 def _exploded(urls: DataFrame, *keep: str) -> DataFrame:
-    text = F.concat("host", "path")
-    return urls.where(F.char_length(text) > 0).select(*keep, F.explode(windows(text, ORDER)).alias("window"))
+    """A row per character of each address: the ``ORDER`` characters before it and itself, the start padded.
+
+    Addresses are cut into overlapping pieces first, as finding a place in a text takes the longer the farther it is.
+    """
+    padded = F.concat(F.lit(START * ORDER), F.col("address"))
+    cut = F.transform(F.sequence(F.lit(1), F.char_length("address"), F.lit(PIECE)), lambda i: F.substring(padded, i, PIECE + ORDER))
+    pieces = urls.where(F.char_length("address") > 0).select(*keep, F.explode(cut).alias("piece"))
+    windows = F.transform(F.sequence(F.lit(1), F.char_length("piece") - ORDER), lambda i: F.substring(F.col("piece"), i, ORDER + 1))
+    return pieces.select(*keep, F.explode(windows).alias("window"))
 
 
 def _suffixes(counted: DataFrame) -> DataFrame:
@@ -89,7 +96,10 @@ def window_scores(labelled: DataFrame, urls: DataFrame) -> DataFrame:
     alphabet = grams.where("k = 0").count() + 1
     wanted = _suffixes(_exploded(urls).distinct())
     # Contexts count also where the string itself is new.
-    rows = wanted.select("window", "k", "gram", "context").join(known.select("gram", "n_a", "n_r"), "gram", "left").join(contexts, ["k", "context"], "left")
+    rows = wanted.select("window", "k", "gram", "context").join(known.select("gram", "n_a", "n_r"), "gram", "left")
+    # Every window has the contexts of no and one character: as many as there are characters.
+    few = rows.where("k <= 1").join(F.broadcast(contexts.where("k <= 1")), ["k", "context"], "left")
+    rows = few.unionByName(rows.where("k > 1").join(contexts.where("k > 1"), ["k", "context"], "left"))
     steps = rows.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_r", "all_a", "all_r", "kinds_a", "kinds_r")]))).alias("steps"))
 
     def probability(kind):
@@ -104,9 +114,11 @@ def window_scores(labelled: DataFrame, urls: DataFrame) -> DataFrame:
 
 def with_scores(urls: DataFrame, scores: DataFrame) -> DataFrame:
     """``urls`` with ``score`` per character; equal URLs are scored once."""
-    distinct = urls.select("host", "path").distinct()
-    found = _exploded(distinct, "host", "path").join(scores, "window").groupBy("host", "path").agg(F.avg("score").alias("score"))
-    return urls.join(found, ["host", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    # Windows carry a digest of their address, which may be long.
+    keyed = urls.withColumn("key", F.sha2("address", 256))
+    distinct = keyed.select("key", "address").distinct()
+    found = _exploded(distinct, "key").join(scores, "window").groupBy("key").agg(F.avg("score").alias("score"))
+    return keyed.join(found, "key", "left").drop("key").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def calibrated(scored: DataFrame) -> float:
@@ -130,7 +142,7 @@ def calibrated(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     """``page_id, host, path, rule, score, verdict`` per page."""
     urls = materialise(with_rule(parsed(pages), rules), "urls")
-    held_out = F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)) == 0
+    held_out = F.pmod(F.xxhash64("address"), F.lit(FOLDS)) == 0
     labelled = urls.where("ruled IS NOT NULL")
     learnt = labelled.where(~held_out)
     if learnt.select("ruled").distinct().count() < 2:
