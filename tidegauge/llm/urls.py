@@ -96,11 +96,13 @@ def window_scores(labelled: DataFrame, urls: DataFrame) -> DataFrame:
     alphabet = grams.where("k = 0").count() + 1
     wanted = _suffixes(_exploded(urls).distinct())
     # Contexts count also where the string itself is new.
-    rows = wanted.select("window", "k", "gram", "context").join(known.select("gram", "n_a", "n_r"), "gram", "left")
+    rows = wanted.select("window", "k", "gram").join(known.select("gram", "n_a", "n_r"), "gram", "left")
+    rows = rows.select("window", "k", F.substring("gram", F.lit(1), F.col("k")).alias("context"), "n_a", "n_r")
     # Every window has the contexts of no and one character: as many as there are characters.
     few = rows.where("k <= 1").join(F.broadcast(contexts.where("k <= 1")), ["k", "context"], "left")
     rows = few.unionByName(rows.where("k > 1").join(contexts.where("k > 1"), ["k", "context"], "left"))
-    steps = rows.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_r", "all_a", "all_r", "kinds_a", "kinds_r")]))).alias("steps"))
+    # A context that was never met leaves the probability as it is; the empty one always was.
+    steps = rows.where(F.col("all_a").isNotNull()).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_r", "all_a", "all_r", "kinds_a", "kinds_r")]))).alias("steps"))
 
     def probability(kind):
         def longer(p, s):
@@ -114,8 +116,8 @@ def window_scores(labelled: DataFrame, urls: DataFrame) -> DataFrame:
 
 def with_scores(urls: DataFrame, scores: DataFrame) -> DataFrame:
     """``urls`` with ``score`` per character; equal URLs are scored once."""
-    # Windows carry a digest of their address, which may be long.
-    keyed = urls.withColumn("key", F.sha2("address", 256))
+    # Windows carry 128 bits of their address's digest; addresses may be long.
+    keyed = urls.withColumn("key", F.substring(F.unhex(F.sha2("address", 256)), 1, 16))
     distinct = keyed.select("key", "address").distinct()
     found = _exploded(distinct, "key").join(scores, "window").groupBy("key").agg(F.avg("score").alias("score"))
     return keyed.join(found, "key", "left").drop("key").withColumn("score", F.coalesce("score", F.lit(0.0)))
