@@ -104,6 +104,28 @@ def test_a_collision_of_digests_keeps_groups_apart(stored, monkeypatch):
     assert {(r.keep_id, r.group_size) for r in found.collect()} == {(38, 20), (39, 20)}
 
 
+def test_the_filter_decides_what_meets_the_snapshot(stored, monkeypatch):
+    rows = stored([(i, t) for i, t in enumerate(["one", "two", "three"] * 4)])
+    old, new = rows.where("doc_id < 6"), rows.where("doc_id >= 6")
+    found = exact_dedup.exact_duplicates(new, old)
+    assert {(r.keep_id, r.group_size) for r in found.collect()} == {(9, 4), (10, 4), (11, 4)}
+    # False negatives would show: without positives the batch and the snapshot stay apart.
+    monkeypatch.setattr(exact_dedup, "screen", lambda groups, snapshot: groups.selectExpr("*", "false AS maybe"))
+    found = exact_dedup.exact_duplicates(new, old)
+    assert {(r.keep_id, r.group_size) for r in found.collect()} == {(i, 2) for i in (3, 4, 5, 9, 10, 11)}
+    # False positives do not: they find no bucket.
+    monkeypatch.setattr(exact_dedup, "screen", lambda groups, snapshot: groups.selectExpr("*", "true AS maybe"))
+    found = exact_dedup.exact_duplicates(new.unionByName(stored([(20, "four")])), old)
+    assert {(r.keep_id, r.group_size) for r in found.collect()} == {(9, 4), (10, 4), (11, 4), (20, 1)}
+
+
+def test_one_row_stays_when_both_sides_have_it(stored):
+    rows = stored([(1, "a"), (2, "a"), (None, "b")])
+    found = exact_dedup.exact_duplicates(rows, rows).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in found) == [(0, 0, 2), (0, 0, 2), (1, 2, 4), (1, 2, 4), (2, 2, 4), (2, 2, 4)]
+    assert sorted(r.doc_id or 0 for r in found if r.kept) == [0, 2]
+
+
 def brute_cut(texts, length):
     seen = defaultdict(int)
     for t in texts:

@@ -3,8 +3,9 @@
 A snapshot is a stored table of exact buckets (one row per distinct text) with a
 static three-way binary fuse filter per shard of its digests. Incoming rows are
 grouped among themselves first; each distinct incoming digest then meets the
-filter of its shard. Only positives are joined with the snapshot's buckets,
-where the bytes of one representative of each side are compared.
+filter of its shard. Negatives are groups of their own at once. Only positives are
+joined with the snapshot's buckets, where the bytes of one representative of each
+side are compared; a match makes one group of the bucket and the incoming rows.
 
 A null text counts as empty. Of equal texts the row with the largest doc_id
 stays; if that very row is repeated, one of the repetitions does. Rows without a
@@ -150,15 +151,19 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.groupBy("digest").agg(F.first("text").alias("text"))
 
 
-def differing(incoming: DataFrame, positives: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Digests of incoming groups whose bytes differ from the bucket of the same digest."""
-    matched = positives.select("digest", "n_bytes", F.col("keep_id").alias("new_id")).join(
-        snapshot.buckets.select("digest", "n_bytes", F.col("keep_id").alias("old_id")), ["digest", "n_bytes"]
-    )
-    new = _texts(incoming, matched.select("digest", F.col("new_id").alias("keep_id")))
-    old = _texts(snapshot.docs, matched.select("digest", F.col("old_id").alias("keep_id")))
+def matched(positives: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """Incoming groups next to the bucket of their digest, false positives left out."""
+    old = snapshot.buckets.select("digest", "n_bytes", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size"))
+    new = positives.select("digest", "n_bytes", F.col("keep_id").alias("new_id"), F.col("group_size").alias("new_size"))
+    return new.join(old, ["digest", "n_bytes"])
+
+
+def differing(incoming: DataFrame, pairs: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """Digests of matched groups whose bytes differ from the bucket of the same digest."""
+    new = _texts(incoming, pairs.select("digest", F.col("new_id").alias("keep_id")))
+    old = _texts(snapshot.docs, pairs.select("digest", F.col("old_id").alias("keep_id")))
     both = new.join(old.withColumnRenamed("text", "old_text"), "digest")
-    return both.where("text <> old_text").select("digest", F.lit(1).alias("apart"))
+    return both.where("text <> old_text").select("digest")
 
 
 def exact_duplicates(incoming: DataFrame, held: DataFrame) -> DataFrame:
@@ -171,21 +176,34 @@ def exact_duplicates(incoming: DataFrame, held: DataFrame) -> DataFrame:
     new_rows = materialise(with_digests(incoming).select("doc_id", "digest", "n_bytes"), "incoming")
     snapshot = build_snapshot(old_rows, held)
     new = materialise(screen(_grouped(new_rows), snapshot), "screened")
-    apart = materialise(differing(incoming, new.where("maybe").drop("maybe"), snapshot), "apart")
+    positives, negatives = (new.where(c).drop("maybe") for c in ("maybe", "NOT maybe"))
+    pairs = materialise(matched(positives, snapshot), "pairs")
     # A digest collision, should there ever be one, keeps the two sides' groups apart.
-    fresh = new.drop("maybe").join(apart, "digest", "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
-    groups = (
-        snapshot.buckets.withColumn("apart", F.lit(0)).unionByName(fresh)
-        .groupBy("digest", "n_bytes", "apart").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    )
-    rows = old_rows.withColumn("apart", F.lit(0)).unionByName(
-        new_rows.join(apart, "digest", "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
+    apart = materialise(differing(incoming, pairs, snapshot), "apart")
+    old_stays = F.col("old_id").eqNullSafe(F.greatest("old_id", "new_id"))
+    joint = pairs.join(apart, "digest", "left_anti").select(
+        "digest", "n_bytes", F.greatest("old_id", "new_id").alias("joint_id"), (F.col("old_size") + F.col("new_size")).alias("joint_size"), old_stays.alias("old_stays")
     )
+
+    def together(groups: DataFrame, side: int) -> DataFrame:
+        """Groups of one side, those of a match as one with the other side's."""
+        is_joint = F.col("joint_size").isNotNull()
+        return groups.join(joint, ["digest", "n_bytes"], "left").select(
+            "digest", "n_bytes", F.lit(side).alias("side"),
+            F.when(is_joint, F.col("joint_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.coalesce("joint_size", "group_size").alias("group_size"),
+            # The side that the row that stays belongs to, should both have that doc_id.
+            (~is_joint | (F.col("old_stays") == F.lit(side == 0))).alias("owner"),
+        )
+
+    alone = negatives.select("digest", "n_bytes", F.lit(1).alias("side"), "keep_id", "group_size", F.lit(True).alias("owner"))
+    groups = together(snapshot.buckets, 0).unionByName(together(positives, 1)).unionByName(alone)
+    rows = old_rows.withColumn("side", F.lit(0)).unionByName(new_rows.withColumn("side", F.lit(1)))
     # Repeated rows are counted first and told apart by their number.
-    counted = rows.groupBy("doc_id", "digest", "n_bytes", "apart").agg(F.count(F.lit(1)).alias("copies"))
+    counted = rows.groupBy("doc_id", "digest", "n_bytes", "side").agg(F.count(F.lit(1)).alias("copies"))
     numbered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
-    return numbered.join(groups, ["digest", "n_bytes", "apart"]).select("doc_id", "digest", "keep_id", "group_size", stays.alias("kept"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1) & F.col("owner")
+    return numbered.join(groups, ["digest", "n_bytes", "side"]).select("doc_id", "digest", "keep_id", "group_size", stays.alias("kept"))
 
 
 def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
