@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tidegauge.llm import ORACLES, QUERIES, classifier, rules, urls, warc
+from tidegauge.llm.common import bounded_sample
 from tidegauge.llm.files import locate
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +67,59 @@ def test_isolated_rows_have_higher_scores():
     assert scores.argmax() == 500 and scores[500] > 0.6 > np.median(scores)
 
 
+def brute_score(forest, row):
+    """Mean path of one row through nested comparisons, tree by tree."""
+    total = 0.0
+    for column, value, left, path in zip(forest.column, forest.value, forest.left, forest.path):
+        node = 0
+        while left[node]:
+            node = left[node] + (1 if row[column[node]] > value[node] else 0)
+        total += path[node]
+    return 2 ** (-total / len(forest.column) / float(rules.average_path(forest.sample)))
+
+
+def test_scores_are_mean_paths():
+    rng = np.random.default_rng(4)
+    rows = np.vstack([rng.normal(0, 1, (300, 4)), np.full((20, 4), 0.5)])
+    forest = rules.fit_forest(rows, np.array([1, 0.5, 0.01, 1]))
+    probe = np.vstack([rows[::7], [[8, 0, 0, 0], [0, 0, 0, 0]]])
+    assert np.allclose(forest.scores(probe), [brute_score(forest, r) for r in probe])
+    # A column without spread is never split.
+    assert not (rules.fit_forest(np.hstack([rows, np.ones((320, 1))])).column == 4).any()
+
+
+def test_chances_follow_the_distance_of_distributions():
+    bad = np.arange(100) < 20
+    rows = np.stack([np.arange(100) % 10, np.where(bad, 5.0, 0.0), np.arange(100) % 4 + 2 * bad], 1)
+    chances = rules.telling(rows, bad)
+    assert chances[0] == 0.01 and chances[1] == 1.0 and 0.01 < chances[2] < 1
+    assert rules.telling(rows, bad & False).tolist() == [1.0] * 3 == rules.telling(rows, bad | True).tolist()
+
+
+def test_verdicts_rest_on_plain_statistics(judged, stored):
+    docs, labels = judged
+    report = {r.quality: (r.n, r.n_kept) for r in rules.held_out_report(docs, labels).collect()}
+    assert report[1][0] == report[1][1] > 10 and report[0][0] > 0 == report[0][1]
+    # Repeated lines alone, far below the base rule's limit, are found if labels say so.
+    rng = random.Random(3)
+
+    def text(repeats):
+        lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(rng.randint(7, 13))) for _ in range(12)]
+        return "\n".join(lines + lines[:1] * repeats)
+
+    rows = [(i, text(4 if i % 10 == 0 else 0)) for i in range(400)]
+    verdicts = rules.judge(stored(rows), stored([(i, int(i % 10 > 0)) for i in range(400)], "doc_id long, quality int")).collect()
+    assert {r.doc_id for r in verdicts if not r.kept and not r.base_failed} == set(range(0, 400, 10))
+    assert len({round(r.score, 9) for r in verdicts if r.kept}) > 100
+
+
+def test_samples_are_bounded(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    found = bounded_sample(rows, "doc_id", 500)
+    assert 400 < found.count() <= 500 and bounded_sample(rows, "doc_id", 20_000).count() == 20_000
+    assert bounded_sample(rows.selectExpr("1 AS doc_id"), "doc_id", 50).count() <= 50
+
+
 def test_additive_model_learns_single_and_paired_effects():
     rng = np.random.default_rng(5)
     rows = rng.random((4000, len(classifier.FEATURES)))

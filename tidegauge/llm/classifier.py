@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_arrow, query, table, text_of
+from tidegauge.llm.common import bounded_sample, map_arrow, query, table, text_of
 from tidegauge.session import materialise
 
 #: Documented bound: labelled rows the model is fitted on, chosen by a hash of doc_id.
@@ -176,7 +176,8 @@ def train(measured: DataFrame, labels: DataFrame) -> Additive | None:
     """Model of at most `FIT_ROWS` labelled rows that are not held out."""
     quality = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = measured.where(~held_out()).join(quality, "doc_id")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("features", "quality").toPandas()
+    # Ordered, so the model does not depend on the order in which tasks end.
+    sample = bounded_sample(known.select("doc_id", "features", "quality"), "doc_id", FIT_ROWS).toPandas().sort_values("doc_id")
     if not len(sample):
         return None
     return fit(np.array(sample["features"].tolist(), float), sample["quality"].to_numpy(float))

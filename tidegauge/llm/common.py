@@ -58,6 +58,18 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """About ``bound`` rows, never more, chosen by a hash of ``key``; all if there are fewer.
+
+    Rows are counted first, so tasks pass on only those below a cutoff.
+    """
+    total = rows.count()
+    if total <= bound:
+        return rows
+    cutoff = int(2**32 * bound / total * 0.95)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(2**32)) < cutoff).limit(bound)
+
+
 def _column(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, kind)
 

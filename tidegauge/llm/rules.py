@@ -1,18 +1,24 @@
 """Quality rules: counts per text, and an isolation forest over them.
 
 The base rule is fixed. The verdict on the other documents comes from an
-isolation forest: random splits of sampled rows, where a document that is
-separated after few splits is anomalous. The threshold on the anomaly score is
-calibrated on all labelled rows.
+isolation forest over the plain statistics: random splits of sampled rows, where
+a document that is separated after few splits is anomalous. A split takes a
+statistic the more often, the further apart labels set it in the sample; with
+equal chances, rare lengths and repeats would hide what labels call bad. Trees
+grow on rows of which at most one in `ORDINARY` is bad, so anomalies stay rare.
+The threshold on the score is calibrated on labelled rows that trees never saw.
 
 A null text has no words, and like every text of under 50 words it fails the base
 rule. Rows are judged one by one, so ties and repeated rows get equal verdicts;
-an empty table gives an empty result; extra columns are ignored. Without any
-labelled rows there is no forest and only the base rule decides.
+an empty table gives an empty result; extra columns are ignored. Very long texts
+are counted whole. Without any labelled rows there is no forest and only the base
+rule decides; without bad ones among those that calibrate nothing else is rejected.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,20 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_arrow, query, small_batches, table, text_of
+from tidegauge.llm.common import bounded_sample, map_arrow, query, small_batches, table, text_of
 from tidegauge.session import materialise
 
 MIN_WORDS = 50
-#: Documented bound: labelled rows the forest is fitted on. The threshold uses all.
+#: Documented bound: labelled rows the forest is fitted on.
 FIT_ROWS = 20_000
 TREES, SAMPLE, DEPTH = 200, 256, 10
+#: Good rows to a bad one among those that trees are grown on, if there are as many.
+ORDINARY = 50
+#: Labelled rows are dealt by a hash into so many parts; these are for fitting and calibrating.
+PARTS, FIT_PARTS, CALIBRATE_PARTS = 4, (0, 1), (2, 3)
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: What the forest looks at: by how much a text exceeds what each rule allows, 0 in
-#: most texts. x / (x + half) spreads the low end over 0..1. (allowed, half)
-RULES = {"odd_length": (0.0, 1.0), "symbols": (0.03, 0.05), "capitals": (0.1, 0.1), "exclamations": (0.05, 0.05), "stutter": (0.08, 0.05)}
-SHARES = list(RULES)
-#: Mean word lengths that are ordinary.
-WORD_LENGTH = (2.5, 10.0)
+#: What the forest looks at: logarithm of the words, mean word length, and shares.
+SHARES = ["log_words", "word_length", "symbols", "capitals", "exclamations", "stutter", "dup_lines", "repeats"]
 SCHEMA = ", ".join(["doc_id long", *[f"{c} long" for c in COUNTS], *[f"{c} double" for c in SHARES]])
 
 
@@ -66,9 +72,8 @@ def statistics(text: str) -> tuple:
         return (0, chars, symbols, dup_lines, repeats, *[0.0] * len(SHARES))
     capitals = sum(len(w) > 2 and w.isupper() for w in text.split()) / n
     stutter = sum(a == b for a, b in zip(words, words[1:])) / n
-    odd = max(0.0, WORD_LENGTH[0] - chars / n, chars / n - WORD_LENGTH[1])
-    broken = [max(0.0, x - allowed) for x, (allowed, _) in zip((odd, symbols / n, capitals, text.count("!") / n, stutter), RULES.values())]
-    return (n, chars, symbols, dup_lines, repeats, *[x / (x + half) for x, (_, half) in zip(broken, RULES.values())])
+    shares = (math.log(n), chars / n, symbols / n, capitals, text.count("!") / n, stutter, dup_lines / max(1, len(lines)), repeats / n)
+    return (n, chars, symbols, dup_lines, repeats, *shares)
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -109,7 +114,22 @@ class Forest:
         return 2.0 ** (-total / len(self.column) / max(float(average_path(self.sample)), 1.0))
 
 
-def fit_forest(rows: np.ndarray, seed: int = 7) -> Forest:
+def telling(rows: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Chance of each column to be split: the square of the largest distance between
+    the distributions of good and bad rows. Columns that labels do not tell apart
+    keep a little; all are equal if there are rows of one label only."""
+    if bad.all() or not bad.any():
+        return np.ones(rows.shape[1])
+    chances = []
+    for column in rows.T:
+        values = np.unique(column)
+        shares = [np.searchsorted(np.sort(column[own]), values, "right") / own.sum() for own in (bad, ~bad)]
+        chances.append(max(0.01, float(np.abs(shares[0] - shares[1]).max()) ** 2))
+    return np.array(chances)
+
+
+def fit_forest(rows: np.ndarray, chances: np.ndarray | None = None, seed: int = 7) -> Forest:
+    chances = np.ones(rows.shape[1]) if chances is None else chances
     rng = np.random.default_rng(seed)
     size = min(SAMPLE, len(rows))
     most = 2 ** (DEPTH + 1)
@@ -125,7 +145,7 @@ def fit_forest(rows: np.ndarray, seed: int = 7) -> Forest:
             if depth == DEPTH or len(own) < 2 or not len(spread):
                 path[node] = depth + float(average_path(len(own)))
                 continue
-            c = rng.choice(spread)
+            c = rng.choice(spread, p=chances[spread] / chances[spread].sum())
             # The range is widened a little, so a row beyond every sampled one is told apart too.
             edge = 0.1 * (high[c] - low[c])
             cut = rng.uniform(low[c] - edge, high[c] + edge)
@@ -145,24 +165,43 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_rules(measured: DataFrame, labels: DataFrame):
-    """Forest from a bounded sample of the labelled rows, threshold from all of them."""
-    passed = measured.where(~base_failed())
-    labelled = passed.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality IS NOT NULL"), "doc_id")
-    sampled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(*SHARES).toPandas()
+def with_labels(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled rows that pass the base rule, with ``quality`` and the ``part`` they are dealt into."""
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality IS NOT NULL")
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(PARTS))
+    return measured.where(~base_failed()).join(known, "doc_id").withColumn("part", part)
+
+
+def fit_rules(measured: DataFrame, labels: DataFrame, calibrate: Sequence[int] = CALIBRATE_PARTS):
+    """Forest from a bounded sample of the rows dealt to it, threshold from all rows of ``calibrate``."""
+    labelled = with_labels(measured, labels)
+    sample = bounded_sample(labelled.where(F.col("part").isin(*FIT_PARTS)).select("doc_id", *SHARES, "quality"), "doc_id", FIT_ROWS)
     # Up to FIT_ROWS rows of a few numbers; a forest of TREES small trees comes of them.
+    sampled = sample.toPandas().sort_values(["doc_id", *SHARES])
     if not len(sampled):
         return None, 2.0
-    rows = sampled.to_numpy(float)
-    forest = fit_forest(rows)
-    scored = with_scores(labelled.select("doc_id", *SHARES, "quality"), forest)
+    rows, bad = sampled[SHARES].to_numpy(float), (sampled["quality"] == 0).to_numpy()
+    most = max(1, (~bad).sum() // ORDINARY) if not bad.all() else len(bad)
+    few = np.flatnonzero(bad)[:: -(-max(1, bad.sum()) // most)]
+    forest = fit_forest(rows[np.sort(np.concatenate([np.flatnonzero(~bad), few]))], telling(rows, bad))
+    scored = with_scores(labelled.where(F.col("part").isin(*calibrate)).select("doc_id", *SHARES, "quality"), forest)
     return forest, calibrated(scored)
 
 
+def held_out_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per label the rows and those kept, in a part that neither fits nor calibrates."""
+    *calibrate, unseen = CALIBRATE_PARTS
+    measured = materialise(with_statistics(docs), "statistics")
+    forest, threshold = fit_rules(measured, labels, calibrate)
+    rows = with_labels(measured, labels).where(F.col("part") == unseen)
+    scored = with_scores(rows, forest) if forest else rows.withColumn("score", F.lit(0.0))
+    return scored.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") < threshold).alias("n_kept"))
+
+
 def calibrated(scored: DataFrame) -> float:
     """Score above which rejecting gains most: share of bad rows less share of good rows.
 
-    Labels are counted per thousandth of the score, in all labelled rows.
+    Labels are counted per thousandth of the score, in all rows of ``scored``.
     """
     counts = scored.groupBy(F.floor(F.col("score") * 1000).cast("int").alias("cell")).agg(
         F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad")
@@ -172,9 +211,12 @@ def calibrated(scored: DataFrame) -> float:
         good[row["cell"]], bad[row["cell"]] = row["good"], row["bad"]
     if not bad.sum():
         return 2.0
-    kept_good, kept_bad = np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
+    kept_good, kept_bad = np.cumsum(good) / max(1.0, good.sum()), np.cumsum(bad) / bad.sum()
     gain = np.round(kept_good - kept_bad, 9)
-    return float((np.flatnonzero(gain == gain.max())[-1] + 1) / 1000)  # the mildest of equally good ones
+    best = np.flatnonzero(gain == gain.max())
+    # Of equally good thresholds the middle of the mildest run, as far from good rows as from bad ones.
+    run = best[np.flatnonzero(np.diff(best, prepend=-2) > 1)[-1] <= np.arange(len(best))]
+    return float((run[len(run) // 2] + 1) / 1000)
 
 
 def with_scores(measured: DataFrame, forest: Forest) -> DataFrame:
