@@ -61,3 +61,18 @@ def test_lines_around_the_table_are_left_out(spark, tmp_path, split):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_line_numbers_hold_when_scans_are_split_anew(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.tsv").write_text("\n".join(["# export", "a\tb", *[f"{k}\t{i}" for i in range(200)], "# end"]) + "\n")
+    wanted = sorted(((str(k), str(i)) for k in range(3) for i in range(200)), key=repr)
+    got = read_delimited(spark, str(tmp_path), skip_rows=1, skip_footer=1)
+    try:
+        for size in ("100", "333", "5000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert rows_of(got.select("a", "b")) == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidegauge.functions.numeric import BYTES_DIVISOR, BYTES_MARK, truncated_units, zero_if_missing
 from tidegauge.operators.repair import gap_fill
+from tidegauge.session import materialise
 
 
 def read_delimited(
@@ -65,16 +66,19 @@ def _read_trimmed(
 
     A line's number is its rank in the piece of the file one task reads, plus
     the lines of the pieces before: only a row per piece is counted and joined.
+    Lines are stored with their piece and rank first, so a later scan that Spark
+    splits in other places can't number them differently.
     """
     named = header is not False
     first = skip_rows + (int(header) if not isinstance(header, bool) else 0)
     piece = ["_file", "_from"]
-    lines = spark.read.text(path).select(
+    scanned = spark.read.text(path).select(
         F.col("value").alias("_line"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_from"),
         F.monotonically_increasing_id().alias("_id"),
     )
+    lines = materialise(scanned, "lines")
     pieces = lines.groupBy(*piece).agg(F.min("_id").alias("_first_id"), F.count(F.lit(1)).alias("_lines"))
     in_file = Window.partitionBy("_file")
     placed = pieces.withColumns(
