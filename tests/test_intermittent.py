@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from helpers import rows_of
+from tidegauge.operators import intermittent
 from tidegauge.operators.intermittent import croston, croston_tsb
 from tidegauge.operators.position import decay_block_rows
 
@@ -70,3 +71,38 @@ def test_blocks_fit_a_double():
 def test_without_future_rows(frame):
     got = croston(frame, "x", extra_periods=0)
     assert rows_of(got.groupBy("protocol").count()) == rows_of(frame.groupBy("protocol").count())
+
+
+def test_chain_over_all_levels(spark, monkeypatch):
+    monkeypatch.setattr(intermittent, "FAN", 3)
+    rng = np.random.default_rng(4)
+    n, rows, expected = 200, [], {}
+    for name, share in (("a", 0.9), ("b", 0.05), ("c", 0.0)):
+        state = None
+        for k in range(n):
+            weight, update = (0.7, float(rng.integers(1, 9))) if rng.random() < share else (1.0, None)
+            rows.append((name, k, weight, update))
+            expected[name, k] = state
+            if update is not None:
+                state = update if state is None else weight * state + update
+    steps = spark.createDataFrame(rows, "protocol string, _id long, _a_x double, _u_x double").repartition(5)
+    got = {(r["protocol"], r["_id"]): r["_in_x"] for r in intermittent.state_before(steps, ["x"], ["protocol"]).collect()}
+    assert got.keys() == expected.keys()
+    for at, state in expected.items():
+        assert got[at] is None if state is None else np.isclose(got[at], state, rtol=1e-12)
+
+
+def test_nothing_small_is_cut_off(spark):
+    """One demand, then so many updates that its weight is far below 1e-200 but not zero."""
+    demand = np.array([1e150] + [0.0] * 900)
+    df = spark.createDataFrame(pd.DataFrame({"protocol": "s", "t": range(len(demand)), "x": demand}))
+    got = croston_tsb(df, "x", alpha=0.4, beta=0.5, extra_periods=0, block_rows=100).toPandas().sort_values("t")
+    expected = np.array(direct(demand, 0.4, 0.5, 0))
+    assert 0 < expected[-1, 1] < 1e-200
+    assert np.allclose(got.period, expected[:, 1], rtol=1e-9, atol=0)
+
+
+def test_no_window_over_a_whole_series(frame):
+    plan = croston(frame, "x")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_block" in line.split("],")[-2] for line in windows)

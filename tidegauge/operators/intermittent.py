@@ -11,9 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.joins import attach
 from tidegauge.operators.position import decay_block_rows
 
 
+#: Steps folded to one at each level of a chain, and levels below the last.
+FAN, LEVELS = 256, 2
+
+
 def _power(decay: float, exponent: Column) -> Column:
     return F.pow(F.lit(float(decay)), exponent.cast("double"))
 
@@ -57,9 +62,9 @@ def decayed_state(
             for name, (_, decay) in updates.items()
         ],
     )
-    for name, (_, decay) in updates.items():
-        blocks = _chain(blocks, name, decay, by)
-    starts = blocks.select(*by, "_block", *[f"_in_{name}" for name in updates])
+    weights = {f"_a_{name}": _power(decay, F.col(f"_k_{name}")) for name, (_, decay) in updates.items()}
+    starts = state_before(blocks.withColumns(weights).withColumnRenamed("_block", "_id"), list(updates), by)
+    starts = starts.withColumnRenamed("_id", "_block")
 
     scanned = counted.join(starts, [*by, "_block"]).withColumns(
         {
@@ -86,35 +91,64 @@ def decayed_state(
     )
 
 
-def _chain(blocks: DataFrame, name: str, decay: float, by: list[str]) -> DataFrame:
-    """Add ``_in_<name>``, the state at the start of every block.
+def state_before(steps: DataFrame, names: Sequence[str], by: Sequence[str], level: int = LEVELS) -> DataFrame:
+    """``by, _id, _in_<name>``: the state ahead of every step of a long chain.
 
-    The table has one row per block. Blocks are grouped by running number of
-    updates so that ``decay**-updates`` fits a double within a group; what a
-    group contributes beyond the next one is below 1e-200 and left out.
+    Step ``_id`` turns a state ``s`` into ``_a_<name> * s + _u_<name>``; where
+    ``_u_`` is NULL it leaves the state as it is, and the state is NULL up to the first
+    one that is not. Such steps compose to a pair of the same kind, so ``FAN`` steps are
+    folded to one, the chain of these is solved the same way, and each group is then
+    walked from the state it starts with. No group holds more than ``FAN`` steps, but
+    for the last level with one step for each ``FAN ** LEVELS``. Weights shrink to
+    zero as doubles do; nothing is cut off before.
     """
-    updates, total = f"_k_{name}", f"_u_{name}"
-    ordered = Window.partitionBy(*by).orderBy("_block")
-    past = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    if decay <= 0:
-        return blocks.withColumn(f"_in_{name}", F.last(total, ignorenulls=True).over(past))
-    span = decay_block_rows(decay, limit=10**15)
-    up_to = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    made = blocks.withColumn("_done", F.sum(updates).over(up_to))
-    made = made.withColumn("_group", F.floor(F.col("_done") / span).cast("bigint"))
-    in_group = Window.partitionBy(*by, "_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    offset = F.col("_done") - F.col("_group") * span
-    made = made.withColumn("_sum", F.sum(F.col(total) * _power(decay, -offset)).over(in_group))
-    # The row ahead of a group's first block is the end of the group before.
-    made = made.withColumn("_previous", F.lag("_sum").over(ordered))
-    made = made.withColumn("_carried", F.first("_previous").over(in_group))
-    after = F.coalesce("_sum", F.lit(0.0)) * _power(decay, offset) + F.coalesce(
-        "_carried", F.lit(0.0)
-    ) * _power(decay, offset + span)
-    made = made.withColumn("_after", F.when(F.col("_done") > 0, after))
-    return made.withColumn(f"_in_{name}", F.lag("_after").over(ordered)).drop(
-        "_done", "_group", "_sum", "_previous", "_carried", "_after"
+    by, names = list(by), list(names)
+    group = F.floor(F.col("_id") / FAN).cast("bigint") if level else F.lit(0).cast("bigint")
+    step = F.struct("_id", *[f"{p}{name}" for name in names for p in ("_a_", "_u_")])
+    groups = steps.withColumn("_group", group).groupBy(*by, "_group").agg(F.sort_array(F.collect_list(step)).alias("_steps"))
+
+    def after(state: Column, one: Column, name: str) -> Column:
+        update = one[f"_u_{name}"]
+        return F.when(update.isNull(), state).when(state.isNull(), update).otherwise(one[f"_a_{name}"] * state + update)
+
+    none = F.lit(None).cast("double")
+    if level:
+        start = F.struct(*[c for name in names for c in (F.lit(1.0).alias(f"_a_{name}"), none.alias(f"_u_{name}"))])
+        folded = F.aggregate(
+            "_steps",
+            start,
+            lambda so_far, one: F.struct(
+                *[
+                    c
+                    for name in names
+                    for c in (
+                        (so_far[f"_a_{name}"] * one[f"_a_{name}"]).alias(f"_a_{name}"),
+                        after(so_far[f"_u_{name}"], one, name).alias(f"_u_{name}"),
+                    )
+                ]
+            ),
+        )
+        above = groups.select(*by, F.col("_group").alias("_id"), folded.alias("_all")).select(*by, "_id", "_all.*")
+        ahead = state_before(above, names, by, level - 1).withColumnRenamed("_id", "_group")
+        groups = groups.join(ahead, [*by, "_group"])
+    else:
+        groups = groups.withColumns({f"_in_{name}": none for name in names})
+
+    ids = dict(steps.dtypes)["_id"]
+    fields = ", ".join([f"_id: {ids}", *[f"_in_{name}: double" for name in names]])
+    done = F.array().cast(f"array<struct<{fields}>>")
+    walked = F.aggregate(
+        "_steps",
+        F.struct(done.alias("done"), *[F.col(f"_in_{name}").alias(name) for name in names]),
+        lambda so_far, one: F.struct(
+            F.concat(
+                so_far["done"], F.array(F.struct(one["_id"].alias("_id"), *[so_far[name].alias(f"_in_{name}") for name in names]))
+            ).alias("done"),
+            *[after(so_far[name], one, name).alias(name) for name in names],
+        ),
+        lambda end: end["done"],
     )
+    return groups.select(*by, F.explode(walked).alias("_of")).select(*by, "_of.*")
 
 
 def _smoothed_demand(
@@ -150,19 +184,20 @@ def _smoothed_demand(
         F.min_by("demand", at).alias("_opening"),
         F.max(at).alias("_last"),
     )
-    whole = Window.partitionBy(*by)
-    past = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Demand last seen before a block: a step that replaces the state.
+    hits = blocks.select(
+        *by, F.col("_block").alias("_id"), F.lit(0.0).alias("_a_hit"), F.col("_tail_hit").cast("double").alias("_u_hit")
+    )
+    carried = state_before(hits, ["hit"], by).select(
+        *by, F.col("_id").alias("_block"), F.col("_in_hit").cast("bigint").alias("_carried_hit")
+    )
     hit_block = F.when(F.col("_head_hit").isNotNull(), F.col("_block"))
-    facts = blocks.select(
-        *by,
-        "_block",
-        F.last("_tail_hit", ignorenulls=True).over(past).alias("_carried_hit"),
-        F.coalesce(
-            F.min_by("_head_demand", hit_block).over(whole), F.min_by("_opening", "_block").over(whole)
-        ).alias("_first_level"),
-        F.coalesce(F.min("_head_hit").over(whole) + 1, F.lit(1)).cast("double").alias("_first_wait"),
-        F.max("_last").over(whole).alias("_last"),
+    series = blocks.groupBy(*by).agg(
+        F.coalesce(F.min_by("_head_demand", hit_block), F.min_by("_opening", "_block")).alias("_first_level"),
+        F.coalesce(F.min("_head_hit") + 1, F.lit(1)).cast("double").alias("_first_wait"),
+        F.max("_last").alias("_last"),
     )
+    facts = attach(carried, series, by)
 
     in_block = Window.partitionBy(*by, "_block").orderBy(position)
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
