@@ -196,3 +196,93 @@ def test_tables_without_spans_and_with_other_columns(stored, odd):
     extra = stored([(1, "a@b.co", "s", 1, [2])], "doc_id int, text string, spans string, kinds int, texts array<int>")
     assert [tuple(r)[:5] for r in pii.personal_data(extra).collect()] == [(1, 1, 0, 0, 0)]
     assert pii.personal_data(odd).count() == odd.count()
+
+
+def test_every_character_is_in_a_window_that_is_read():
+    rng = random.Random(8)
+    for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 1984, 1985, 5000):
+        text = "".join(rng.choice("ab é漢😀\n") for _ in range(n))
+        windows = pii.windows_to_read(text)
+        assert [s for s, _ in windows] == [k * (pii.READ - pii.OVERLAP) for k in range(len(windows))]
+        assert all((own == pii.numbers(text)[s:s + pii.READ]).all() and len(own) for s, own in windows)
+        assert sum(len(own) for _, own in windows) == n + pii.OVERLAP * max(0, len(windows) - 1)
+        assert not n or windows[-1][0] + len(windows[-1][1]) == n
+
+
+def test_spans_without_digit_or_at_sign_are_found_wherever_they_stand(model, stored):
+    rng = random.Random(6)
+    rows, want, places = [], {}, ("start", "end", "middle")
+    for i in range(120):
+        words = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(500))
+        span = "".join(rng.choice("abcdefghij") for _ in range(6)) + rng.choice((" (at) ", "[at]")) + "mail (dot) example (dot) com"
+        before, after = ("", f" {words}") if i % 3 == 0 else (f"{words} ", "") if i % 3 == 1 else (f"{words[:890 + i]} ", f" {words[890 + i:]}")
+        rows.append((i, before + span + after))
+        want[i] = f"email:{len(before)}:{len(before) + len(span)}"
+    assert not any(re.search("[0-9@]", t) for _, t in rows)
+    made = {r.doc_id: r for r in pii.tagged(pii.screened(stored(rows)), model).collect()}
+    found = {place: sum(made[i].spans == want[i] for i in want if i % 3 == k) for k, place in enumerate(places)}
+    assert all(n >= 0.7 * 40 for n in found.values()), found
+    assert all(made[i].n_email == 0 for i in want)
+
+
+def test_examples_at_edges_keep_their_spans():
+    rng = np.random.default_rng(1)
+    text = "some words ana@a.org and 10.0.0.1 then more of them"
+    spans = [(11, 0, 20), (25, 1, 33)]
+    seen = set()
+    for _ in range(40):
+        new, moved = pii.at_edge(rng, text, spans)
+        assert len(new) == pii.WINDOW and moved
+        assert all(new[a:b] == ("ana@a.org", "10.0.0.1")[k] for a, k, b in moved)
+        seen |= {(k, a == 0, b == len(new)) for a, k, b in moved if a == 0 or b == len(new)}
+    assert seen == {(0, True, False), (0, False, True), (1, True, False), (1, False, True)}
+    whole = "a@b.co " + "x" * 114 + " 1.1.1.1"[:7]
+    assert all(len(pii.at_edge(rng, whole, [(0, 0, 6)])[0]) == pii.WINDOW for _ in range(9))
+
+
+def test_windows_of_any_length_are_read_together_as_each_alone(model, private, monkeypatch):
+    rng = random.Random(4)
+    texts = ["", "x", "a@b"] + [(t * 3)[:rng.randint(1, 700)] for _, t in private[:60]]
+    texts += [t.replace("@", " (at) ") for t in texts]
+    windows = [pii.numbers(t) for t in texts]
+    together = model.spans(windows)
+    assert sum(map(len, together)) > 20
+    assert [[x[:3] for x in s] for s in together] == [[x[:3] for x in model.spans([w])[0]] for w in windows]
+    for w, spans in zip(windows, together):
+        if len(w):
+            tags, sure = model.decode(w[None].astype(np.int64))
+            plain = spans_of(tags[0], sure[0])
+            assert [x[:3] for x in plain] == [x[:3] for x in spans] and [x[3] for x in plain] == pytest.approx([x[3] for x in spans], abs=1e-4)
+    # Steps between tags are left out only where they change nothing.
+    monkeypatch.setattr(Tagger, "_outside", lambda self, leads, active: np.zeros(leads.shape[2], bool))
+    assert [[x[:3] for x in s] for s in model.spans(windows)] == [[x[:3] for x in s] for s in together]
+
+
+def test_windows_that_are_surely_outside_have_no_likelier_path():
+    rng = np.random.default_rng(9)
+    surely = 0
+    for seed in range(300):
+        tagger = Tagger(6, 2, 3, seed)
+        tagger.w["step"], tagger.w["first"] = (rng.normal(0, 1.5, tagger.w[k].shape).astype(np.float32) for k in ("step", "first"))
+        tagger.w["out_bias"][0] = rng.uniform(0, 6)
+        lengths = np.sort(rng.integers(1, 9, 12))[::-1]
+        active = np.array([(lengths > t).sum() for t in range(lengths[0])])
+        leads = tagger._leads(rng.integers(0, 6, (lengths[0], 12)), active)
+        outside = tagger._outside(leads, active)
+        tags, _ = tagger._best(tagger._emissions(leads), active)
+        surely += outside.sum()
+        assert not (tags[outside] > 0).any()
+    assert surely > 300
+
+
+def test_windows_to_learn_from_are_of_both_sorts(private, stored, empty):
+    docs = stored(private)
+    windows = pii.sampled_windows(docs)
+    every = {w for _, t in private for _, w in pii.windows_of(t)}
+    signs = {w for _, t in private for _, s in pii.stretches(t) for _, w in pii.windows_of(s)}
+    assert len(windows) == len(set(windows)) and set(windows) <= every | signs and signs <= set(windows)
+    plain = [w for w in windows if not re.search("[0-9@]", w)]
+    assert 250 < sum(w not in signs for w in plain) < 750
+    few = pii.sampled_windows(docs, 100, 50)
+    assert set(few) <= set(windows) and 50 < sum(w in signs for w in few) < 160 and 10 < sum(w not in signs for w in few) < 90
+    assert pii.sampled_windows(empty) == []

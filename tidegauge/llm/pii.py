@@ -6,12 +6,13 @@ the same kinds in other dress: letters beyond ASCII, ``name (at) host [dot] org`
 separators, no plus sign. It learns from labelled spans: windows of the corpus with the
 spans that the patterns find there, and the same windows with those spans rewritten in
 ways that the patterns don't cover, or with numbers in their place that are no personal
-data. At most about `FIT_WINDOWS` different windows are taken, by a hash cutoff that
-follows from their number; the model is small and goes to all tasks.
+data. About `FIT_WINDOWS` different windows with a digit or an at sign are taken, as only
+they can hold a labelled span, and about `FIT_PLAIN` others, by hash cutoffs that follow
+from their numbers; the model is small and goes to all tasks.
 
-1. Every whole text is searched by the patterns. Windows stand on a grid and overlap by
-   half. A span needs a digit or an at sign, so only windows with one of them are kept;
-   those that touch are kept as one stretch.
+1. Every whole text is searched by the patterns, and read by the tagger from its first
+   character to its last: in windows of up to `READ` characters, each of which begins
+   `OVERLAP` characters before the one before ends.
 2. Windows are decoded. All spans of a document are then reconciled together: parts of
    one kind that overlap where a window ends are joined, each is checked against what
    its kind must look like in the whole text, and of overlapping ones the surest stays.
@@ -31,22 +32,26 @@ import re
 import unicodedata
 from functools import lru_cache
 from itertools import groupby
+from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import map_arrow, query, table, text_of
-from tidegauge.llm.tagger import Tagger, spans_of, tags_of
+from tidegauge.llm.tagger import Tagger, tags_of
 from tidegauge.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-#: Characters of a window, and from one window to the next.
+#: Characters of a window to learn from, and from one to the next.
 WINDOW, STRIDE = 128, 64
-#: About so many different windows are learnt from.
-FIT_WINDOWS = 1500
+#: Characters of a window that is read, and of two neighbours in common: as many as those above have.
+READ, OVERLAP = 1024, WINDOW - STRIDE
+#: About so many different windows are learnt from, with a sign and without.
+FIT_WINDOWS, FIT_PLAIN = 1500, 500
+#: So many of the examples with spans are learnt once more with one at an edge.
+AT_EDGE = 0.35
 #: A span is added if each of its characters is at least so likely.
 CERTAIN = 0.7
 HIDDEN, STEPS, BATCH, RATE, SEED = 20, 600, 48, 0.02, 7
@@ -122,9 +127,12 @@ def shown(spans) -> str:
 # -- windows -------------------------------------------------------------------------
 
 
+CHARACTERS = 103  # 0 is no character, the last are beyond the basic plane
+
+
 @lru_cache(maxsize=1)
 def _numbers() -> np.ndarray:
-    """Number of each character of the basic plane: its own if ASCII, else that of its class."""
+    """Number of each character of the basic plane: its own if ASCII, else that of its class; then that of all others."""
     def number(code: int) -> int:
         c = chr(code)
         if " " <= c <= "~":
@@ -133,27 +141,36 @@ def _numbers() -> np.ndarray:
             return ord("@") - 31
         return 96 + (0 if c.isspace() else 1 if c.isdecimal() else 2 if c.islower() else 3 if c.isupper() else 4 if c.isalpha() else 5)
 
-    return np.array([number(code) for code in range(65536)], np.int16)
+    return np.array([*map(number, range(65536)), CHARACTERS - 1], np.uint8)
 
 
-CHARACTERS = 103  # 0 is no character, the last are beyond the basic plane
+def numbers(text: str) -> np.ndarray:
+    return _numbers()[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 65536)]
 
 
 def encoded(texts: list[str]) -> np.ndarray:
     """A row of character numbers per window."""
     out = np.zeros((len(texts), WINDOW), np.int64)
     for row, text in zip(out, texts):
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        row[:len(codes)] = np.where(codes < 65536, _numbers()[np.minimum(codes, 65535)], CHARACTERS - 1)
+        row[:len(text)] = numbers(text)
     return out
 
 
+def windows_to_read(text: str) -> list[tuple[int, np.ndarray]]:
+    """Windows that hold every character of a text, as character numbers; neighbours overlap, the last reaches the end."""
+    own = numbers(text)
+    return [(s, own[s:s + READ]) for s in range(0, max(1, len(own) - OVERLAP), READ - OVERLAP)] if len(own) else []
+
+
+# -- windows to learn from -----------------------------------------------------------
+
+
 def _is_sign(c: str) -> bool:
     return c in "@＠" or c.isdecimal()
 
 
 def stretches(text: str) -> list[tuple[int, str]]:
-    """``start, text`` of the windows with a digit or an at sign, those that touch as one."""
+    """``start, text`` of the windows to learn from with a digit or an at sign, those that touch as one."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     sign = _signs()[np.minimum(codes, 65535)] & (codes < 65536)
     cells = np.unique(np.flatnonzero(sign) // STRIDE)
@@ -242,8 +259,22 @@ def labelled(text: str) -> list[tuple[int, int, int]] | None:
     return kept
 
 
+def at_edge(rng: np.random.Generator, text: str, spans: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """A window with one of its spans at its start or end, as at those of a text; filled up with what is around its spans."""
+    start, _, end = spans[rng.integers(len(spans))]
+    around = f"{text[spans[-1][2]:]} {text[:spans[0][0]]} "
+    around *= -(-WINDOW // len(around))
+    if rng.random() < 0.5:
+        return f"{text[start:]} {around}"[:WINDOW], [(a - start, k, b - start) for a, k, b in spans if a >= start]
+    before = f"{around} "[end - WINDOW:] if end < WINDOW else ""
+    return before + text[:end], [(a + len(before), k, b + len(before)) for a, k, b in spans if b <= end]
+
+
 def examples(texts: list[str], seed: int = SEED) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Windows with spans as they are, and again with their spans rewritten or put out of the way."""
+    """Windows with spans as they are, and again with their spans rewritten or put out of the way; some with a span at an edge.
+
+    Windows of texts with a span at their edge are not taken, as it may go on there.
+    """
     rng = np.random.default_rng(seed)
     out = []
     for text in texts:
@@ -269,7 +300,8 @@ def examples(texts: list[str], seed: int = SEED) -> list[tuple[str, list[tuple[i
             if moved and moved[-1][2] > WINDOW:
                 continue
             out.append((new[:WINDOW], moved))
-    return out
+    edges = np.random.default_rng(seed + 1)
+    return out + [at_edge(edges, *known) for known in out if known[1] and edges.random() < AT_EDGE]
 
 
 def learnt(texts: list[str]) -> Tagger | None:
@@ -336,67 +368,64 @@ def reconciled(text_at, found: list[tuple[int, int, int, float, bool]], base: li
 
 
 def screened(docs: DataFrame) -> DataFrame:
-    """``doc_id, starts, kinds, ends`` of the patterns' spans and the stretches to read, ``begins, texts``."""
+    """``doc_id, text``, and ``starts, kinds, ends`` of the patterns' spans."""
 
     def rows(batch):
-        spans, parts = [], []
-        for text in batch.column(1).to_pylist():
-            spans.append(base_spans(text))
-            parts.append(stretches(text) if text else [])
-        out = {"doc_id": batch.column(0), "begins": [[s for s, _ in p] for p in parts], "texts": [[t for _, t in p] for p in parts]}
+        spans = [base_spans(text) for text in batch.column(1).to_pylist()]
+        out = {"doc_id": batch.column(0), "text": batch.column(1)}
         return out | {name: [[s[i] for s in own] for own in spans] for i, name in enumerate(("starts", "kinds", "ends"))}
 
-    schema = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, begins array<int>, texts array<string>"
+    schema = "doc_id long, text string, starts array<int>, kinds array<int>, ends array<int>"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), rows, schema)
 
 
-def sampled_windows(rows: DataFrame, most: int = FIT_WINDOWS) -> list[str]:
-    """About ``most`` of the different windows, by a cutoff of their hashes."""
-    stretch = rows.select(F.explode("texts").alias("text"))
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - STRIDE - 1, F.lit(0)), F.lit(STRIDE))
-    windows = stretch.select("text", F.explode(starts).alias("at")).select(F.expr(f"substring(text, at + 1, {WINDOW})").alias("text"))
-    there = materialise(windows.distinct(), "windows")
-    n = there.count()
+def sampled_windows(docs: DataFrame, most: int = FIT_WINDOWS, plain: int = FIT_PLAIN) -> list[str]:
+    """Of the different windows about ``most`` with a sign and ``plain`` without, by cutoffs of their hashes."""
+    texts = docs.select(text_of().alias("text"))
+    # A window without a sign is known by the cutoff, before any is moved: most windows are such.
+    number = texts.select(F.sum(F.greatest(F.lit(1), F.ceil((F.length("text") - STRIDE) / STRIDE))).alias("n")).first().n or 0
+    below = int(2**32 * min(1, plain / max(1, number)))
+
+    def rows(batch):
+        made, signs = [], []
+        for text in batch.column(0).to_pylist():
+            with_sign = [w for _, part in stretches(text) for _, w in windows_of(part)] if text else []
+            others = [w for _, w in windows_of(text) if crc32(w.encode()) < below and not any(map(_is_sign, w))] if text else []
+            made += with_sign + others
+            signs += [True] * len(with_sign) + [False] * len(others)
+        return {"text": made, "sign": signs}
+
+    there = materialise(map_arrow(texts, rows, "text string, sign boolean").distinct(), "windows")
+    n = there.where("sign").count()
     # Of up to twice as many windows all are near the cutoff; the rest follows the law of large numbers.
     cutoff = (2**63 - 1) if n <= most else int((2 * most / n - 1) * 2**63)
-    return [r.text for r in there.where(F.xxhash64("text") <= cutoff).collect()]
+    return [r.text for r in there.where(~F.col("sign") | (F.xxhash64("text") <= cutoff)).collect()]
 
 
 def tagged(rows: DataFrame, model: Tagger | None) -> DataFrame:
     """One row per document with all its spans."""
     names = ("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added")
 
-    def added(batch) -> list[list[tuple[int, int, int]]]:
-        own = batch.to_pydict()
-        bases = [list(zip(*x)) for x in zip(own["starts"], own["kinds"], own["ends"])]
+    def added(texts: list[str], bases: list) -> list[list[tuple[int, int, int]]]:
         if model is None:
-            return [(base, []) for base in bases]
-        texts, places = [], []
-        for doc, (begins, parts) in enumerate(zip(own["begins"], own["texts"])):
-            for number, (begin, part) in enumerate(zip(begins, parts)):
-                for at, text in windows_of(part):
-                    texts.append(text)
-                    places.append((doc, number, begin, at, len(part)))
-        found = [[] for _ in bases]
-        for k in range(0, len(texts), 4096):
-            tags, sure = model.decode(encoded(texts[k:k + 4096]))
-            for text, place, t, s in zip(texts[k:k + 4096], places[k:k + 4096], tags, sure):
-                doc, number, begin, at, length = place
-                for start, kind, end, chance in spans_of(t[:len(text)], s[:len(text)]):
-                    cut = (start == 0 and at > 0) or (end == len(text) and at + end < length)
-                    found[doc].append((begin + at + start, kind, begin + at + end, chance, cut))
-        out = []
-        for base, spans, begins, parts in zip(bases, found, own["begins"], own["texts"]):
-            def text_at(start, end, begins=begins, parts=parts):
-                i = int(np.searchsorted(begins, start, "right")) - 1
-                return parts[i][start - begins[i]:end - begins[i]]
-
-            out.append((base, reconciled(text_at, spans, base)))
-        return out
+            return [[] for _ in texts]
+        windows, places = [], []
+        for doc, text in enumerate(texts):
+            for at, own in windows_to_read(text):
+                windows.append(own)
+                places.append((doc, at, len(text)))
+        found: list[list] = [[] for _ in texts]
+        for (doc, at, length), own, spans in zip(places, windows, model.spans(windows)):
+            for start, kind, end, chance in spans:
+                cut = (start == 0 and at > 0) or (end == len(own) and at + end < length)
+                found[doc].append((at + start, kind, at + end, chance, cut))
+        return [reconciled(lambda a, b, text=text: text[a:b], spans, base) for text, spans, base in zip(texts, found, bases)]
 
     def run(batch):
+        own = batch.to_pydict()
+        bases = [list(zip(*x)) for x in zip(own["starts"], own["kinds"], own["ends"])]
         made = []
-        for doc_id, (base, more) in zip(batch.column(0).to_pylist(), added(batch)):
+        for doc_id, base, more in zip(own["doc_id"], bases, added(own["text"], bases)):
             counts = [sum(kind == k for _, kind, _ in base) for k in range(len(KINDS))]
             made.append((doc_id, *counts, hashlib.sha256(shown(base).encode()).hexdigest(), shown(base + more), len(more)))
         return dict(zip(names, zip(*made)))
@@ -407,8 +436,7 @@ def tagged(rows: DataFrame, model: Tagger | None) -> DataFrame:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: spans by the patterns, their number by kind and digest, and all spans."""
-    rows = materialise(screened(docs), "screened")
-    return tagged(rows, learnt(sampled_windows(rows)))
+    return tagged(screened(docs), learnt(sampled_windows(docs)))
 
 
 @query("op11_personal_data")

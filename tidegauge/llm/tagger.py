@@ -1,7 +1,11 @@
 """A character tagger in numpy: bidirectional LSTM, linear-chain CRF on top, trained by Adam.
 
-Texts are windows of characters, filled up with the number 0. Tags are "outside" and,
-for each kind of span, its first and its further characters.
+Texts are windows of characters, in training filled up with the number 0. Tags are
+"outside" and, for each kind of span, its first and its further characters.
+
+The network reads every character of every window. Only the chain's steps from tag to
+tag are left out, where they can change nothing: where "outside" leads so far at each
+place that no other tags can make up for it, it is the best path all through.
 """
 
 from __future__ import annotations
@@ -9,8 +13,8 @@ from __future__ import annotations
 import numpy as np
 
 FORBIDDEN = -1e4
-#: Windows decoded at a time.
-DECODED = 512
+#: Windows read at a time, and windows whose best tags are sought at a time.
+READ, DECODED = 768, 256
 
 
 def tags_of(spans: list[tuple[int, int, int]], length: int) -> np.ndarray:
@@ -33,6 +37,11 @@ def spans_of(tags: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int, fl
     return found
 
 
+def ending(lengths: np.ndarray) -> np.ndarray:
+    """Of windows sorted by length, longest first: how many have place 0, 1, ..."""
+    return np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -63,7 +72,7 @@ class Tagger:
 
     # -- the network ---------------------------------------------------------------
 
-    def _read(self, chars: np.ndarray, keep: bool):
+    def _read(self, chars: np.ndarray):
         """Emissions (window, place, tag), and what backpropagation needs."""
         w, size = self.w, self.hidden
         both = np.stack([chars, chars[:, ::-1]])
@@ -81,12 +90,60 @@ class Tagger:
             squashed = np.tanh(c)
             h = gates[..., 2 * size:] * squashed
             states[t] = h
-            if keep:
-                saved.append((before, old, gates, candidate, squashed))
+            saved.append((before, old, gates, candidate, squashed))
         seen = np.concatenate([states[:, 0], states[::-1, 1]], 2)
         emissions = (seen @ w["out"] + w["out_bias"]).transpose(1, 0, 2)
         return emissions, (both, seen, saved)
 
+    def _leads(self, chars: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Emissions (place, tag, window) less those of "outside": of all first characters' tags, then of all further ones'.
+
+        ``chars`` is (place, window). Windows are sorted by length, longest first: the first
+        ``active[t]`` have a place t, and other values there mean nothing. A sigmoid is half
+        of one more than the tanh of half its input, so one tanh serves all gates; weights
+        take the halves, and ``h`` holds twice the state.
+        """
+        w, size = self.w, self.hidden
+        kind = w["state"].dtype
+        order = np.r_[1:self.n_tags:2, 2:self.n_tags:2]
+        half = np.repeat([0.5, 0.5, 0.5, 1.0], size)
+        length, n = chars.shape
+        found = np.zeros((length, self.n_tags - 1, n), kind)
+        bias = (w["out_bias"][order] - w["out_bias"][0])[:, None].astype(kind)
+        # Buffers are used again at each place, and whole rows added: strided steps cost more than the sums.
+        xs, zs, more = np.empty((n, 4 * size), kind), np.empty((n, 4 * size), kind), np.empty((self.n_tags - 1, n), kind)
+        ones = np.tile(np.repeat(np.array([1, 1, 1, 0], kind), size), (n, 1))
+        hs, cs, spare = (np.empty((n, size), kind) for _ in range(3))
+        for side in range(2):
+            table = ((w["input"][side] + w["bias"][side]) * half).astype(kind)
+            state = (w["state"][side] * half * 0.5).astype(kind)
+            out = w["out"][side * size:(side + 1) * size]
+            out = np.ascontiguousarray((out[:, order] - out[:, :1]).T * 0.5, kind)
+            hs[:], cs[:] = 0, 0
+            m = 0
+            for t in range(length) if side == 0 else range(length - 1, -1, -1):
+                if m != active[t]:
+                    m = active[t]
+                    x, z, h, c, a, one, part = xs[:m], zs[:m], hs[:m], cs[:m], spare[:m], ones[:m], more[:, :m]
+                    let_in, keep, show, candidate = (z[:, k * size:(k + 1) * size] for k in range(4))
+                np.take(table, chars[t, :m], 0, out=x, mode="clip")
+                np.matmul(h, state, out=z)
+                z += x
+                np.tanh(z, out=z)
+                z += one
+                np.multiply(let_in, candidate, out=a)
+                c *= keep
+                c += a
+                c *= 0.5
+                np.tanh(c, out=a)
+                np.multiply(a, show, out=h)
+                if side == 0:
+                    np.matmul(out, h.T, out=found[t, :, :m])
+                else:
+                    found[t, :, :m] += np.matmul(out, h.T, out=part)
+        found += bias
+        return found
+
     def _back(self, d_emissions: np.ndarray, memory) -> dict[str, np.ndarray]:
         both, seen, saved = memory
         w, size = self.w, self.hidden
@@ -123,23 +180,28 @@ class Tagger:
 
     # -- the chain -----------------------------------------------------------------
 
-    def _forward_backward(self, emissions: np.ndarray):
+    def _forward_backward(self, emissions: np.ndarray, active: np.ndarray | None = None):
         """Log partition, probability of every tag, and expected number of every step between tags.
 
-        Chances are scaled at each place to add up to one, so products don't vanish.
+        Chances are scaled at each place to add up to one, so products don't vanish. With
+        ``active`` as in `_leads`, windows end where they end; then only the
+        probabilities at their own places count.
         """
         step, first = np.exp(self.w["step"] + self.step_mask), np.exp(self.w["first"] + self.first_mask)
         n, length, k = emissions.shape
         top = emissions.max(2, keepdims=True)
         likely = np.exp(emissions - top).transpose(1, 0, 2)
-        ahead, behind, scale = np.empty_like(likely), np.ones_like(likely), np.empty((length, n, 1), likely.dtype)
+        active = np.full(length, n) if active is None else active
+        ahead, behind, scale = np.zeros_like(likely), np.ones_like(likely), np.ones((length, n, 1), likely.dtype)
         for t in range(length):
-            now = likely[t] * (ahead[t - 1] @ step if t else first)
-            scale[t] = now.sum(1, keepdims=True)
-            ahead[t] = now / scale[t]
+            m = active[t]
+            now = likely[t, :m] * (ahead[t - 1, :m] @ step if t else first)
+            scale[t, :m] = now.sum(1, keepdims=True)
+            ahead[t, :m] = now / scale[t, :m]
         turned = step.T.copy()
         for t in range(length - 2, -1, -1):
-            behind[t] = (likely[t + 1] * behind[t + 1] / scale[t + 1]) @ turned
+            m = active[t + 1]
+            behind[t, :m] = (likely[t + 1, :m] * behind[t + 1, :m] / scale[t + 1, :m]) @ turned
         total = np.log(scale[:, :, 0]).sum(0) + top[:, :, 0].sum(1)
         left = ahead[:-1].reshape(-1, k)
         right = (likely[1:] * behind[1:] / scale[1:]).reshape(-1, k)
@@ -147,7 +209,7 @@ class Tagger:
 
     def loss(self, chars: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags, and its gradients."""
-        emissions, memory = self._read(chars, True)
+        emissions, memory = self._read(chars)
         step, first = self.w["step"] + self.step_mask, self.w["first"] + self.first_mask
         total, chance, steps = self._forward_backward(emissions)
         n, length, _ = emissions.shape
@@ -161,26 +223,106 @@ class Tagger:
         d["step"], d["first"] = d_step / n, (chance[:, 0] - taken[:, 0]).sum(0) / n
         return float((total - score).mean()), d
 
+    def _outside(self, leads: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Whether "outside" is surely the best path of a window all through.
+
+        What a span gains over "outside" is at most the leads of its places and the best of
+        its steps: into its first character, on, and out or to a next span. These sums are
+        followed from the end; if no span gains, no path with spans does.
+        """
+        step, first = self.w["step"] + self.step_mask, self.w["first"] + self.first_mask
+        kinds, kind = self.n_tags // 2, leads.dtype
+        begins, inside = np.arange(1, self.n_tags, 2), np.arange(2, self.n_tags, 2)
+        gain = step - step[0, 0]
+        enter = np.maximum(gain[0, begins], first[begins] - first[0])
+        further = np.maximum(gain[begins, inside], gain[inside, inside])
+        leave = np.maximum(gain[begins, 0], gain[inside, 0])
+        leave = np.maximum(leave, np.maximum((gain[begins][:, begins] - enter).max(1), (gain[inside][:, begins] - enter).max(1)))
+        enter, further, leave = (x[:, None].astype(kind) for x in (enter, further, leave))
+        # The most that can follow a place; nothing after a window's last one.
+        after = np.zeros((kinds, leads.shape[2]), kind)
+        spare, most = np.empty_like(after), np.full_like(after, -np.inf)
+        for t in range(len(leads) - 1, -1, -1):
+            m = active[t]
+            ahead = after[:, :m]
+            begun = np.add(leads[t, :kinds, :m], ahead, out=spare[:, :m])
+            np.maximum(most[:, :m], begun, out=most[:, :m])
+            ahead += leads[t, kinds:, :m]
+            ahead += further
+            np.maximum(ahead, leave, out=ahead)
+        # A little to spare for rounding.
+        return (most + enter).max(0) < -1e-2
+
+    def _emissions(self, leads: np.ndarray) -> np.ndarray:
+        """Emissions (place, window, tag) up to what all tags of a place have in common."""
+        emissions = np.zeros((len(leads), leads.shape[2], self.n_tags), leads.dtype)
+        emissions[..., 1::2] = leads[:, :self.n_tags // 2].transpose(0, 2, 1)
+        emissions[..., 2::2] = leads[:, self.n_tags // 2:].transpose(0, 2, 1)
+        return emissions
+
+    def _best(self, emissions: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags of each window (window, place), and how likely each of them is by itself."""
+        step, first = self.w["step"] + self.step_mask, self.w["first"] + self.first_mask
+        length, n, k = emissions.shape
+        # By tag, then window. The steps back are looked for along the best path only.
+        best = np.zeros((length, k, n), emissions.dtype)
+        best[0] = (first + emissions[0]).T
+        for t in range(1, length):
+            m = active[t]
+            best[t, :, :m] = (best[t - 1, :, None, :m] + step[:, :, None]).max(0) + emissions[t, :m].T
+        path, tag = np.zeros((n, length), np.int64), np.zeros(n, np.int64)
+        for t in range(length - 1, -1, -1):
+            m, on = active[t], active[t + 1] if t + 1 < length else 0
+            tag[:on] = (best[t, :, :on] + step[:, tag[:on]]).argmax(0)
+            tag[on:m] = best[t, :, on:m].argmax(0)
+            path[:m, t] = tag[:m]
+        _, chance, _ = self._forward_backward(emissions.transpose(1, 0, 2), active)
+        return path, np.take_along_axis(chance, path[:, :, None], 2)[:, :, 0]
+
     def decode(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags of each window, and how likely each of them is by itself."""
-        tags, sure = [], []
-        step, first = self.w["step"] + self.step_mask, self.w["first"] + self.first_mask
+        made = []
         for at in range(0, len(chars), DECODED):
-            emissions, _ = self._read(chars[at:at + DECODED], False)
-            n, length, _ = emissions.shape
-            best, back = first + emissions[:, 0], np.empty(emissions.shape, np.int64)
-            for t in range(1, length):
-                reach = best[:, :, None] + step[None]
-                back[:, t] = reach.argmax(1)
-                best = reach.max(1) + emissions[:, t]
-            path = np.empty((n, length), np.int64)
-            path[:, -1] = best.argmax(1)
-            for t in range(length - 1, 0, -1):
-                path[:, t - 1] = back[np.arange(n), t, path[:, t]]
-            _, chance, _ = self._forward_backward(emissions)
-            tags.append(path)
-            sure.append(np.take_along_axis(chance, path[:, :, None], 2)[:, :, 0])
-        return np.concatenate(tags), np.concatenate(sure)
+            some = np.ascontiguousarray(chars[at:at + DECODED].T)
+            active = np.full(len(some), some.shape[1])
+            made.append(self._best(self._emissions(self._leads(some, active)), active))
+        return np.concatenate([tags for tags, _ in made]), np.concatenate([sure for _, sure in made])
+
+    def spans(self, windows: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+        """`spans_of` every window, whatever its length; a window's spans don't hang on the others."""
+        found: list[list] = [[] for _ in windows]
+        order = sorted((i for i, w in enumerate(windows) if len(w)), key=lambda i: -len(windows[i]))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            rows = np.concatenate([r for r, _ in held])
+            lengths = np.array([len(windows[i]) for i in rows])
+            emissions = np.zeros((lengths[0], len(rows), self.n_tags), held[0][1].dtype)
+            at = 0
+            for r, leads in held:
+                emissions[:len(leads), at:at + len(r)] = self._emissions(leads[:lengths[0]])
+                at += len(r)
+            held.clear()
+            for i, length, tags, sure in zip(rows, lengths, *self._best(emissions, ending(lengths))):
+                found[i] = spans_of(tags[:length], sure[:length])
+
+        for at in range(0, len(order), READ):
+            some = np.array(order[at:at + READ])
+            lengths = np.array([len(windows[i]) for i in some])
+            chars = np.zeros((len(some), lengths[0]), np.uint8)
+            for row, i in zip(chars, some):
+                row[:len(windows[i])] = windows[i]
+            active = ending(lengths)
+            leads = self._leads(np.ascontiguousarray(chars.T, np.intp), active)
+            left = np.flatnonzero(~self._outside(leads, active))
+            # Few windows have spans: they are gathered, as a place costs about the same for one as for many.
+            for k in range(0, len(left), DECODED):
+                held.append((some[left[k:k + DECODED]], leads[:, :, left[k:k + DECODED]]))
+                if sum(len(r) for r, _ in held) >= DECODED:
+                    settle()
+        if held:
+            settle()
+        return found
 
     # -- training ------------------------------------------------------------------
 
