@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from tidegauge.llm import pii
+from tidegauge.llm import pii, tagger as tagging
 from tidegauge.llm.tagger import Tagger, spans_of, tags_of
 
 PATTERNS = (
@@ -352,3 +352,35 @@ def test_leads_are_those_of_the_emissions_that_are_learnt(scale):
         emissions = double._read(own[None])[0][0]
         want = (emissions - emissions[:, :1])[:, [1, 3, 2, 4]]
         assert np.allclose(leads[:len(own), :, k], want, atol=1e-4)
+
+
+@pytest.mark.parametrize("cheap", [True, False])
+@pytest.mark.parametrize("scale", [0.01, 1, 1000])
+@pytest.mark.filterwarnings("error")
+def test_leads_are_those_that_are_learnt_by_tanh_and_by_exp(monkeypatch, cheap, scale):
+    monkeypatch.setattr(tagging, "tanh_is_cheap", lambda: cheap)
+    rng = np.random.default_rng(12)
+    tagger, double = Tagger(9, 3, 7, 5), Tagger(9, 3, 7, 5)
+    tagger.w["input"] *= scale
+    tagger.w["bias"] += rng.normal(0, 1, tagger.w["bias"].shape).astype(np.float32)
+    double.w = {k: v.astype(np.float64) for k, v in tagger.w.items()}
+    lengths = np.sort(rng.integers(1, 50, 23))[::-1]
+    chars = rng.integers(0, 9, (lengths[0], 23))
+    leads = tagger._leads(chars, np.array([(lengths > t).sum() for t in range(lengths[0])]))
+    for k, n in enumerate(lengths):
+        emissions = double._read(chars[:n, k][None])[0][0]
+        want = (emissions - emissions[:, :1])[:, [1, 3, 5, 2, 4, 6]]
+        assert np.allclose(leads[:n, :, k], want, atol=1e-4)
+
+
+def test_steps_are_taken_the_cheaper_way(monkeypatch):
+    tagger, own = Tagger(pii.CHARACTERS, len(pii.KINDS), pii.HIDDEN, 3), tagging.tanh_is_cheap()
+    chars = np.random.default_rng(3).integers(0, pii.CHARACTERS, (60, 768))
+    costs = {True: [], False: []}
+    for _ in range(9):
+        for cheap, took in costs.items():
+            monkeypatch.setattr(tagging, "tanh_is_cheap", lambda: cheap)
+            started = time.thread_time()
+            tagger._leads(chars, np.full(60, 768))
+            took.append(time.thread_time() - started)
+    assert min(costs[own]) < 1.08 * min(costs[not own])

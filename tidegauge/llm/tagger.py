@@ -10,7 +10,10 @@ place that no other tags can make up for it, it is the best path all through.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+from numpy.lib.introspect import opt_func_info
 
 FORBIDDEN = -1e4
 #: Windows read at a time, and windows whose best tags are sought at a time.
@@ -46,6 +49,51 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+@lru_cache(maxsize=1)
+def tanh_is_cheap() -> bool:
+    """Whether numpy's tanh costs no more than its exp: so it is with AVX-512, with AVX2 it costs twice that."""
+    return any("AVX512" in own["current"] for own in opt_func_info("^tanh$", "float32").get("tanh", {}).values())
+
+
+# Both take a step in place, from the sums ``z`` at the four gates. In ``z`` are ``gates`` (in ``show``
+# the output's, in ``into`` the input's and the forget gate's), then ``new``, the candidate; ``pair`` is that and the cell ``c``.
+
+
+def _by_tanh(z, gates, show, into, pair, new, c, h) -> None:
+    """A sigmoid of x is half of 1 + tanh(x / 2). ``h`` holds twice the state."""
+    np.tanh(z, out=z)
+    gates += 1
+    pair *= into
+    c += new
+    c *= 0.5
+    np.tanh(c, out=new)
+    np.multiply(new, show, out=h)
+
+
+def _by_exp(z, gates, show, into, pair, new, c, h) -> None:
+    """A sigmoid of x is 1 / (1 + exp(-x)), tanh of x twice the sigmoid of 2 x, less one. ``h`` holds half the state, ``c`` the cell times -2."""
+    np.exp(z, out=z)
+    z += 1
+    np.divide(1, gates, out=gates)
+    np.divide(-4, new, out=new)
+    new += 2
+    pair *= into
+    c += new
+    np.exp(c, out=new)
+    new += 1
+    np.divide(1, new, out=new)
+    new -= 0.5
+    np.multiply(new, show, out=h)
+
+
+def _buffer(shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+    """An array that begins where a line of the cache does."""
+    size = int(np.prod(shape)) * kind.itemsize
+    raw = np.empty(size + 64, np.uint8)
+    start = -raw.ctypes.data % 64
+    return raw[start:start + size].view(kind).reshape(shape)
+
+
 class Tagger:
     """Weights are in ``self.w``: axis 0 of the LSTM's is the direction of reading."""
 
@@ -99,60 +147,43 @@ class Tagger:
         """Emissions (place, tag, window) less those of "outside": of all first characters' tags, then of all further ones'.
 
         ``chars`` is (place, window). Windows are sorted by length, longest first: the first
-        ``active[t]`` have a place t, and other values there mean nothing. A sigmoid is
-        1 / (1 + exp(-x)), and tanh of x is twice the sigmoid of 2 x, less one: numpy's exp
-        costs half of its tanh. Weights take the signs and factors; ``h`` holds half the
-        state, ``c`` the cell times -2.
+        ``active[t]`` have a place t, and other values there mean nothing. Steps are taken by
+        tanh or by exp, whichever is cheaper here; weights take the signs and factors.
         """
         w, size = self.w, self.hidden
         kind = w["state"].dtype
         order = np.r_[1:self.n_tags:2, 2:self.n_tags:2]
-        inner = np.repeat([-1.0, -1.0, -1.0, -2.0], size)
+        step, inner, state_by = (_by_tanh, 0.5, 0.5) if tanh_is_cheap() else (_by_exp, -1.0, 2.0)
+        inner = np.repeat([inner, inner, inner, 2 * inner], size)
 
         def by_gate(weights: np.ndarray) -> np.ndarray:
-            return np.ascontiguousarray(weights.reshape(-1, 4, size).transpose(1, 0, 2), kind)
+            """Output, input, forget, candidate: next to each other are what is multiplied together."""
+            return np.ascontiguousarray(weights.reshape(-1, 4, size)[:, [2, 0, 1, 3]].transpose(1, 0, 2), kind)
 
         length, n = chars.shape
         found = np.zeros((length, self.n_tags - 1, n), kind)
-        bias = (w["out_bias"][order] - w["out_bias"][0])[:, None].astype(kind)
+        found += (w["out_bias"][order] - w["out_bias"][0])[:, None].astype(kind)
         # Buffers are used again at each place, and each gate is a block of its own: strided steps cost more than the sums.
-        xs, zs, more = np.empty(4 * n * size, kind), np.empty(4 * n * size, kind), np.empty((self.n_tags - 1, n), kind)
-        hs, cs, spare = (np.empty((n, size), kind) for _ in range(3))
+        xs, zs, hs, more = (_buffer(shape, kind) for shape in ((4 * n * size,), (5, n, size), (n, size), (n, self.n_tags - 1)))
         for side in range(2):
-            table, state = by_gate((w["input"][side] + w["bias"][side]) * inner), by_gate(w["state"][side] * inner * 2)
+            table, state = by_gate((w["input"][side] + w["bias"][side]) * inner), by_gate(w["state"][side] * inner * state_by)
             out = w["out"][side * size:(side + 1) * size]
-            out = np.ascontiguousarray((out[:, order] - out[:, :1]).T * 2, kind)
-            hs[:], cs[:] = 0, 0
+            out = np.ascontiguousarray((out[:, order] - out[:, :1]) * state_by, kind)
+            # The cells are the last block.
+            hs[:], zs[4] = 0, 0
             m = 0
             # Where exp is beyond all numbers, one by it is 0, as it should be.
             with np.errstate(over="ignore"):
                 for t in range(length) if side == 0 else range(length - 1, -1, -1):
                     if m != active[t]:
                         m = active[t]
-                        x, z = (b[:4 * m * size].reshape(4, m, size) for b in (xs, zs))
-                        h, c, a, part = hs[:m], cs[:m], spare[:m], more[:, :m]
-                        gates, (let_in, keep, show, candidate) = z[:3], z
+                        x, z, h, part = xs[:4 * m * size].reshape(4, m, size), zs[:4, :m], hs[:m], more[:m]
+                        parts = z, z[:3], z[0], z[1:3], zs[3:, :m], z[3], zs[4, :m], h
                     np.take(table, chars[t, :m], 1, out=x, mode="clip")
                     np.matmul(h, state, out=z)
                     z += x
-                    np.exp(z, out=z)
-                    z += 1
-                    np.divide(1, gates, out=gates)
-                    np.divide(-4, candidate, out=candidate)
-                    candidate += 2
-                    candidate *= let_in
-                    c *= keep
-                    c += candidate
-                    np.exp(c, out=a)
-                    a += 1
-                    np.divide(1, a, out=a)
-                    a -= 0.5
-                    np.multiply(a, show, out=h)
-                    if side == 0:
-                        np.matmul(out, h.T, out=found[t, :, :m])
-                    else:
-                        found[t, :, :m] += np.matmul(out, h.T, out=part)
-        found += bias
+                    step(*parts)
+                    found[t, :, :m] += np.matmul(h, out, out=part).T
         return found
 
     def _back(self, d_emissions: np.ndarray, memory) -> dict[str, np.ndarray]:
